@@ -7,13 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewake.functions import references as R
 from tablewake.functions import text as T
 from tablewake.functions.names import normalise_case
 from tablewake.operators import catalog, extract, hierarchy, lines, reports, resolve, statements
 from tablewake.operators.scans import assemble_text
 from tablewake.plans.jobs import lineage_edges
-from tablewake.session import save_point
+from tablewake.session import save_point, spread
 
 from .fixtures import fixture
 
@@ -33,7 +32,7 @@ def _documents(spark, sf):
 
 
 def _parsed(spark, sf):
-    return extract.parse_statements(fixture(spark, sf, "fx_statements"))
+    return extract.parse_statements(spread(fixture(spark, sf, "fx_statements"), "script_file", "query_index"))
 
 
 def _joined(names: F.Column) -> F.Column:
@@ -131,8 +130,7 @@ def clean_statements(spark, sf):
 
 @query
 def statement_kinds(spark, sf):
-    text = R.readable(T.clean_statement(F.col("sql_text")))
-    return fixture(spark, sf, "fx_statements").select("query_index", R.statement_kind(text).alias("kind"))
+    return _parsed(spark, sf).select("query_index", "kind")
 
 
 @query
@@ -252,7 +250,8 @@ def resolution_statistics(spark, sf):
 @query
 def end_to_end_lineage(spark, sf):
     """Statements to edges between non-volatile tables."""
-    edges = lineage_edges(fixture(spark, sf, "fx_statements"), RUN, fixture(spark, sf, "fx_statement_catalog"))
+    found = spread(fixture(spark, sf, "fx_statements"), "script_file", "query_index")
+    edges = lineage_edges(found, RUN, fixture(spark, sf, "fx_statement_catalog"))
     return resolve.resolve_volatile(save_point(edges))
 
 

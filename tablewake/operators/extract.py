@@ -49,7 +49,8 @@ def extract_edges(parsed: DataFrame, run_name: str, include_query_edges: bool =
     script = F.col("script_file")
     kind = F.col("kind")
     is_query = kind == "Select"
-    fine = parsed.where(F.col("error_type").isNull()).select("script_file", "kind", "targets", "sources")
+    # No filter on errors here: pushed below the parsing it would repeat every pattern. Failed
+    # statements have no kind, hence no pairs.
     children = F.when(is_query, F.array(F.concat(F.lit(run_name), F.lit("-"), script))).otherwise(
         F.transform("targets", lambda t: qualify(t, script))
     )
@@ -79,7 +80,8 @@ def extract_edges(parsed: DataFrame, run_name: str, include_query_edges: bool =
         )
         written = ~kind.isin("Select", "Delete")
         pairs = F.concat(pairs, F.when(written, runs).otherwise(F.slice(runs, 1, 0)))
-    return fine.select("script_file", F.explode(pairs).alias("edge")).select(
+    pairs = F.when(kind.isNotNull(), pairs)
+    return parsed.select("script_file", F.explode(pairs).alias("edge")).select(
         "script_file",
         F.col("edge.child").alias("child_table_name"),
         F.col("edge.relationship").alias("relationship"),
@@ -91,6 +93,7 @@ def extract_edges(parsed: DataFrame, run_name: str, include_query_edges: bool =
 def statement_errors(parsed: DataFrame) -> DataFrame:
     """Statements that failed, with cleaned text and reason; keeps ``query_index`` if present."""
     key = "query_index" if "query_index" in parsed.columns else "pos"
-    return parsed.where(F.col("error_type").isNotNull()).select(
-        "script_file", key, "sql_query", "error_type", "error_info"
-    )
+    columns = ("script_file", key, "sql_query", "error_type", "error_info")
+    # Zero or one row per statement, for the same reason as above in place of a filter.
+    error = F.when(F.col("error_type").isNotNull(), F.array(F.struct(*columns)))
+    return parsed.select(F.explode(error).alias("error")).select("error.*")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import spread_nulls
+from ..session import counted_save_point
 
 # The levels from the top down, and the name of what the last one owns.
 LEVELS = ("Sector", "Application", "Purpose", "Client", "Tool", "System", "SystemID", "Schema")
@@ -42,10 +43,14 @@ def build_hierarchy(df: DataFrame) -> DataFrame:
     When no level row has a null parent (checked first), nulls never meet, and the result is the same as: every
     row that nothing continues, with its ancestors looked up level by level. Those are left joins from
     the many to the few, which adaptive execution can split on a hot owner; a full outer join it cannot.
+    The level rows are written once, by level, since every level is read several times.
     """
-    if df.where(is_level_row() & F.col("parent_table_name").isNull()).isEmpty():
-        return hierarchy_by_lookup(df)
-    return hierarchy_by_full_joins(df)
+    rows, found = counted_save_point(
+        df.where(is_level_row()).select("child_table_name", "parent_table_name", "parent_table_type"),
+        partition_by=["parent_table_type"],
+        no_parent=F.col("parent_table_name").isNull(),
+    )
+    return hierarchy_by_full_joins(rows) if found["no_parent"] else hierarchy_by_lookup(rows)
 
 
 def hierarchy_by_full_joins(df: DataFrame, levels: tuple[str, ...] = LEVELS) -> DataFrame:

@@ -62,8 +62,8 @@ def _read_outside(line: Column) -> tuple[Column, Column, Column]:
 def strip_comment_lines(lines: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Remove ``/* */`` comments from numbered lines, as `strip_block_comments` does from a whole text.
 
-    Only lines with a comment mark take part in the state logic; their outcome is written to the
-    shared folder, then one scan over all lines drops those inside a comment. Lines that a comment had
+    Only lines with a comment mark take part in the state logic; they and their outcome are written to
+    the shared folder, then one scan over all lines drops those inside a comment. Lines that a comment had
     run together come back as one line, at the place of the first.
     """
     lines = lines.select(*keys, "block", "pos", "line")
@@ -78,6 +78,7 @@ def strip_comment_lines(lines: DataFrame, keys: Sequence[str] = KEYS) -> DataFra
         *[c.alias(f"out_{n}") for c, n in zip(outside, ("kept", "tail", "open"))],
         *[c.alias(f"in_{n}") for c, n in zip(inside, ("kept", "tail", "open"))],
     )
+    marked = save_point(marked)
     # State after the line, by the state before it: outside (0) or inside (1) a comment. A line fixes the
     # state, flips it or leaves it, so the state is the last fixed one, flipped as often as met since.
     after_outside = F.col("out_open")

@@ -37,7 +37,7 @@ def run_statistics(parsed: DataFrame, edges: DataFrame | None = None) -> DataFra
 
 def error_histogram(parsed: DataFrame) -> DataFrame:
     """Failed statements per error type, with their share, most frequent first."""
-    counts = parsed.where(F.col("error_type").isNotNull()).groupBy("error_type").agg(F.count("*").alias("n"))
+    counts = parsed.groupBy("error_type").agg(F.count("error_type").alias("n")).where("n > 0")
     # The window holds one row per error type.
     share = _percent(F.col("n"), F.sum("n").over(Window.partitionBy()))
     return counts.select("error_type", "n", share.alias("pct")).orderBy(F.desc("n"), "error_type")

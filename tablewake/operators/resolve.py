@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import trim_strings
-from ..session import save_point
+from ..session import counted_save_point, save_point
 
 RELATION_COLUMNS = (
     "script_file",
@@ -19,6 +20,7 @@ RELATION_COLUMNS = (
     "parent_table_type",
 )
 TRAIL_SEPARATOR = " | "
+LEVELS_PER_WRITE = 3
 
 
 def require_columns(df: DataFrame, columns: Sequence[str] = RELATION_COLUMNS) -> DataFrame:
@@ -64,19 +66,34 @@ def _tables_on_cycles(hops: DataFrame, rounds: int) -> DataFrame:
     Each round removes links from tables nothing leads to and links into tables nothing leaves;
     what lies on a cycle never goes. Stopping early only leaves more names to track.
     """
-    links = save_point(hops.select("table", "next").distinct())
-    count = links.count()
+    links, count = counted_save_point(hops.select("table", "next").distinct())
     for _ in range(rounds):
         reached = links.select(F.col("next").alias("table")).distinct()
         left = links.select(F.col("table").alias("next")).distinct()
-        links = save_point(links.join(reached, "table", "left_semi").join(left, "next", "left_semi"))
-        kept, count = links.count(), count
-        if kept in (0, count) or kept > 0.9 * count:
+        links, kept = counted_save_point(
+            links.join(reached, "table", "left_semi").join(left, "next", "left_semi")
+        )
+        if kept["rows"] == 0 or kept["rows"] > 0.9 * count["rows"]:
             break
         count = kept
     return links.select("next").distinct()
 
 
+def _next_level(level: DataFrame, hops: DataFrame) -> DataFrame:
+    passed = F.array_sort(F.array_union("passed", F.array("next")))
+    return (
+        level.join(hops, "table")
+        .where(~F.array_contains("passed", F.col("next")))
+        .select(
+            "start",
+            F.col("next").alias("table"),
+            F.when(F.col("tracked"), passed).otherwise(F.col("passed")).alias("passed"),
+            F.array_sort(F.array_union("trail", F.array("script"))).alias("trail"),
+        )
+        .distinct()
+    )
+
+
 def volatile_closure(definitions: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Non-volatile ancestors of the volatile tables in ``starts``, over all simple paths.
 
@@ -93,7 +110,7 @@ def volatile_closure(definitions: DataFrame, starts: DataFrame, max_depth: int |
         table.alias("table"), F.col("parent_table_name").alias("next"), F.col("script_file").alias("script")
     )
     defined = definitions.select(table.alias("next")).distinct()
-    links = save_point(links.join(defined, "next", "left_semi"))
+    links = links.join(defined, "next", "left_semi")
     # A name that some rows call volatile and others do not ends a path that has passed it, too.
     two_faced = exits.select(F.col("parent_table_name").alias("next")).distinct().join(defined, "next", "left_semi")
     tracked = _tables_on_cycles(links, rounds=8).unionByName(two_faced).distinct()
@@ -101,7 +118,7 @@ def volatile_closure(definitions: DataFrame, starts: DataFrame, max_depth: int |
         links.join(tracked.withColumn("_found", F.lit(True)), "next", "left")
         .select("table", "next", "script", F.coalesce("_found", F.lit(False)).alias("tracked"))
     )
-    level = save_point(
+    level = (
         starts.join(defined.select(F.col("next").alias("start")), "start", "left_semi")
         .distinct()
         .select(
@@ -111,27 +128,27 @@ def volatile_closure(definitions: DataFrame, starts: DataFrame, max_depth: int |
             F.array().cast("array<string>").alias("trail"),
         )
     )
-    states = level
-    depth = 0
-    while not level.isEmpty():
-        if max_depth is not None and depth >= max_depth:
-            raise RuntimeError(f"volatile tables nest deeper than {max_depth}")
-        depth += 1
-        step = level.join(hops, "table").where(~F.array_contains("passed", F.col("next")))
-        level = save_point(
-            step.select(
-                "start",
-                F.col("next").alias("table"),
-                F.when(F.col("tracked"), F.array_sort(F.array_union("passed", F.array("next"))))
-                .otherwise(F.col("passed"))
-                .alias("passed"),
-                F.array_sort(F.array_union("trail", F.array("script"))).alias("trail"),
-            ).distinct()
+    written, states, depth = [level.withColumn("depth", F.lit(0))], None, 0
+    while True:
+        for _ in range(LEVELS_PER_WRITE):
+            depth += 1
+            level = _next_level(level, hops)
+            written.append(level.withColumn("depth", F.lit(depth)))
+        batch, found = counted_save_point(
+            reduce(DataFrame.unionByName, written),
+            deepest=F.col("depth") == depth,
+            too_deep=F.col("depth") > (depth if max_depth is None else max_depth),
         )
-        states = states.unionByName(level)
+        if found["too_deep"]:
+            raise RuntimeError(f"volatile tables nest deeper than {max_depth}")
+        states = batch if states is None else states.unionByName(batch)
+        if not found["deepest"]:
+            break
+        level, written = batch.where(F.col("depth") == depth).drop("depth"), []
     passed = F.coalesce(F.array_contains("passed", F.col("parent_table_name")), F.lit(False))
     return (
-        states.distinct()
+        states.drop("depth")
+        .distinct()
         .join(exits.withColumnRenamed("volatile_table", "table"), "table")
         .where(~passed)
         .select(

@@ -92,6 +92,6 @@ def assemble_text(
     return whole.select(
         *keys,
         *([] if block in keys else [first["_block"].alias(block)]),
-        *[first[c].alias(c) for c in order if c not in keys],
+        *[first[c].alias(c) for c in order if c not in keys and c != text],
         F.array_join(F.transform("_parts", lambda p: p["_part"]), sep).alias(text),
     )

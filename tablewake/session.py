@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _local_folders: dict[str, str] = {}
 
@@ -41,11 +43,31 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
-def save_point(df: DataFrame) -> DataFrame:
+def save_point(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage so that a lost executor costs one re-read, and gives the planner true sizes.
     """
+    return counted_save_point(df, partition_by=partition_by)[0]
+
+
+def counted_save_point(
+    df: DataFrame, partition_by: Sequence[str] = (), **counts: Column
+) -> tuple[DataFrame, dict[str, int]]:
+    """`save_point`, with the number of ``rows`` and of rows that meet each condition, taken on the way."""
     path = f"{shared_folder(df.sparkSession)}/tablewake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    counted = df.observe(
+        seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(n) for n, c in counts.items()]
+    )
+    counted.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Share out rows that were read as fewer splits than there are cores, for costly row-wise work.
+
+    Only for frames that read files directly: to ask a shuffled one for its partitions would run it.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, *keys)
