@@ -20,7 +20,7 @@ KEYS = ("script_file",)
 def with_blocks(lines: DataFrame, rows: int = BLOCK_ROWS, pos: str = "pos") -> DataFrame:
     """Add ``block`` to lines that are numbered within their group; unnumbered ones go last."""
     end = F.lit((1 << 63) - 1).cast("bigint")
-    return lines.withColumn("block", F.coalesce(block_of(F.col(pos), rows), end))
+    return lines.withColumn("block", F.coalesce(block_of(pos, rows), end))
 
 
 def split_lines(texts: DataFrame, text: str = "text", rows: int = BLOCK_ROWS) -> DataFrame:

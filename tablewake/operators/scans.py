@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 100_000
 
 
-def block_of(position: Column, rows: int = BLOCK_ROWS) -> Column:
-    return F.floor(position / F.lit(rows)).cast("bigint")
+def block_of(position: str, rows: int = BLOCK_ROWS) -> Column:
+    return F.expr(f"`{position}` div {rows}")
 
 
 def scan_before(
@@ -76,22 +76,22 @@ def assemble_text(
 ) -> DataFrame:
     """Join the pieces of each group in order: first within a block, then the blocks' texts.
 
-    Also returns ``block`` and ``pos``-like order columns of the first piece.
+    The first step keeps the partitioning by group and block that `scan_before` leaves; the second
+    moves one row per block. Also returns the ``block`` and first order column of the first piece.
     """
+    first = order[0]
     piece = F.struct(*order, F.coalesce(F.col(text), F.lit("")).alias("_piece"))
-    parts = df.groupBy(*keys, block).agg(F.array_sort(F.collect_list(piece)).alias("_pieces")).select(
-        *keys,
-        F.struct(
-            F.col(block).alias("_block"),
-            F.array_join(F.transform("_pieces", lambda p: p["_piece"]), sep).alias("_part"),
-            *[F.col("_pieces")[0][c].alias(c) for c in order],
-        ).alias("_part"),
+    parts = df.groupBy(*keys, block).agg(
+        _join_in_order(piece, "_piece", sep).alias("_part"), F.min(first).alias("_first")
     )
-    whole = parts.groupBy(*keys).agg(F.array_sort(F.collect_list("_part")).alias("_parts"))
-    first = F.col("_parts")[0]
-    return whole.select(
-        *keys,
-        *([] if block in keys else [first["_block"].alias(block)]),
-        *[first[c].alias(c) for c in order if c not in keys and c != text],
-        F.array_join(F.transform("_parts", lambda p: p["_part"]), sep).alias(text),
+    whole = parts.groupBy(*keys).agg(
+        _join_in_order(F.struct(block, "_part"), "_part", sep).alias(text),
+        F.min(block).alias("_block"),
+        F.min_by("_first", block).alias("_first"),
     )
+    return whole.select(*keys, F.col("_block").alias(block), F.col("_first").alias(first), text)
+
+
+def _join_in_order(piece: Column, text: str, sep: str) -> Column:
+    """The texts of a group, joined in the order of the fields before them."""
+    return F.array_join(F.sort_array(F.collect_list(piece)).getField(text), sep)

@@ -30,11 +30,12 @@ def split_statement_lines(
     A line with n semicolons ends n statements; the number of semicolons before a line is
     the number of the statement it goes on with. Only single statements are assembled.
     """
-    cut = lines.withColumn("_cut", F.split(F.coalesce("line", F.lit("")), ";", -1))
-    placed = scan_before(cut, keys, order, total={"_first": (F.size("_cut") - 1).cast("bigint")})
-    carried = [c for c in order if c not in keys]
+    text = F.coalesce("line", F.lit(""))
+    ended = F.length(text) - F.length(F.replace(text, F.lit(";"), F.lit("")))
+    placed = scan_before(lines, keys, order, total={"_first": ended.cast("bigint")})
     pieces = placed.select(
-        *keys, "block", *carried, "_first", F.posexplode("_cut").alias("_nth", "sql_text")
+        *keys, "block", *[c for c in order if c not in keys], "_first",
+        F.posexplode(F.split(text, ";", -1)).alias("_nth", "sql_text"),
     ).withColumn("statement", F.col("_first") + F.col("_nth"))
     whole = assemble_text(pieces, [*keys, "statement"], "sql_text", order)
     return whole.select(
@@ -46,18 +47,18 @@ def assemble_queries(lines: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     """Text of each named query: its lines by line number, then by text. Unnamed lines go."""
     named = with_blocks(lines.where(F.col("query_name").isNotNull()), rows, "line_number")
     named = named.withColumn("line", F.coalesce("line", F.lit("")))
-    whole = assemble_text(named, ["script_file", "query_name"], "line", ("line_number", "line"))
-    return whole.select("script_file", "query_name", F.col("line").alias("query_text"))
+    whole = assemble_text(
+        named.withColumn("query_text", F.col("line")), ["script_file", "query_name"], "query_text", ("line_number", "line")
+    )
+    return whole.select("script_file", "query_name", "query_text")
 
 
 def assemble_script(queries: DataFrame) -> DataFrame:
     """All queries of a script in name order, joined by ``;``. To get statements from a line table,
     `table_statements` does without this text."""
-    piece = F.struct("query_name", "query_text")
+    queries_in_order = F.sort_array(F.collect_list(F.struct("query_name", "query_text")))
     return queries.groupBy("script_file").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(piece)), lambda q: q["query_text"]), ";"
-        ).alias("text")
+        F.array_join(queries_in_order.getField("query_text"), ";").alias("text")
     )
 
 
