@@ -28,7 +28,7 @@ def query(run: Query) -> Query:
 
 
 def _documents(spark, sf):
-    return spark.read.parquet(f"{sf}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id")
 
 
 def _parsed(spark, sf):
@@ -65,7 +65,7 @@ def strip_block_comments(spark, sf):
 @query
 def strip_comment_lines(spark, sf):
     """Comments removed line by line, then the lines joined again: equals removal from the whole text."""
-    numbered = lines.split_lines(fixture(spark, sf, "fx_commented"), rows=16)
+    numbered = lines.split_lines(spread(fixture(spark, sf, "fx_commented"), "doc_id"), rows=16)
     kept = lines.strip_comment_lines(numbered, ["doc_id"])
     return assemble_text(kept, ["doc_id"], "line").select("doc_id", F.col("line").alias("text"))
 

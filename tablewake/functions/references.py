@@ -67,9 +67,13 @@ def target_tables(text: Column) -> Column:
     return F.when(target != "", F.array(plain_name(target))).otherwise(F.array().cast("array<string>"))
 
 
-def source_tables(text: Column) -> Column:
-    """Distinct tables read, common table expressions left out; the target counts only if read again."""
-    body = F.regexp_replace(text, TARGET, " ")
+def after_target(text: Column) -> Column:
+    """The statement without its verb and target, so that the target counts as a source only if read again."""
+    return F.regexp_replace(text, TARGET, " ")
+
+
+def source_tables(body: Column) -> Column:
+    """Distinct tables read in what `after_target` leaves; common table expressions left out."""
     single = F.regexp_extract_all(body, F.lit(SOURCE), F.lit(1))
     listed = F.flatten(
         F.transform(
@@ -80,7 +84,7 @@ def source_tables(text: Column) -> Column:
         )
     )
     local = F.transform(
-        F.regexp_extract_all(text, F.lit(WITH_NAME), F.lit(1)), lambda n: F.lower(plain_name(n))
+        F.regexp_extract_all(body, F.lit(WITH_NAME), F.lit(1)), lambda n: F.lower(plain_name(n))
     )
     names = F.array_distinct(F.transform(F.concat(single, listed), plain_name))
     skipped = F.concat(local, F.array(*[F.lit(w) for w in NOT_TABLES]))

@@ -20,13 +20,14 @@ def parse_statements(statements: DataFrame) -> DataFrame:
     """Add ``sql_query`` (cleaned), ``kind``, ``targets``, ``sources``, ``error_type``, ``error_info``."""
     cleaned = statements.withColumn("sql_query", clean_statement(F.col("sql_text")))
     text = F.col("_text")
-    parsed = cleaned.withColumn("_text", R.readable(F.col("sql_query"))).withColumns(
+    readable = cleaned.withColumn("_text", R.readable(F.col("sql_query")))
+    parsed = readable.withColumn("_body", R.after_target(text)).withColumns(
         {
             "kind": R.statement_kind(text),
             "targets": R.target_tables(text),
-            "sources": R.source_tables(text),
+            "sources": R.source_tables(F.col("_body")),
         }
-    ).drop("_text")
+    ).drop("_text", "_body")
     empty = strip(F.col("sql_query")) == ""
     unknown = F.col("kind").isNull()
     return parsed.withColumns(
