@@ -48,7 +48,7 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    return _reader(spark, pattern).option("wholetext", "true").text(path).select(
+    return _reader(spark, pattern).text(path, wholetext=True).select(
         stem(F.col("_metadata.file_name")).alias("script_file"),
         F.col("_metadata.file_path").alias("file_path"),
         unify_newlines(F.col("value")).alias("text"),

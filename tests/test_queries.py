@@ -24,7 +24,7 @@ def test_same_rows(spark, con, small, name):
 
 # The other join strategy: nothing fits a broadcast.
 @pytest.mark.parametrize(
-    "name", ["strip_comment_lines", "log_lineage", "typed_edges", "resolve_volatile", "flatten_hierarchy"]
+    "name", ["strip_comment_lines", "typed_edges", "end_to_end_lineage", "flatten_hierarchy"]
 )
 def test_same_rows_without_broadcast(spark, con, small, name):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
