@@ -27,7 +27,7 @@ SELECT 'scr_' || CAST(o_custkey % 30 AS STRING) AS script_file, o_orderkey AS qu
   WHEN 10 THEN '_x000d_  '
   WHEN 11 THEN 'COLLECT STATISTICS ON t' || CAST(o_custkey % 7 AS STRING)
   WHEN 12 THEN '/* from c.d */ ( SELECT a FROM x' || CAST(o_custkey % 4 AS STRING) || ' -- join y' || chr(10) || ') UNION (SEL b FROM e.f' || CAST(o_orderkey % 3 AS STRING) || ')'
-  WHEN 13 THEN 'hello table ' || CAST(o_custkey AS STRING)
+  WHEN 13 THEN CASE WHEN o_custkey % 2 = 0 THEN 'hello table ' || CAST(o_custkey AS STRING) ELSE 'create table cp' || CAST(o_custkey % 9 AS STRING) || ' as db.t' || CAST(o_orderkey % 9 AS STRING) || ' with data' END
   ELSE 'INSERT INTO vt' || CAST(o_custkey % 9 AS STRING) || ' SELECT * FROM src.s' || CAST(o_orderkey % 55 AS STRING) || ', vt' || CAST(o_custkey % 8 AS STRING) END AS sql_text
 FROM {orders}
 """,
@@ -67,6 +67,14 @@ SELECT CASE WHEN l_suppkey % 3 = 0 THEN 'scr_hot' ELSE 'scr_' || CAST(l_suppkey
   WHEN 6 THEN ''
   ELSE ';' END AS line
 FROM {lineitem}
+""",
+    # The same as a line table of named queries; some lines have no name.
+    "fx_query_lines": """
+SELECT 'tab_' || CAST(l_suppkey % 4 AS STRING) AS script_file,
+ CASE WHEN l_partkey % 19 = 0 THEN CAST(NULL AS STRING) WHEN l_suppkey % 3 = 0 THEN 'hot' ELSE 'q' || CAST(l_orderkey % 300 AS STRING) END AS query_name,
+ l_orderkey * 10 + l_linenumber AS line_number,
+ CASE CAST(l_partkey % 6 AS INT) WHEN 0 THEN 'SELECT a' || CAST(l_partkey AS STRING) WHEN 1 THEN ' FROM b;' WHEN 2 THEN 'x;y' WHEN 3 THEN ';' WHEN 4 THEN '' ELSE CAST(NULL AS STRING) END AS line
+FROM {lineitem}
 """,
     # Documents with comment marks for some of the punctuation: comments over lines, unclosed ones, stray ends.
     "fx_commented": """

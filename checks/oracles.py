@@ -67,9 +67,12 @@ ASSEMBLED = """
 queries AS (SELECT script_file, query_name, string_agg(line, chr(10) ORDER BY line_number, line) AS query_text
   FROM fx_script_lines GROUP BY ALL)"""
 ORACLES["assemble_queries"] = with_ctes(fixture_cte("fx_script_lines"), ASSEMBLED) + "SELECT * FROM queries"
-ORACLES["assemble_script"] = (
-    with_ctes(fixture_cte("fx_script_lines"), ASSEMBLED)
-    + "SELECT script_file, string_agg(query_text, ';' ORDER BY query_name) AS text FROM queries GROUP BY ALL"
+ORACLES["table_statements"] = (
+    with_ctes(fixture_cte("fx_query_lines"))
+    + f"""SELECT * FROM (
+ SELECT script_file, query_name, CAST(generate_subscripts(parts, 1) - 1 AS BIGINT) AS pos, trim(unnest(parts), {BLANKS}) AS sql_text
+ FROM (SELECT script_file, query_name, string_split(string_agg(coalesce(line, ''), chr(10) ORDER BY line_number, line), ';') AS parts
+   FROM fx_query_lines WHERE query_name IS NOT NULL GROUP BY ALL)) WHERE sql_text <> ''"""
 )
 
 ORACLES["split_statements"] = (
@@ -121,7 +124,7 @@ placed AS (SELECT *, {KIND} AS kind, nullif({plain(f"regexp_extract(txt, {q(R.TA
   list_concat({SKIPPED}, list_transform(regexp_extract_all(txt, {q(R.WITH_NAME)}, 1), lambda n: lower({plain("n")}))) AS skipped
   FROM readable),
 parsed AS (SELECT *, list_filter(list_distinct(list_transform(list_concat(
-    regexp_extract_all(body, {q(R.SOURCE)}, 1),
+    list_concat(regexp_extract_all(body, {q(R.SOURCE)}, 1), regexp_extract_all(body, {q(R.COPIED)}, 1)),
     flatten(list_transform(regexp_extract_all(body, {q(R.SOURCE_LIST)}, 1),
       lambda g: list_transform(string_split(g, ','), lambda i: regexp_extract(i, {q(R.FIRST_TABLE)}, 1))))),
     lambda n: {plain("n")})), lambda n: NOT list_contains(skipped, lower(n))) AS sources,

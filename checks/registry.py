@@ -95,8 +95,8 @@ def assemble_queries(spark, sf):
 
 
 @query
-def assemble_script(spark, sf):
-    return statements.assemble_script(statements.assemble_queries(fixture(spark, sf, "fx_script_lines")))
+def table_statements(spark, sf):
+    return statements.table_statements(fixture(spark, sf, "fx_query_lines"), rows=20_000)
 
 
 @query
@@ -157,8 +157,7 @@ def lineage_errors(spark, sf):
 
 @query
 def run_statistics(spark, sf):
-    parsed = _parsed(spark, sf)
-    return reports.run_statistics(parsed, extract.extract_edges(parsed, RUN))
+    return reports.run_statistics(_parsed(spark, sf))
 
 
 @query

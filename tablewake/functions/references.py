@@ -15,7 +15,10 @@ TABLE = rf"{NAME}(?:\s*\.\s*{NAME}){{0,2}}"
 ALIAS = rf"(?:\s+(?:as\s+)?{NAME})?"
 
 LITERAL_OR_COMMENT = r"(?s)'[^']*'|--[^\n]*|/\*.*?\*/"
-FROM_INSIDE_CALL = r"(?i)\b(?:extract|trim|substring)\s*\([^()]*\)"
+_NESTED = r"[^()]*"
+for _ in range(3):
+    _NESTED = rf"[^()]*(?:\({_NESTED}\)[^()]*)*"
+FROM_INSIDE_CALL = rf"(?i)\b(?:extract|trim|substring)\s*\({_NESTED}\)"
 
 # Statement kinds and the words that open them.
 KINDS = {
@@ -37,13 +40,14 @@ TARGET = (
     r"|(?:create|replace)\s+(?:or\s+replace\s+)?(?:(?:multiset|set|volatile|global|temporary|recursive)\s+)*"
     rf"(?:table|view)\s+(?:if\s+not\s+exists\s+)?)({TABLE})"
 )
-SOURCE = rf"(?i)\b(?:from|join|using)\s+({TABLE})"
+SOURCE = rf"(?i)\b(?:(?:from|join)\s*\((?:\s*\()*\s*|(?:from|join|using)\s+)({TABLE})"
 SOURCE_LIST = rf"(?i)\bfrom\s+({TABLE}{ALIAS}(?:\s*,\s*{TABLE}{ALIAS})+)"
+COPIED = rf"(?i)^\s*(?:,[^()]*)?\bas\s+({TABLE})\s+with\s+(?:no\s+)?data\b"
 FIRST_TABLE = rf"^\s*({TABLE})"
 WITH_NAME = rf"(?i)(?:\bwith(?:\s+recursive)?|,)\s*({NAME})\s*(?:\([^()]*\)\s*)?as\s*\("
 
 # Words after FROM or JOIN that open a table expression, not a table.
-NOT_TABLES = ("lateral", "table", "unnest")
+NOT_TABLES = ("lateral", "sel", "select", "table", "unnest", "values", "with")
 
 
 def readable(sql: Column) -> Column:
@@ -74,7 +78,9 @@ def after_target(text: Column) -> Column:
 
 def source_tables(body: Column) -> Column:
     """Distinct tables read in what `after_target` leaves; common table expressions left out."""
-    single = F.regexp_extract_all(body, F.lit(SOURCE), F.lit(1))
+    single = F.concat(
+        F.regexp_extract_all(body, F.lit(SOURCE), F.lit(1)), F.regexp_extract_all(body, F.lit(COPIED), F.lit(1))
+    )
     listed = F.flatten(
         F.transform(
             F.regexp_extract_all(body, F.lit(SOURCE_LIST), F.lit(1)),

@@ -14,7 +14,7 @@ LAST = (1 << 63) - 1
 def new_views(types: DataFrame, views: DataFrame) -> DataFrame:
     """Distinct view names that the catalog lacks, by the form in which names are compared."""
     names = views.where(F.col("view_name").isNotNull()).select(strip(F.col("view_name")).alias("obj_name"))
-    known = types.select(lookup_key(F.col("obj_name")).alias("_key"))
+    known = types.select(lookup_key(F.col("obj_name")).alias("_key")).distinct()
     return names.distinct().withColumn("_key", F.upper("obj_name")).join(known, "_key", "left_anti").drop("_key")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import spread_nulls
 from ..session import counted_save_point
+from .joins import left_join_even
 
 # The levels from the top down, and the name of what the last one owns.
 LEVELS = ("Sector", "Application", "Purpose", "Client", "Tool", "System", "SystemID", "Schema")
@@ -41,8 +42,8 @@ def build_hierarchy(df: DataFrame) -> DataFrame:
     """Full outer join of the eight levels along their shared names; null names match each other.
 
     When no level row has a null parent (checked first), nulls never meet, and the result is the same as: every
-    row that nothing continues, with its ancestors looked up level by level. Those are left joins from
-    the many to the few, which adaptive execution can split on a hot owner; a full outer join it cannot.
+    row that nothing continues, with its owners looked up level by level. Adaptive execution can split
+    those joins on a hot name; a full outer join it cannot.
     The level rows are written once, by level, since every level is read several times.
     """
     rows, found = counted_save_point(
@@ -81,13 +82,10 @@ def hierarchy_by_lookup(df: DataFrame) -> DataFrame:
         if paths is None:
             paths = ends
             continue
-        owners = table.select(F.col(below).alias("_name"), F.col(own))
-        known = [c for c in paths.columns if c != below]
-        paths = (
-            paths.withColumn("_name", spread_nulls(F.col(below), *[F.col(c) for c in known]))
-            .join(owners, "_name", "left")
-            .drop("_name")
-            .unionByName(ends, allowMissingColumns=True)
+        owners = table.select(F.col(below).alias("_below"), F.col(own))
+        others = F.struct(*[c for c in paths.columns if c != below])
+        paths = left_join_even(paths, owners, F.col(below), "_below", others).unionByName(
+            ends, allowMissingColumns=True
         )
     return paths.select(*NAMES)
 
@@ -95,23 +93,24 @@ def hierarchy_by_lookup(df: DataFrame) -> DataFrame:
 def _attach(edges: DataFrame, hierarchy: DataFrame, side: str, by: str, match_null_keys: bool) -> DataFrame:
     """Left join of edges with the hierarchy of the object on one side.
 
-    The null name may be shared by very many rows on both sides; it is spread over salts: an edge
-    takes one, a hierarchy row all of them, so each pair still meets exactly once.
+    Matching null names are spread over salts: an edge takes one, a hierarchy row all of them, so each
+    pair still meets exactly once however many rows share the null name.
     """
     key = f"{side}ObjectName"
     owned = hierarchy.toDF(*[f"{side}{name}" for name in NAMES])
-    salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(by, "InternalRelationship"), F.lit(NULL_SALTS)))
-    left = edges.withColumn("_salt", F.coalesce(salt, F.lit(0)).cast("int"))
+    other = F.struct(by, "InternalRelationship")
+    name = F.col(key)
     if match_null_keys:
-        salts = F.when(F.col(key).isNull(), F.sequence(F.lit(0), F.lit(NULL_SALTS - 1))).otherwise(F.array(F.lit(0)))
-        right = owned.withColumn("_other_salt", F.explode(salts)).withColumnRenamed(key, "_key")
-        meet = F.col(key).eqNullSafe(F.col("_key"))
+        salted = F.concat(F.lit("\0null"), F.pmod(F.xxhash64(other), F.lit(NULL_SALTS)).cast("string"))
+        name = F.coalesce(name, salted)
+        salts = F.transform(
+            F.sequence(F.lit(0), F.lit(NULL_SALTS - 1)), lambda n: F.concat(F.lit("\0null"), n.cast("string"))
+        )
+        met_as = F.when(F.col(key).isNull(), salts).otherwise(F.array(key))
+        owned = owned.withColumn("_name", F.explode(met_as)).drop(key)
     else:
-        right = owned.where(F.col(key).isNotNull()).withColumn("_other_salt", F.lit(0)).withColumnRenamed(key, "_key")
-        meet = F.col(key) == F.col("_key")
-    return left.join(right, meet & (F.col("_salt") == F.col("_other_salt")), "left").drop(
-        "_salt", "_other_salt", "_key"
-    )
+        owned = owned.where(F.col(key).isNotNull()).withColumnRenamed(key, "_name")
+    return left_join_even(edges, owned, name, "_name", other)
 
 
 def flatten_hierarchy(edges: DataFrame, hierarchy: DataFrame, match_null_keys: bool = True) -> DataFrame:

@@ -15,24 +15,30 @@ def _percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.round(F.lit(100.0) * part / whole, 1))
 
 
-def run_statistics(parsed: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    """Statements in all, converted and failed, with percentages; edges too if given."""
+def run_statistics(parsed: DataFrame, include_query_edges: bool = False) -> DataFrame:
+    """Statements in all, converted and failed, with percentages, and edges, in one pass.
+
+    The number of edges of a statement follows from its kind and the sizes of its target and source lists.
+    """
+    kind, targets, sources = F.col("kind"), F.size("targets"), F.size("sources")
+    written = targets * F.greatest(sources, F.lit(1)) + (targets if include_query_edges else 0)
+    edges = F.when(kind == "Select", sources).when(kind == "Delete", targets * sources).otherwise(written)
     failed = F.col("error_type").isNotNull().cast("bigint")
+    zero = F.lit(0).cast("bigint")
     counts = parsed.agg(
-        F.count("*").alias("total_queries"), F.coalesce(F.sum(failed), F.lit(0)).alias("failed_queries")
+        F.count("*").alias("total_queries"),
+        F.coalesce(F.sum(failed), zero).alias("failed_queries"),
+        F.coalesce(F.sum(F.when(kind.isNotNull(), edges)), zero).alias("lineage_relationships"),
     )
     total, bad = F.col("total_queries"), F.col("failed_queries")
-    stats = counts.select(
+    return counts.select(
         total,
         (total - bad).alias("successful_queries"),
         bad,
         _percent(total - bad, total).alias("successful_pct"),
         _percent(bad, total).alias("failed_pct"),
+        "lineage_relationships",
     )
-    if edges is None:
-        return stats
-    # One row each.
-    return stats.join(F.broadcast(edges.agg(F.count("*").alias("lineage_relationships"))), F.lit(True))
 
 
 def error_histogram(parsed: DataFrame) -> DataFrame:

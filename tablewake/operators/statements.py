@@ -53,17 +53,12 @@ def assemble_queries(lines: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     return whole.select("script_file", "query_name", "query_text")
 
 
-def assemble_script(queries: DataFrame) -> DataFrame:
-    """All queries of a script in name order, joined by ``;``. To get statements from a line table,
-    `table_statements` does without this text."""
-    queries_in_order = F.sort_array(F.collect_list(F.struct("query_name", "query_text")))
-    return queries.groupBy("script_file").agg(
-        F.array_join(queries_in_order.getField("query_text"), ";").alias("text")
-    )
-
-
 def table_statements(lines: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
-    """Statements of a line table: each query is cut at ``;`` by itself, which equals cutting the script."""
+    """Statements of a line table.
+
+    Each query is cut at ``;`` by itself. That gives what cutting the script would give, all its queries
+    joined by ``;``, without building that text.
+    """
     named = with_blocks(lines.where(F.col("query_name").isNotNull()), rows, "line_number")
     named = named.withColumn("line", F.coalesce("line", F.lit("")))
     return split_statement_lines(named, ["script_file", "query_name"], ("line_number", "line"))

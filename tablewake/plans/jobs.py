@@ -77,7 +77,7 @@ def lineage_job(
         # Only the keys of all statements are sorted and numbered; the texts of the failed ones join them.
         numbered = failed.join(with_query_index(parsed.select(*place), place), place)
         write_errors(statement_errors(numbered), f"{out}/{run_name}-error_details")
-    return {"statistics": run_statistics(parsed, edges), "errors": error_histogram(parsed)}
+    return {"statistics": run_statistics(parsed, include_query_edges), "errors": error_histogram(parsed)}
 
 
 def script_lineage_job(spark: SparkSession, path: str, out: str, run_name: str, **options) -> dict[str, DataFrame]:

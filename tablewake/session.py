@@ -43,6 +43,20 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
+def _save_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tablewake-{spark.sparkContext.applicationId}"
+
+
+def clear_save_points(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this application, once its results are written."""
+    remove_folder(spark, _save_folder(spark))
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def save_point(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -55,7 +69,7 @@ def counted_save_point(
     df: DataFrame, partition_by: Sequence[str] = (), **counts: Column
 ) -> tuple[DataFrame, dict[str, int]]:
     """`save_point`, with the number of ``rows`` and of rows that meet each condition, taken on the way."""
-    path = f"{shared_folder(df.sparkSession)}/tablewake-{uuid.uuid4().hex}"
+    path = f"{_save_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     seen = Observation()
     counted = df.observe(
         seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(n) for n, c in counts.items()]

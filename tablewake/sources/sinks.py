@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..session import remove_folder
+
 SAMPLE_ROWS = 10
 
 
@@ -15,9 +17,7 @@ def _write(df: DataFrame, path: str, fmt: str, mode: str, **options: str) -> int
     counted.write.mode(mode).options(**options).format(fmt).save(path)
     rows = seen.get["rows"]
     if rows == 0 and mode in ("error", "errorifexists", "overwrite"):
-        jvm = df.sparkSession._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+        remove_folder(df.sparkSession, path)
     return rows
 
 

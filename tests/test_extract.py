@@ -26,6 +26,11 @@ CASES = [
     ("select a -- from no\n from yes /* join no */", "Select", [], ["yes"]),
     ("select * from table (f(x)) as t, u", "Select", [], []),
     ("select d.x from lateral (select 1 from inner1) d", "Select", [], ["inner1"]),
+    ("select extract(year from cast(trim(both from x) as date)) from t", "Select", [], ["t"]),
+    ("sel * from ((a.b x join c on 1=1) left join (sel 1 from d) e on 1=1) join f using (id)", "Select", [], ["a.b", "c", "d", "f"]),
+    ("create table a.b as c.d with no data", "Create", ["a.b"], ["c.d"]),
+    ("create volatile table b, no log as c with data on commit preserve rows", "Create", ["b"], ["c"]),
+    ("merge into t using (select a from u) s on 1=1", "Merge", ["t"], ["u"]),
     ("DROP TABLE a.b", "Drop", [], []),
     ("COLLECT STATISTICS ON t", "Command", [], []),
     ("CALL p(1)", "Command", [], []),
@@ -82,14 +87,14 @@ def test_errors_and_counts(spark):
     assert rows(statement_errors(parsed), "pos", "sql_query", "error_type") == [
         (1, "what", "UnrecognizedStatement"), (2, "  ", "EmptyQuery"), (3, "oops", "UnrecognizedStatement"),
     ]
-    assert rows(run_statistics(parsed)) == [(5, 2, 3, 40.0, 60.0)]
+    assert rows(run_statistics(parsed)) == [(5, 2, 3, 40.0, 60.0, 0)]
     assert [tuple(r) for r in error_histogram(parsed).collect()] == [("UnrecognizedStatement", 2, 66.7), ("EmptyQuery", 1, 33.3)]
 
 
 def test_no_statements(spark):
     parsed = parse_statements(statements(spark, ["x"]).where(F.lit(False)))
     assert extract_edges(parsed, "run").columns == ["script_file", "child_table_name", "relationship", "parent_table_name", "is_query"]
-    assert rows(run_statistics(parsed)) == [(0, 0, 0, None, None)]
+    assert rows(run_statistics(parsed)) == [(0, 0, 0, None, None, 0)]
 
 
 def test_parsing_is_not_repeated(spark):

@@ -119,7 +119,6 @@ def test_queries_of_a_line_table(spark):
     assert rows(queries) == [
         ("r", "a", "z"), ("s", "a", "\nx;y"), ("s", "b", "select 1\nfrom t\n;tail"),
     ]
-    assert rows(S.assemble_script(queries)) == [("r", "z"), ("s", "\nx;y;select 1\nfrom t\n;tail")]
     assert rows(S.table_statements(lines, rows=5), "script_file", "query_name", "sql_text") == [
         ("r", "a", "z"), ("s", "a", "x"), ("s", "a", "y"), ("s", "b", "select 1\nfrom t"), ("s", "b", "tail"),
     ]
