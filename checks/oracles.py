@@ -71,7 +71,7 @@ ORACLES["table_statements"] = (
     with_ctes(fixture_cte("fx_query_lines"))
     + f"""SELECT * FROM (
  SELECT script_file, query_name, CAST(generate_subscripts(parts, 1) - 1 AS BIGINT) AS pos, trim(unnest(parts), {BLANKS}) AS sql_text
- FROM (SELECT script_file, query_name, string_split(string_agg(coalesce(line, ''), chr(10) ORDER BY line_number, line), ';') AS parts
+ FROM (SELECT script_file, query_name, string_split(string_agg(coalesce(line, ''), chr(10) ORDER BY line_number, coalesce(line, '')), ';') AS parts
    FROM fx_query_lines WHERE query_name IS NOT NULL GROUP BY ALL)) WHERE sql_text <> ''"""
 )
 

@@ -113,10 +113,11 @@ def strip_comment_lines(lines: DataFrame, keys: Sequence[str] = KEYS) -> DataFra
             F.when(literal, line).when(reopened, F.concat(kept, tail)).otherwise(kept).alias("line"),
         )
     )
-    pieces = scan_before(
-        marked, keys, last={"head": F.when(F.col("starts"), at)}
-    ).where("has_text").withColumn("head", F.when(F.col("starts"), at).otherwise(F.col("head")))
-    joined = assemble_text(pieces, [*keys, "head"], "line", sep="")
+    head = {f"head_{c}": F.when(F.col("starts"), F.col(c)) for c in ("block", "pos")}
+    pieces = scan_before(marked, keys, last=head).where("has_text").withColumns(
+        {n: F.coalesce(own, F.col(n)) for n, own in head.items()}
+    )
+    joined = assemble_text(pieces, [*keys, *head], "line", sep="")
 
     plain = lines.where(~has_mark).select(
         *keys, "block", "pos", "line", F.lit(None).cast("boolean").alias("state"), F.lit(False).alias("whole")
@@ -125,7 +126,7 @@ def strip_comment_lines(lines: DataFrame, keys: Sequence[str] = KEYS) -> DataFra
         *keys, "block", "pos", F.lit(None).cast("string").alias("line"), "state", F.lit(False).alias("whole")
     )
     wholes = joined.select(
-        *keys, "head.block", "head.pos", "line", F.lit(None).cast("boolean").alias("state"),
+        *keys, F.col("head_block").alias("block"), F.col("head_pos").alias("pos"), "line", F.lit(None).cast("boolean").alias("state"),
         F.lit(True).alias("whole"),
     )
     scanned = scan_before(
@@ -149,15 +150,16 @@ def sessionise(lines: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
         keys,
         last={
             "inside": F.when(F.col("is_end"), F.lit(False)).when(F.col("is_start"), F.lit(True)),
-            "after": F.when(F.col("is_end"), F.struct("block", "pos")),
+            "after_block": F.when(F.col("is_end"), F.col("block")),
+            "after_pos": F.when(F.col("is_end"), F.col("pos")),
         },
     )
     inside = F.coalesce("inside", F.lit(False))
     return scanned.where(inside | F.col("is_start")).select(
         *keys, "block", "pos", "line",
         (F.col("is_start") & ~inside).alias("begins"),
-        F.coalesce(F.col("after.block"), F.lit(-1)).alias("after_block"),
-        F.coalesce(F.col("after.pos"), F.lit(-1)).alias("after_pos"),
+        F.coalesce("after_block", F.lit(-1)).alias("after_block"),
+        F.coalesce("after_pos", F.lit(-1)).alias("after_pos"),
     )
 
 

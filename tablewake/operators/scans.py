@@ -31,8 +31,9 @@ def scan_before(
     """Add to each row what the rows before it in its group amount to.
 
     ``last``: the latest non-null value before the row (null if none). ``total``: the sum before the row
-    (0 if none). The summary per block is a plain aggregate, combined before its shuffle; the
-    rows themselves are shuffled once, by group and block, and stay so partitioned.
+    (0 if none). The summary per block is a plain aggregate, combined before its shuffle (by hashing, if
+    the values have a fixed width); the rows themselves are shuffled once, by group and block, and stay
+    so partitioned.
     """
     last, total = dict(last or {}), dict(total or {})
     names = [*last, *total]

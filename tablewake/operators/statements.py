@@ -37,7 +37,8 @@ def split_statement_lines(
         *keys, "block", *[c for c in order if c not in keys], "_first",
         F.posexplode(F.split(text, ";", -1)).alias("_nth", "sql_text"),
     ).withColumn("statement", F.col("_first") + F.col("_nth"))
-    whole = assemble_text(pieces, [*keys, "statement"], "sql_text", order)
+    # Equal lines share their place; the number of the statement before them tells them apart.
+    whole = assemble_text(pieces, [*keys, "statement"], "sql_text", (*order, "_first"))
     return whole.select(
         *keys, F.col("statement").alias("pos"), strip(F.col("sql_text")).alias("sql_text")
     ).where("sql_text != ''")

@@ -124,6 +124,12 @@ def test_queries_of_a_line_table(spark):
     ]
 
 
+def test_equal_lines_keep_their_own_statements(spark):
+    lines = spark.createDataFrame([("s", 0, 1, "x;y")] * 3, "script_file string, block long, pos long, line string")
+    got = S.split_statement_lines(lines, order=("pos", "line"))
+    assert rows(got, "pos", "sql_text") == [(0, "x"), (1, "y\nx"), (2, "y\nx"), (3, "y")]
+
+
 def test_query_index_counts_all(spark):
     data = [(f"s{i % 7}", i, "x") for i in range(500)]
     df = spark.createDataFrame(data, "script_file string, pos long, sql_text string").repartition(5)
