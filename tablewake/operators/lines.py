@@ -129,9 +129,8 @@ def strip_comment_lines(lines: DataFrame, keys: Sequence[str] = KEYS) -> DataFra
         *keys, F.col("head_block").alias("block"), F.col("head_pos").alias("pos"), "line", F.lit(None).cast("boolean").alias("state"),
         F.lit(True).alias("whole"),
     )
-    scanned = scan_before(
-        plain.unionByName(states).unionByName(wholes), keys, last={"inside": F.col("state")}
-    )
+    outcome = save_point(states.unionByName(wholes))
+    scanned = scan_before(plain.unionByName(outcome), keys, last={"inside": F.col("state")})
     visible = F.col("whole") | ~F.coalesce("inside", F.lit(False))
     return scanned.where(F.col("line").isNotNull() & visible).select(*keys, "block", "pos", "line")
 

@@ -38,6 +38,9 @@ def scan_before(
     last, total = dict(last or {}), dict(total or {})
     names = [*last, *total]
     group = [*keys, block]
+    # An inner join with the summary: as both sides then filter keys alike, a later scan of the result
+    # finds the shuffled rows again. So that no row is lost, a null name becomes the empty name.
+    df = df.na.fill("", list(keys))
     rows = df.select("*", *[value.alias(f"_{name}") for name, value in {**last, **total}.items()])
 
     place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
@@ -54,7 +57,7 @@ def scan_before(
 
     within = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("bigint")
-    return rows.join(carried, group, "left").select(
+    return rows.join(carried, group).select(
         *[c for c in df.columns if c not in names],
         *[
             F.coalesce(F.last(f"_{n}", ignorenulls=True).over(within), F.col(f"_in_{n}")).alias(n)
