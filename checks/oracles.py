@@ -154,7 +154,8 @@ ORACLES["table_refs"] = (
 ORACLES["lineage_edges_raw"] = PARSED + f"SELECT {EDGE} FROM edges"
 ORACLES["lineage_edges_query"] = (
     PARSED
-    + f"""SELECT {EDGE} FROM edges UNION ALL
+    + f"""SELECT script_file, CASE WHEN is_query THEN '{RUN}' ELSE child_table_name END AS child_table_name, relationship, parent_table_name
+FROM edges UNION ALL
 SELECT script_file, '{RUN}', kind, {qualified("target")} FROM parsed
 WHERE error_type IS NULL AND target IS NOT NULL AND kind NOT IN ('Select', 'Delete')"""
 )

@@ -147,7 +147,9 @@ def lineage_edges_raw(spark, sf):
 
 @query
 def lineage_edges_query(spark, sf):
-    return extract.extract_edges(_parsed(spark, sf), RUN, include_query_edges=True).drop("is_query")
+    """The sequential variant: all selects feed the run, which also depends on each table written."""
+    parsed = _parsed(spark, sf)
+    return extract.extract_edges(parsed, RUN, include_query_edges=True, per_script=False).drop("is_query")
 
 
 @query

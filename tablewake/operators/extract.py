@@ -40,10 +40,12 @@ def parse_statements(statements: DataFrame) -> DataFrame:
     )
 
 
-def extract_edges(parsed: DataFrame, run_name: str, include_query_edges: bool = False) -> DataFrame:
+def extract_edges(
+    parsed: DataFrame, run_name: str, include_query_edges: bool = False, per_script: bool = True
+) -> DataFrame:
     """Child, relationship, parent rows of parsed statements.
 
-    A select feeds the pseudo table ``<run>-<script>`` (``is_query``). Deletes and selects without a
+    A select feeds the pseudo table ``<run>-<script>``, or ``<run>`` if not ``per_script`` (``is_query``). Deletes and selects without a
     source give nothing; other writes without a source give a null parent.
     ``include_query_edges`` adds that the run depends on each table written.
     """
@@ -52,7 +54,8 @@ def extract_edges(parsed: DataFrame, run_name: str, include_query_edges: bool =
     is_query = kind == "Select"
     # No filter on errors here: pushed below the parsing it would repeat every pattern. Failed
     # statements have no kind, hence no pairs.
-    children = F.when(is_query, F.array(F.concat(F.lit(run_name), F.lit("-"), script))).otherwise(
+    query = F.concat(F.lit(run_name), F.lit("-"), script) if per_script else F.lit(run_name)
+    children = F.when(is_query, F.array(query)).otherwise(
         F.transform("targets", lambda t: qualify(t, script))
     )
     no_parent = F.array(F.lit(None).cast("string"))

@@ -45,9 +45,10 @@ def lineage_edges(
     types: DataFrame | None = None,
     default: str = "VOLTABLE",
     include_query_edges: bool = False,
+    per_script: bool = True,
 ) -> DataFrame:
     """Statements to typed, upper-cased edges."""
-    edges = extract_edges(parse_statements(statements), run_name, include_query_edges)
+    edges = extract_edges(parse_statements(statements), run_name, include_query_edges, per_script)
     return normalise_case(add_table_types(edges, types, run_name, default))
 
 
@@ -59,15 +60,17 @@ def lineage_job(
     views: DataFrame | None = None,
     default: str = "VOLTABLE",
     include_query_edges: bool = False,
+    per_script: bool = True,
     fmt: str = "parquet",
 ) -> dict[str, DataFrame]:
     """Write edges and errors of a run; return its statistics.
 
-    Statements are parsed once and written; edges, errors and counts all read from there.
+    Statements are parsed once and written; edges, errors and counts all read from there. The rules of the
+    sequential variant are ``default="VIEW"``, ``include_query_edges=True`` and ``per_script=False``.
     """
     place = [c for c in ("script_file", "file_path", "query_name", "block", "line_pos", "pos") if c in statements.columns]
     parsed = save_point(parse_statements(statements))
-    edges = extract_edges(parsed, run_name, include_query_edges)
+    edges = extract_edges(parsed, run_name, include_query_edges, per_script)
     if types is not None and views is not None:
         types = extend_catalog(types, views)
     typed = normalise_case(add_table_types(edges, types, run_name, default))

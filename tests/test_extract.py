@@ -82,6 +82,11 @@ def test_query_edges(spark):
     ]
 
 
+def test_one_query_name_for_all_scripts(spark):
+    got = edges(spark, ["select 1 from c.d", "insert into a select * from b"], per_script=False)
+    assert rows(got, "child_table_name", "is_query") == [("run", True), ("scr.a", False)]
+
+
 def test_errors_and_counts(spark):
     parsed = parse_statements(statements(spark, ["sel 1", "what", " _x000D_", "oops", "drop table t"]))
     assert rows(statement_errors(parsed), "pos", "sql_query", "error_type") == [
