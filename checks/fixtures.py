@@ -9,6 +9,10 @@ import string
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablewake.session import spread
+
+LONG_TABLES = ("documents", "events", "lineitem", "orders")
+
 FIXTURES = {
     # Statements of every kind, with clauses to remove, literals, comments and empty ones.
     "fx_statements": """
@@ -135,9 +139,15 @@ def tables_of(sql: str) -> list[str]:
     return sorted({field for _, field, _, _ in string.Formatter().parse(sql) if field})
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table; the long ones are shared out if they come as few splits."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in LONG_TABLES else df
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = FIXTURES[name]
-    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables_of(sql)})
+    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in tables_of(sql)})
 
 
 def fixture_cte(*names: str) -> str:

@@ -12,9 +12,9 @@ from tablewake.functions.names import normalise_case
 from tablewake.operators import catalog, extract, hierarchy, lines, reports, resolve, statements
 from tablewake.operators.scans import assemble_text
 from tablewake.plans.jobs import lineage_edges
-from tablewake.session import save_point, spread
+from tablewake.session import save_point
 
-from .fixtures import fixture
+from .fixtures import fixture, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,11 +28,11 @@ def query(run: Query) -> Query:
 
 
 def _documents(spark, sf):
-    return spread(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id")
+    return table(spark, sf, "documents")
 
 
 def _parsed(spark, sf):
-    return extract.parse_statements(spread(fixture(spark, sf, "fx_statements"), "script_file", "query_index"))
+    return extract.parse_statements(fixture(spark, sf, "fx_statements"))
 
 
 def _joined(names: F.Column) -> F.Column:
@@ -65,7 +65,7 @@ def strip_block_comments(spark, sf):
 @query
 def strip_comment_lines(spark, sf):
     """Comments removed line by line, then the lines joined again: equals removal from the whole text."""
-    numbered = lines.split_lines(spread(fixture(spark, sf, "fx_commented"), "doc_id"), rows=16)
+    numbered = lines.split_lines(fixture(spark, sf, "fx_commented"), rows=16)
     kept = lines.strip_comment_lines(numbered, ["doc_id"])
     return assemble_text(kept, ["doc_id"], "line").select("doc_id", F.col("line").alias("text"))
 
@@ -251,8 +251,7 @@ def resolution_statistics(spark, sf):
 @query
 def end_to_end_lineage(spark, sf):
     """Statements to edges between non-volatile tables."""
-    found = spread(fixture(spark, sf, "fx_statements"), "script_file", "query_index")
-    edges = lineage_edges(found, RUN, fixture(spark, sf, "fx_statement_catalog"))
+    edges = lineage_edges(fixture(spark, sf, "fx_statements"), RUN, fixture(spark, sf, "fx_statement_catalog"))
     return resolve.resolve_volatile(save_point(edges))
 
 

@@ -78,10 +78,10 @@ def counted_save_point(
     return df.sparkSession.read.schema(df.schema).parquet(path), seen.get
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Share out rows that were read as fewer splits than there are cores, for costly row-wise work.
 
     Only for frames that read files directly: to ask a shuffled one for its partitions would run it.
     """
     wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, *keys)
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
