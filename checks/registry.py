@@ -243,7 +243,7 @@ def resolved_top(spark, sf):
 
 @query
 def resolution_statistics(spark, sf):
-    prepared = resolve.prepare_relations(fixture(spark, sf, "fx_relations"))
+    prepared = save_point(resolve.prepare_relations(fixture(spark, sf, "fx_relations")))
     resolved = save_point(resolve.resolve_volatile(prepared, prepared=True))
     return reports.resolution_statistics(prepared, resolved)
 
@@ -252,7 +252,7 @@ def resolution_statistics(spark, sf):
 def end_to_end_lineage(spark, sf):
     """Statements to edges between non-volatile tables."""
     edges = lineage_edges(fixture(spark, sf, "fx_statements"), RUN, fixture(spark, sf, "fx_statement_catalog"))
-    return resolve.resolve_volatile(save_point(edges))
+    return resolve.resolve_volatile(edges)
 
 
 # --- hierarchy ------------------------------------------------------------------------------------

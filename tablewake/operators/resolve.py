@@ -164,9 +164,10 @@ def volatile_closure(definitions: DataFrame, starts: DataFrame, max_depth: int |
 def resolve_volatile(relations: DataFrame, max_depth: int | None = None, prepared: bool = False) -> DataFrame:
     """Edges between non-volatile tables, with the trail of scripts in ``script_file``.
 
-    ``max_depth`` raises when exceeded; it never cuts the result.
+    ``max_depth`` raises when exceeded; it never cuts the result. The relations are read several
+    times; pass them as ``prepared`` only when they are a written table of prepared rows.
     """
-    relations = relations if prepared else prepare_relations(relations)
+    relations = relations if prepared else save_point(prepare_relations(relations))
     roots = relations.where(~is_volatile("child_table_type"))
     direct = roots.where(~is_volatile("parent_table_type"))
     through = roots.where(is_volatile("parent_table_type")).select(*RELATION_COLUMNS)

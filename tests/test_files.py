@@ -1,5 +1,7 @@
 """Scans, sinks and whole jobs over temporary folders."""
 
+from pathlib import Path
+
 import pytest
 
 from tablewake import session
@@ -189,6 +191,27 @@ def test_hierarchy_job(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "h" / "relationship_table"), header=True).count() == 1
 
 
+def test_empty_input(spark, tmp_path):
+    """No statements, no edges, no levels: empty results with their columns."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "empty.sql").write_text("  ;\n")
+    out = str(tmp_path / "out")
+    stats = jobs.script_lineage_job(spark, str(tmp_path / "in"), out, "run")
+    assert rows(stats["statistics"]) == [(0, 0, 0, None, None, 0)] and stats["errors"].count() == 0
+    assert not list((tmp_path / "out").glob("run-*"))
+    none = spark.createDataFrame([], "script_file string, child_table_name string, relationship string, parent_table_name string, child_table_type string, parent_table_type string")
+    assert rows(jobs.resolve_job(none, f"{out}/simplified"), "n")[0] == (0,)
+    jobs.hierarchy_job(none, f"{out}/hierarchy")
+    assert not list((tmp_path / "out").rglob("*.parquet")) and not list((tmp_path / "out").rglob("*.csv"))
+
+
+def test_save_points_can_be_cleared(spark):
+    file = session.save_point(spark.range(2)).inputFiles()[0].removeprefix("file:").replace("///", "/")
+    assert Path(file).exists()
+    session.clear_save_points(spark)
+    assert not Path(file).exists()
+
+
 def test_intermediate_tables_go_to_the_shared_folder(spark):
     saved = session.save_point(spark.range(2))
     assert saved.count() == 2
