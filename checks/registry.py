@@ -170,8 +170,7 @@ def error_histogram(spark, sf):
 @query
 def log_lineage(spark, sf):
     """Log lines to edges, with no file between."""
-    texts = lines.assemble_statements(lines.sessionise(_log_lines(spark, sf)))
-    found = statements.split_statements(texts.select("script_file", "sql_text"), "sql_text")
+    found = statements.split_statement_lines(lines.sessionise(_log_lines(spark, sf)))
     return extract.extract_edges(extract.parse_statements(found), RUN).drop("is_query")
 
 

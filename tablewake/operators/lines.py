@@ -66,8 +66,8 @@ def strip_comment_lines(lines: DataFrame, keys: Sequence[str] = KEYS) -> DataFra
     the shared folder, then one scan over all lines drops those inside a comment. Lines that a comment had
     run together come back as one line, at the place of the first.
     """
-    lines = lines.select(*keys, "block", "pos", "line")
     line = F.col("line")
+    lines = lines.select(*keys, "block", "pos", F.coalesce(line, F.lit("")).alias("line"))
     has_mark = line.contains("/*") | line.contains("*/")
     close = F.instr(line, "*/")
     outside = _read_outside(line)
@@ -168,6 +168,11 @@ def assemble_statements(session_lines: DataFrame, keys: Sequence[str] = KEYS) ->
     return whole.select(*keys, "block", "pos", F.col("line").alias("sql_text"))
 
 
+def clean_log(lines: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Raw log lines to the lines of statements: comments, noise and console output gone."""
+    return sessionise(strip_comment_lines(lines, keys), keys)
+
+
 def log_statements(lines: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Raw log lines to statements: comments, noise, sessions, text."""
-    return assemble_statements(sessionise(strip_comment_lines(lines, keys), keys), keys)
+    """Raw log lines to statements as the log gives them; one may hold several, cut by semicolons."""
+    return assemble_statements(clean_log(lines, keys), keys)

@@ -9,7 +9,7 @@ from ..functions.names import normalise_case
 from ..operators.catalog import add_table_types, extend_catalog
 from ..operators.extract import extract_edges, parse_statements, statement_errors
 from ..operators.hierarchy import build_hierarchy, flatten_hierarchy, relationship_rows
-from ..operators.lines import log_statements
+from ..operators.lines import clean_log
 from ..operators.reports import (
     error_histogram,
     hierarchy_statistics,
@@ -19,7 +19,6 @@ from ..operators.reports import (
 from ..operators.resolve import prepare_relations, resolve_volatile, sort_relations
 from ..operators.statements import (
     split_statement_lines,
-    split_statements,
     table_statements,
     with_query_index,
 )
@@ -34,9 +33,8 @@ def script_statements(spark: SparkSession, path: str) -> DataFrame:
 
 
 def log_file_statements(spark: SparkSession, path: str) -> DataFrame:
-    """Statements of all logs below a path, straight from the logs."""
-    texts = log_statements(read_log_lines(spark, path), FILE_KEYS)
-    return split_statements(texts.select(*FILE_KEYS, "block", F.col("pos").alias("line_pos"), "sql_text"), "sql_text")
+    """Statements of all logs below a path: the lines kept, cut at ``;``, with no file between."""
+    return split_statement_lines(clean_log(read_log_lines(spark, path), FILE_KEYS), FILE_KEYS)
 
 
 def lineage_edges(
@@ -68,7 +66,7 @@ def lineage_job(
     Statements are parsed once and written; edges, errors and counts all read from there. The rules of the
     sequential variant are ``default="VIEW"``, ``include_query_edges=True`` and ``per_script=False``.
     """
-    place = [c for c in ("script_file", "file_path", "query_name", "block", "line_pos", "pos") if c in statements.columns]
+    place = [c for c in ("script_file", "file_path", "query_name", "pos") if c in statements.columns]
     parsed = save_point(parse_statements(statements))
     edges = extract_edges(parsed, run_name, include_query_edges, per_script)
     if types is not None and views is not None:
@@ -98,7 +96,7 @@ def log_lineage_job(spark: SparkSession, path: str, out: str, run_name: str, **o
 
 def clean_logs_job(spark: SparkSession, path: str, out: str) -> None:
     """Write the statements of each log as SQL text."""
-    write_cleaned(log_statements(read_log_lines(spark, path), FILE_KEYS), out)
+    write_cleaned(clean_log(read_log_lines(spark, path), FILE_KEYS), out)
 
 
 def resolve_job(relations: DataFrame, out: str, fmt: str = "parquet", max_depth: int | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..functions.text import ends_statement
 from ..session import remove_folder
 
 SAMPLE_ROWS = 10
@@ -32,15 +33,16 @@ def write_errors(df: DataFrame, path: str, mode: str = "errorifexists") -> int:
     return _write(df, path, "csv", mode, header="true", escape='"')
 
 
-def write_cleaned(statements: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Statements of logs as text, one folder per script, statements in order with blank lines between.
+def write_cleaned(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """The statement lines of logs as text, one folder per script, blank lines after each statement.
 
-    Rows are range-partitioned by script and place, so a long log is written by many tasks; its files
-    sort by name into the order of the log.
+    No statement is assembled for this. The lines are range-partitioned by script and place, so a long log is
+    written by many tasks; its files sort by name into the order of the log.
     """
-    place = [c for c in ("script_file", "file_path", "block", "pos") if c in statements.columns]
-    text = F.concat("sql_text", F.lit("\n\n")).alias("value")
-    ordered = statements.repartitionByRange(*place).sortWithinPartitions(*place)
+    place = [c for c in ("script_file", "file_path", "block", "pos") if c in lines.columns]
+    line = F.col("line")
+    text = F.when(ends_statement(line), F.concat(line, F.lit("\n\n"))).otherwise(line).alias("value")
+    ordered = lines.repartitionByRange(*place).sortWithinPartitions(*place)
     ordered.select("script_file", text).write.mode(mode).partitionBy("script_file").text(path)
 
 

@@ -171,7 +171,7 @@ def test_log_jobs(spark, folder):
     texts = {p.parent.name: p.read_text() for p in (folder / "clean").rglob("part-*")}
     assert texts == {
         "script_file=l1": " SELECT a\n  FROM db.src;\n\n\nINSERT INTO db.t \nSELECT * FROM vt; SEL 1 FROM db.y;\n\n\nupdate db.t set a = 1;\n\n\n",
-        "script_file=l2": "sel x from q.r\n\n\n",
+        "script_file=l2": "sel x from q.r\n",
     }
     jobs.log_lineage_job(spark, path, str(folder / "lineage"), "r")
     got = spark.read.parquet(str(folder / "lineage" / "r-relations"))
