@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewake.llm import simhash_dedup
+from tablewake.llm import decontaminate, packing, simhash_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,20 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op1_packing(spark, sf):
+    """Pieces of documents in windows of 2,048 tokens."""
+    import public_tokenizers as public
+
+    return packing.pack(table(spark, sf, "documents"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+
+
+@query
+def op7_benchmark_decontamination(spark, sf):
+    """Benchmark items that windows of a document repeat."""
+    return decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query
 def op9_simhash_near_dedup(spark, sf):
     """Groups of documents whose fingerprints of three-word shingles differ in at most three bits."""
