@@ -4,27 +4,64 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers as public
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewake.llm import simhash_dedup
-from tablewake.session import shared_folder
+from tablewake.llm import decontaminate, language, packing, simhash_dedup, toxicity
+from tablewake.llm.queries import language_may_learn, toxicity_may_learn
+from tablewake.session import counted_save_point, shared_folder
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` less the ids in ``gone``. Ids are sent to all tasks only if they were counted and are few."""
+    ids, counts = counted_save_point(gone.select("doc_id").distinct())
+    few = counts["rows"] <= decontaminate.BROADCAST_ROWS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are predicted toxic go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs.where(toxicity_may_learn()), labels)
+    return toxicity.add_toxicity(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in none of the learned languages, those without a letter, go."""
+    profiles = language.learn(docs, language_may_learn())
+    found = language.add_language(docs, profiles)
+    return found.where(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest id.
 
-    The operator gives the groups; who is not the first of its group goes. Documents without an id cannot be
-    told apart and stay; rows that repeat an id and a text are one document.
+    Documents without an id cannot be told apart and stay; rows that repeat an id are one document.
     """
-    groups = simhash_dedup.simhash_groups(docs)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return without(docs, simhash_dedup.simhash_groups(docs).where("doc_id <> component_id"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that repeat a benchmark item go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return without(docs, decontaminate.contamination(docs, benchmark))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, cut and packed into windows."""
+    return packing.pack(docs, public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language_id", keep_known_language),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontaminated),
+    ("packing", packed),
+]
 
-#: The classifiers and the fingerprints cannot be said in SQL.
+#: The classifiers, fingerprints and token ids cannot be said in SQL.
 ORACLE_SQL = None
 
 

@@ -104,7 +104,7 @@ def hamming_pairs(windows: DataFrame, items: DataFrame, radius: int = RADIUS, it
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """Weighted Jaccard similarity of two arrays of shingles, each weighing as often as it occurs."""
+    """Weighted Jaccard similarity of two arrays of shingles, each weighing as often as it occurs; null of two empty ones."""
     either_repeats = (F.size(F.array_distinct(a)) < F.size(a)) | (F.size(F.array_distinct(b)) < F.size(b))
     common = F.array_intersect(a, b)
     least = F.aggregate(
@@ -113,7 +113,7 @@ def similarity(a: Column, b: Column) -> Column:
         lambda total, s: total + F.least(F.size(F.filter(a, lambda x: x == s)), F.size(F.filter(b, lambda x: x == s))),
     )
     shared = F.when(either_repeats, least).otherwise(F.size(common))
-    return shared / (F.size(a) + F.size(b) - shared)
+    return F.try_divide(shared, F.size(a) + F.size(b) - shared)
 
 
 def contamination(

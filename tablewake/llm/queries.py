@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablewake.llm import decontaminate, packing, simhash_dedup
+from tablewake.llm import decontaminate, language, packing, simhash_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +22,20 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _id_remainder(of: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % of
+
+
+def toxicity_may_learn() -> Column:
+    """Which documents' toxicity labels may be seen: the other third is held out."""
+    return _id_remainder(3) != 1
+
+
+def language_may_learn() -> Column:
+    """Which documents' languages may be seen: the other fifth is held out."""
+    return _id_remainder(5) != 0
+
+
 @query
 def op1_packing(spark, sf):
     """Pieces of documents in windows of 2,048 tokens."""
@@ -29,6 +44,24 @@ def op1_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
 
 
+@query
+def op2_toxicity(spark, sf):
+    """Toxicity of every document, learned from the labels that are not held out."""
+    docs = table(spark, sf, "documents")
+    model = toxicity.fit(docs.where(toxicity_may_learn()), table(spark, sf, "labels"))
+    scored = toxicity.add_toxicity(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (~toxicity_may_learn()).alias("held_out"), "score", "predicted")
+
+
+@query
+def op5_language_id(spark, sf):
+    """Language of every document, learned from those that are not held out."""
+    docs = table(spark, sf, "documents")
+    profiles = language.learn(docs, language_may_learn())
+    found = language.add_language(docs.select("doc_id", "text"), profiles)
+    return found.select("doc_id", (~language_may_learn()).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op7_benchmark_decontamination(spark, sf):
     """Benchmark items that windows of a document repeat."""
