@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewake.llm import decontaminate, language, packing, simhash_dedup, toxicity
+from tablewake.llm import decontaminate, language, packing, quotes, sharding, simhash_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,6 +53,12 @@ def op2_toxicity(spark, sf):
     return scored.select("doc_id", (~toxicity_may_learn()).alias("held_out"), "score", "predicted")
 
 
+@query
+def op4_quotation_linking(spark, sf):
+    """Every message without quotations, in the order of its conversation's replies."""
+    return quotes.reply_order(table(spark, sf, "conversations"))
+
+
 @query
 def op5_language_id(spark, sf):
     """Language of every document, learned from those that are not held out."""
@@ -62,6 +68,13 @@ def op5_language_id(spark, sf):
     return found.select("doc_id", (~language_may_learn()).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op6_hilbert_sharding(spark, sf):
+    """Documents in 40 runs of equal bytes along a Hilbert curve through language, source and size."""
+    placed = sharding.hilbert_shards(table(spark, sf, "documents"))
+    return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 @query
 def op7_benchmark_decontamination(spark, sf):
     """Benchmark items that windows of a document repeat."""
@@ -72,3 +85,11 @@ def op7_benchmark_decontamination(spark, sf):
 def op9_simhash_near_dedup(spark, sf):
     """Groups of documents whose fingerprints of three-word shingles differ in at most three bits."""
     return simhash_dedup.simhash_groups(table(spark, sf, "documents"))
+
+
+@query
+def op10_token_counts(spark, sf):
+    """Tokens of every line of every document."""
+    import public_tokenizers as public
+
+    return token_counts.section_tokens(table(spark, sf, "documents"), public.path("byte_bpe_50k.json"))

@@ -1,0 +1,59 @@
+import random
+import zlib
+from itertools import product
+
+import numpy as np
+import pytest
+
+from tablewake.llm.queries import QUERIES
+from tablewake.llm.sharding import hilbert_index, hilbert_shards, write_shards
+
+SCHEMA = "doc_id long, text string, lang string, source string, shard string, size string"
+
+
+@pytest.mark.parametrize("dims,bits", [(2, 4), (3, 3), (4, 2)])
+def test_curve_visits_every_cell_in_steps_of_one(dims, bits):
+    points = np.array(list(product(range(1 << bits), repeat=dims)))
+    index = hilbert_index(points, bits)
+    assert sorted(index) == list(range(len(points)))
+    walk = points[np.argsort(index)]
+    assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
+
+
+def check(rows, docs, shards):
+    assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in rows) == sorted(
+        (str(i), len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, *_ in docs
+    )
+    total, largest = sum(r.size for r in rows), max(r.size for r in rows)
+    for k in range(shards):
+        part = sorted(r.slot for r in rows if r.shard == k)
+        assert part == list(range(len(part)))
+        assert abs(sum(r.size for r in rows if r.shard == k) - total / shards) <= largest
+    walk = sorted(rows, key=lambda r: (r.shard, r.slot))
+    assert [r.curve for r in walk] == sorted(r.curve for r in rows)
+
+
+def test_equal_bytes_in_curve_order(spark):
+    rng = random.Random(3)
+    docs = [(i, "é" * rng.randrange(200), rng.choice(["a", "b", None]), f"s{i % 7}", "x", "y") for i in range(500)]
+    docs += [(i, "copy of it", "a", "s0", "x", "y") for i in range(600, 900)]
+    docs += [(1000, None, None, None, "x", "y"), (None, "", "a", "s0", "x", "y"), (600, "copy of it", "a", "s0", "x", "y"), (1001, "z" * 30_000, "b", "s1", "x", "y")]
+    rows = hilbert_shards(spark.createDataFrame(docs, SCHEMA), 8).collect()
+    check(rows, docs, 8)
+
+
+def test_empty_table_and_one_row(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    assert hilbert_shards(none).count() == 0
+    one = hilbert_shards(spark.createDataFrame([(1, "x", "a", "b", "", "")], SCHEMA)).collect()
+    assert [(r.size, r.slot) for r in one] == [(17, 0)]
+
+
+def test_query_and_files(spark, small, tmp_path):
+    docs = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
+    found = QUERIES["op6_hilbert_sharding"](spark, small)
+    rows = found.collect()
+    check(rows, docs, 40)
+    assert {(r.law, r.grown_shard) for r in rows} == {("bytes", None)}
+    write_shards(spark.read.parquet(f"{small}/documents.parquet"), str(tmp_path / "out"), 4)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == len(docs)
