@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewake.llm import decontaminate, language, packing, quotes, sharding, simhash_dedup, token_counts, toxicity
+from tablewake.llm import decontaminate, html_text, language, packing, quotes, sharding, simhash_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,6 +53,13 @@ def op2_toxicity(spark, sf):
     return scored.select("doc_id", (~toxicity_may_learn()).alias("held_out"), "score", "predicted")
 
 
+@query
+def op3_html_extraction(spark, sf):
+    """Main text of every page."""
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    return html_text.add_main_text(pages, html_text.fit(pages))
+
+
 @query
 def op4_quotation_linking(spark, sf):
     """Every message without quotations, in the order of its conversation's replies."""

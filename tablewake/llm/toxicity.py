@@ -210,8 +210,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int
             [pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], names=["weights", "bias"]
         )
 
-    weights, bias = sample.coalesce(1).mapInArrow(run, "weights binary, bias double").first()
-    return Model(np.frombuffer(weights, np.float32), bias)
+    learned = sample.coalesce(1).mapInArrow(run, "weights binary, bias double").first()
+    return Model(np.frombuffer(learned[0], np.float32), learned[1]) if learned else train([], [])
 
 
 def add_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

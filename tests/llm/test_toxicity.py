@@ -74,6 +74,12 @@ def test_sample_has_no_unlabelled_and_no_more_than_its_bounds(spark):
     assert all(r.n <= 500 for r in few.collect())
 
 
+def test_no_labels(spark):
+    docs = spark.createDataFrame([(1, "a", "", "", "")], SCHEMA).drop("toxic")
+    model = fit(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert [(r.score, r.predicted) for r in add_toxicity(docs, model).collect()] == [(0.5, 0)]
+
+
 def test_columns_and_empty_table(spark):
     rows = [(i, t, "clash", "clash", "x") for i, t, _ in texts(20, 5)] + [(None, None, "c", "c", "x"), (0, "", "c", "c", "x")]
     labels = spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i in range(20)], "doc_id long, quality int, toxic int")
