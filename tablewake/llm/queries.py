@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewake.llm import decontaminate, html_text, language, packing, quotes, sharding, simhash_dedup, token_counts, toxicity
+from tablewake.llm import bm25, decontaminate, html_text, language, packing, quotes, sharding, simhash_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,6 +88,12 @@ def op7_benchmark_decontamination(spark, sf):
     return decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@query
+def op8_bm25_top_k(spark, sf):
+    """The ten best documents for every fiftieth document's whole text."""
+    return bm25.top_k(table(spark, sf, "documents"), F.col("doc_id") % 50 == 0)
+
+
 @query
 def op9_simhash_near_dedup(spark, sf):
     """Groups of documents whose fingerprints of three-word shingles differ in at most three bits."""
