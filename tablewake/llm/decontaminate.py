@@ -46,14 +46,18 @@ def _by_length(of: Column, lengths: list[int], make) -> Column:
     return out
 
 
-def fingerprints(contents: DataFrame, lengths: list[int]) -> DataFrame:
-    """``contents`` (``n``, ``content``) with ``fp``: a bit is set if it is in over half of the shingle hashes.
+def with_shingles(contents: DataFrame, lengths: list[int]) -> DataFrame:
+    """``contents`` (``n``, ``content``) with ``shingles``, written, so that no later step makes them again."""
+    split = contents.withColumn("w", F.split("content", " "))
+    return save_point(split.select("n", "content", _by_length(F.col("w"), lengths, shingles).alias("shingles")))
+
+
+def fingerprints(contents: DataFrame) -> DataFrame:
+    """``n``, ``content``, ``fp`` of contents with ``shingles``: a bit is set if it is in over half of their hashes.
 
     A shingle counts as often as it occurs: that is its weight.
     """
-    hashes = contents.select(
-        "n", "content", F.explode(_by_length(F.split("content", " "), lengths, shingle_hashes)).alias("h")
-    )
+    hashes = contents.select("n", "content", F.explode("shingles").alias("s")).select("n", "content", F.xxhash64("s").alias("h"))
     ones = [
         F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1).cast("long"))).alias(f"b{b}") for b in range(64)
     ]
@@ -141,10 +145,9 @@ def contamination(
 
     # Where windows may start: where a text has a shingle of an item, and up to m before.
     misses = F.floor((F.col("n") - F.least("n", F.lit(SHINGLE)) + 1) * ((1 - threshold) / (1 + threshold)) + 1e-9)
-    anchors = contents.select(
-        "n", misses.cast("int").alias("m"),
-        F.explode(_by_length(F.split("content", " "), lengths, shingle_hashes)).alias("h"),
-    ).distinct()
+    split = contents.select("n", F.split("content", " ").alias("w"))
+    hashed = F.explode(_by_length(F.col("w"), lengths, shingle_hashes)).alias("h")
+    anchors = split.select("n", misses.cast("int").alias("m"), hashed).distinct()
     anchors, anchor_counts = counted_save_point(anchors)
     if anchor_counts["rows"] <= BROADCAST_ROWS:
         anchors = F.broadcast(anchors)
@@ -178,10 +181,15 @@ def contamination(
     )
     windows = save_point(cut.select("key", F.explode(pieces).alias("p")).select("key", "p.*"))
 
-    marked = fingerprints(windows.select("n", "content").distinct(), lengths)
-    pairs = hamming_pairs(marked, fingerprints(contents, lengths), radius, seen["rows"])
-    of = {c: _by_length(F.split(c, " "), lengths, shingles) for c in ("content", "item")}
-    pairs = pairs.withColumn("similarity", similarity(of["content"], of["item"])).where(F.col("similarity") >= threshold)
+    ours = with_shingles(windows.select("n", "content").distinct(), lengths)
+    theirs = with_shingles(contents, lengths)
+    pairs = save_point(hamming_pairs(fingerprints(ours), fingerprints(theirs), radius, seen["rows"]))
+    theirs = theirs.select("n", F.col("content").alias("item"), F.col("shingles").alias("item_shingles"))
+    if seen["rows"] <= BROADCAST_ROWS // 100:
+        theirs = F.broadcast(theirs)
+    pairs = pairs.join(ours, ["n", "content"]).join(theirs, ["n", "item"])
+    pairs = pairs.withColumn("similarity", similarity(F.col("shingles"), F.col("item_shingles")))
+    pairs = save_point(pairs.where(F.col("similarity") >= threshold).select("n", "content", "item", "bits", "similarity"))
 
     matched = windows.join(pairs, ["n", "content"]).groupBy("key", "item")
     matched = matched.agg(
