@@ -60,34 +60,61 @@ def volatile_map(prepared: DataFrame) -> DataFrame:
     )
 
 
-def _tables_on_cycles(hops: DataFrame, rounds: int) -> DataFrame:
-    """Volatile tables that may lie on a cycle.
+def _furthest(links: DataFrame, salt: int) -> DataFrame:
+    """``name, f, b``: of the names from which one can get to each name, and of those one can get to from it, itself
+    included, the greatest in an order shuffled by ``salt``."""
+    names = links.select(F.inline(F.array(F.struct(F.col("table").alias("name")), F.struct(F.col("next").alias("name"))))).distinct()
+    rank = F.struct(F.xxhash64("name", F.lit(salt)).alias("h"), F.col("name").alias("n"))
+    none = F.lit(None).cast("struct<h:bigint,n:string>")
+    labels, moved = names.select("name", rank.alias("f"), rank.alias("b")), {"moved": 1}
+    while moved["moved"]:
+        labels = labels.select("name", "f", "b", F.col("f").alias("f0"), F.col("b").alias("b0"))
+        for _ in range(LEVELS_PER_WRITE):
+            onward = links.join(labels, F.col("table") == F.col("name")).select(F.col("next").alias("name"), "f", none.alias("b"), none.alias("f0"), none.alias("b0"))
+            back = links.join(labels, F.col("next") == F.col("name")).select(F.col("table").alias("name"), none.alias("f"), "b", none.alias("f0"), none.alias("b0"))
+            told = labels.unionByName(onward).unionByName(back)
+            labels = told.groupBy("name").agg(*[F.max(c).alias(c) for c in ("f", "b", "f0", "b0")])
+        labels, moved = counted_save_point(labels, moved=(F.col("f") != F.col("f0")) | (F.col("b") != F.col("b0")))
+    return labels.select("name", "f", "b")
+
 
-    Each round removes links from tables nothing leads to and links into tables nothing leaves;
-    what lies on a cycle never goes. Stopping early only leaves more names to track.
+def cycle_components(links: DataFrame) -> DataFrame:
+    """``name, component``: the strongly connected components of two names or more.
+
+    Names of one component have the same greatest name before them and the same behind them, so links
+    between names that differ in either lead out of a component and go. This repeats with another order until
+    none goes. Then the greatest name of what is left connected gets to all of it and all of it gets there.
     """
-    links, count = counted_save_point(hops.select("table", "next").distinct())
-    for _ in range(rounds):
-        reached = links.select(F.col("next").alias("table")).distinct()
-        left = links.select(F.col("table").alias("next")).distinct()
-        links, kept = counted_save_point(
-            links.join(reached, "table", "left_semi").join(left, "next", "left_semi")
-        )
-        if kept["rows"] == 0 or kept["rows"] > 0.9 * count["rows"]:
+    links, count = counted_save_point(links.select("table", "next").where("table <> next").distinct())
+    salt = 0
+    while count["rows"]:
+        labels = _furthest(links, salt)
+        one, other = labels.toDF("table", "f", "b"), labels.toDF("next", "f2", "b2")
+        inside = links.join(one, "table").join(other, "next").where("f = f2 AND b = b2")
+        links, kept = counted_save_point(inside.select("table", "next", F.col("f.n").alias("component")))
+        if kept["rows"] == count["rows"]:
             break
-        count = kept
-    return links.select("next").distinct()
+        links, count, salt = links.drop("component"), kept, salt + 1
+    if not count["rows"]:
+        return links.select(F.col("next").alias("name"), F.col("table").alias("component"))
+    return links.select(F.col("next").alias("name"), "component").distinct()
 
 
 def _next_level(level: DataFrame, hops: DataFrame) -> DataFrame:
-    passed = F.array_sort(F.array_union("passed", F.array("next")))
+    """One link further; names passed are kept as long as the component they lie in is not left."""
+    again = F.coalesce(F.array_contains("passed", F.col("next")) | F.array_contains("faced", F.col("next")), F.lit(False))
+    nothing = F.array().cast("array<string>")
+    own = F.when(F.col("component").isNotNull(), F.array("next")).otherwise(nothing)
+    passed = F.when(F.col("stays"), F.array_sort(F.array_union("passed", own))).otherwise(own)
+    faced = F.when(F.col("two_faced"), F.array_sort(F.array_union("faced", F.array("next")))).otherwise(F.col("faced"))
     return (
         level.join(hops, "table")
-        .where(~F.array_contains("passed", F.col("next")))
+        .where(~again)
         .select(
             "start",
             F.col("next").alias("table"),
-            F.when(F.col("tracked"), passed).otherwise(F.col("passed")).alias("passed"),
+            passed.alias("passed"),
+            faced.alias("faced"),
             F.array_sort(F.array_union("trail", F.array("script"))).alias("trail"),
         )
         .distinct()
@@ -100,8 +127,9 @@ def volatile_closure(definitions: DataFrame, starts: DataFrame, max_depth: int |
     Returns ``start, parent_table_name, parent_table_type, trail`` (sorted array of the scripts on the
     way), distinct. Each start is walked once however many edges lead to it. A level joins the
     states with the volatile-to-volatile links only; the exits to other tables are joined once, at the
-    end. Of the names passed, a state keeps its start and those that could come again, as a sorted set;
-    so paths that differ in nothing else merge, and without cycles no path is kept at all.
+    end. Of the names passed, a state keeps those that could come again, as a sorted set: the ones in the
+    strongly connected component it is in, until it leaves that. So paths that differ in nothing else
+    merge, and without cycles no path is kept at all.
     """
     table = F.col("volatile_table")
     to_volatile = is_volatile("parent_table_type")
@@ -113,19 +141,30 @@ def volatile_closure(definitions: DataFrame, starts: DataFrame, max_depth: int |
     links = links.join(defined, "next", "left_semi")
     # A name that some rows call volatile and others do not ends a path that has passed it, too.
     two_faced = exits.select(F.col("parent_table_name").alias("next")).distinct().join(defined, "next", "left_semi")
-    tracked = _tables_on_cycles(links, rounds=8).unionByName(two_faced).distinct()
+    components = cycle_components(links)
+    ends = lambda of, c: components.select(F.col("name").alias(of), F.col("component").alias(c))
     hops = save_point(
-        links.join(tracked.withColumn("_found", F.lit(True)), "next", "left")
-        .select("table", "next", "script", F.coalesce("_found", F.lit(False)).alias("tracked"))
-    )
+        links.join(ends("table", "before"), "table", "left")
+        .join(ends("next", "component"), "next", "left")
+        .join(two_faced.distinct().withColumn("two_faced", F.lit(True)), "next", "left")
+        .select(
+            "table", "next", "script", "component",
+            F.coalesce(F.col("before") == F.col("component"), F.lit(False)).alias("stays"),
+            F.coalesce("two_faced", F.lit(False)).alias("two_faced"),
+        )
+    )
+    nothing = F.array().cast("array<string>")
     level = (
         starts.join(defined.select(F.col("next").alias("start")), "start", "left_semi")
         .distinct()
+        .join(ends("start", "component"), "start", "left")
+        .join(two_faced.distinct().select(F.col("next").alias("start"), F.lit(True).alias("two_faced")), "start", "left")
         .select(
             "start",
             F.col("start").alias("table"),
-            F.array("start").alias("passed"),
-            F.array().cast("array<string>").alias("trail"),
+            F.when(F.col("component").isNotNull(), F.array("start")).otherwise(nothing).alias("passed"),
+            F.when(F.col("two_faced"), F.array("start")).otherwise(nothing).alias("faced"),
+            nothing.alias("trail"),
         )
     )
     written, states, depth = [level.withColumn("depth", F.lit(0))], None, 0
@@ -145,7 +184,7 @@ def volatile_closure(definitions: DataFrame, starts: DataFrame, max_depth: int |
         if not found["deepest"]:
             break
         level, written = batch.where(F.col("depth") == depth).drop("depth"), []
-    passed = F.coalesce(F.array_contains("passed", F.col("parent_table_name")), F.lit(False))
+    passed = F.coalesce(F.array_contains("faced", F.col("parent_table_name")), F.lit(False))
     return (
         states.drop("depth")
         .distinct()

@@ -21,26 +21,30 @@ def edge(script, child, parent, child_type="VOLTABLE", parent_type="VOLTABLE", k
 
 
 def walked(data):
-    """Follow every simple path; (script trail, child, relationship, parent, types)."""
-    definitions, out = {}, set()
+    """By definition: of all sequences of distinct volatile tables that links join, those that lead to an end."""
+    links, ends = {}, {}
     for script, child, _, parent, child_type, parent_type in data:
         if child_type == "VOLTABLE":
-            definitions.setdefault(child, set()).add((parent, parent_type, script))
-
-    def ends(name, kind, trail, seen):
-        if name in seen:
-            return
-        if kind != "VOLTABLE":
-            yield name, kind, trail
-            return
-        for parent, parent_type, script in definitions.get(name, ()):
-            yield from ends(parent, parent_type, trail | {script}, seen | {name})
-
+            (links if parent_type == "VOLTABLE" else ends).setdefault(child, []).append((parent, parent_type, script))
+    out = set()
     for script, child, kind, parent, child_type, parent_type in data:
-        if child_type != "VOLTABLE":
-            kind = "DELETE" if kind.upper() == "DELETE" else "Loaded From"
-            for name, end_type, trail in ends(parent, parent_type, frozenset([script]), frozenset()):
-                out.add((" | ".join(sorted(trail)), child, kind, name, child_type, end_type))
+        if child_type == "VOLTABLE":
+            continue
+        relation = "DELETE" if kind.upper() == "DELETE" else "Loaded From"
+        if parent_type != "VOLTABLE":
+            out.add((script, child, relation, parent, child_type, parent_type))
+            continue
+        sequences = [((parent,), frozenset([script]))]
+        while sequences:
+            longer = []
+            for path, scripts in sequences:
+                for end, end_type, last in ends.get(path[-1], []):
+                    if end not in path:
+                        out.add((" | ".join(sorted(scripts | {last})), child, relation, end, child_type, end_type))
+                for name, _, by in links.get(path[-1], []):
+                    if name not in path:
+                        longer.append(((*path, name), scripts | {by}))
+            sequences = longer
     return sorted(out, key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
@@ -108,6 +112,38 @@ def test_layers_stay_small(spark):
     assert rows(R.resolve_volatile(relations(spark, data)), "script_file", "parent_table_name") == [("root | s", "t")]
 
 
+def test_many_layers(spark):
+    """Forty full layers of three tables: one row, by way of three states a layer."""
+    data = [
+        edge("s", f"v{layer}_{i}", f"v{layer + 1}_{j}") for layer in range(39) for i in range(3) for j in range(3)
+    ] + [edge("s", f"v39_{i}", "t", parent_type="TABLE") for i in range(3)]
+    data += [edge("root", "rpt", "v0_0", "TABLE")]
+    assert rows(R.resolve_volatile(relations(spark, data)), "script_file", "parent_table_name") == [("root | s", "t")]
+
+
+def test_cycles_in_a_row(spark):
+    """Thirty pairs that load each other, each pair loading the next: what a pair passed is forgotten behind it."""
+    data = [edge("s", f"{a}{i}", f"{b}{i}") for i in range(30) for a, b in ("vw", "wv")]
+    data += [edge("s", f"{a}{i}", f"{b}{i + 1}") for i in range(29) for a in "vw" for b in "vw"]
+    data += [edge("s", f"{a}29", "t", parent_type="TABLE") for a in "vw"] + [edge("root", "rpt", "v0", "TABLE")]
+    assert rows(R.resolve_volatile(relations(spark, data)), "script_file", "parent_table_name") == [("root | s", "t")]
+
+
+def test_components(spark):
+    rng = random.Random(9)
+    links = {(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(55)}
+    links |= {(f"c{i}", f"c{(i + 1) % 12}") for i in range(12)} | {("c3", "n1"), ("n2", "c5")}
+    reach = {a: {a} for pair in links for a in pair}
+    for _ in reach:
+        for a, b in links:
+            reach[a] |= reach[b]
+    got = {}
+    for r in R.cycle_components(spark.createDataFrame(sorted(links), "table string, next string")).collect():
+        got.setdefault(r.component, set()).add(r.name)
+    want = {frozenset(b for b in reach[a] if a in reach[b]) for a in reach}
+    assert {frozenset(names) for names in got.values()} == {c for c in want if len(c) > 1}
+
+
 def test_depth_limit_raises(spark):
     data = [*CASES["deep chain"], edge("root", "rpt", "v", "TABLE")]
     with pytest.raises(RuntimeError, match="deeper than 3"):
