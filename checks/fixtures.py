@@ -34,6 +34,51 @@ SELECT 'scr_' || CAST(o_custkey % 30 AS STRING) AS script_file, o_orderkey AS qu
   WHEN 13 THEN CASE WHEN o_custkey % 2 = 0 THEN 'hello table ' || CAST(o_custkey AS STRING) ELSE 'create table cp' || CAST(o_custkey % 9 AS STRING) || ' as db.t' || CAST(o_orderkey % 9 AS STRING) || ' with data' END
   ELSE 'INSERT INTO vt' || CAST(o_custkey % 9 AS STRING) || ' SELECT * FROM src.s' || CAST(o_orderkey % 55 AS STRING) || ', vt' || CAST(o_custkey % 8 AS STRING) END AS sql_text
 FROM {orders}
+""",
+    # Statements that patterns read wrongly, with what they are, write and read (sorted) beside them.
+    "fx_hard_statements": """
+SELECT 'scr_' || CAST(o_custkey % 30 AS STRING) AS script_file, o_orderkey AS query_index,
+ CASE CAST(o_orderkey % 12 AS INT)
+  WHEN 0 THEN 'UPDATE tgt FROM db.real' || CAST(o_custkey % 40 AS STRING) || ' tgt, db.src s SET a = s.a, b = 2'
+  WHEN 1 THEN 'DELETE a FROM db.t' || CAST(o_custkey % 40 AS STRING) || ' a, db.t2 b WHERE a.k = b.k'
+  WHEN 2 THEN 'SELECT * FROM (SEL x FROM a.b) q, d.e' || CAST(o_custkey % 40 AS STRING) || ' f, g.h'
+  WHEN 3 THEN 'SELECT 1 FROM b.c q LEFT JOIN d.e f ON q.x = f(q.y, 1), g.h' || CAST(o_custkey % 40 AS STRING) || ' i'
+  WHEN 4 THEN 'SEL 1 FROM a.b' || CAST(o_custkey % 40 AS STRING) || ' WHERE c IS NOT DISTINCT FROM d AND e IS DISTINCT FROM f'
+  WHEN 5 THEN 'SELECT "it''s" FROM a.b' || CAST(o_custkey % 40 AS STRING) || ' WHERE c = ''x from z'''
+  WHEN 6 THEN 'INSERT INTO tëst.ü SELECT * FROM Été.t' || CAST(o_custkey % 40 AS STRING) || ', Straße.x'
+  WHEN 7 THEN 'INSERT INTO s.a.b.c SELECT * FROM w.x.y.z' || CAST(o_custkey % 40 AS STRING)
+  WHEN 8 THEN 'USING (k INT, d DECIMAL(10,2)) INSERT INTO a.b' || CAST(o_custkey % 40 AS STRING) || ' SELECT :k FROM c.d'
+  WHEN 9 THEN 'LOCKING TABLE b.c FOR WRITE INSERT INTO b.c SELECT * FROM d.e' || CAST(o_custkey % 40 AS STRING)
+  WHEN 10 THEN 'SEL EXTRACT(YEAR FROM CAST(COALESCE(TRIM(SUBSTR(x,(1+1),3)),(SEL MAX(y) FROM m.n)) AS DATE)) FROM a.t' || CAST(o_custkey % 40 AS STRING)
+  ELSE 'SELECT * FROM TABLE (f(x)) AS t, ((u.v' || CAST(o_custkey % 40 AS STRING) || ' JOIN w.x ON 1=1))' END AS sql_text,
+ CASE WHEN o_orderkey % 12 = 0 THEN 'Update' WHEN o_orderkey % 12 = 1 THEN 'Delete' WHEN o_orderkey % 12 IN (6, 7, 8, 9) THEN 'Insert' ELSE 'Select' END AS kind,
+ CASE CAST(o_orderkey % 12 AS INT) WHEN 0 THEN 'db.real' || CAST(o_custkey % 40 AS STRING) WHEN 1 THEN 'db.t' || CAST(o_custkey % 40 AS STRING)
+  WHEN 6 THEN 'tëst.ü' WHEN 7 THEN 's.a.b.c' WHEN 8 THEN 'a.b' || CAST(o_custkey % 40 AS STRING) WHEN 9 THEN 'b.c' ELSE '' END AS targets,
+ CASE CAST(o_orderkey % 12 AS INT) WHEN 0 THEN 'db.src' WHEN 1 THEN 'db.t2' WHEN 2 THEN 'a.b,d.e' || CAST(o_custkey % 40 AS STRING) || ',g.h'
+  WHEN 3 THEN 'b.c,d.e,g.h' || CAST(o_custkey % 40 AS STRING) WHEN 4 THEN 'a.b' || CAST(o_custkey % 40 AS STRING) WHEN 5 THEN 'a.b' || CAST(o_custkey % 40 AS STRING)
+  WHEN 6 THEN 'Straße.x,Été.t' || CAST(o_custkey % 40 AS STRING) WHEN 7 THEN 'w.x.y.z' || CAST(o_custkey % 40 AS STRING) WHEN 8 THEN 'c.d'
+  WHEN 9 THEN 'd.e' || CAST(o_custkey % 40 AS STRING) WHEN 10 THEN 'a.t' || CAST(o_custkey % 40 AS STRING) || ',m.n'
+  ELSE 'u.v' || CAST(o_custkey % 40 AS STRING) || ',w.x' END AS sources
+FROM {orders}
+""",
+    # Forty full layers of three volatile tables for each part size, and a report on each first one.
+    "fx_layers": """
+SELECT 'scr_' || CAST(g % 2 AS STRING) AS script_file, 'L' || CAST(g AS STRING) || '_' || CAST(d AS STRING) || '_' || CAST(i AS STRING) AS child_table_name, 'INSERT' AS relationship,
+ CASE WHEN d = 39 THEN 'TB' || CAST(g AS STRING) ELSE 'L' || CAST(g AS STRING) || '_' || CAST(d + 1 AS STRING) || '_' || CAST(j AS STRING) END AS parent_table_name,
+ 'VOLTABLE' AS child_table_type, CASE WHEN d = 39 THEN 'TABLE' ELSE 'VOLTABLE' END AS parent_table_type
+FROM (SELECT DISTINCT p_size AS g FROM {part}), (SELECT DISTINCT p_partkey % 40 AS d FROM {part}),
+ (SELECT DISTINCT r_regionkey % 3 AS i FROM {region}), (SELECT DISTINCT r_regionkey % 3 AS j FROM {region})
+UNION ALL SELECT DISTINCT 'rpt', 'RPT' || CAST(p_size AS STRING), 'INSERT', 'L' || CAST(p_size AS STRING) || '_0_0', 'TABLE', 'VOLTABLE' FROM {part}
+""",
+    # Thirty pairs of volatile tables that load each other, each pair loading the next, likewise.
+    "fx_cycle_chain": """
+SELECT 'scr_0' AS script_file, a || CAST(g AS STRING) || '_' || CAST(d AS STRING) AS child_table_name, 'INSERT' AS relationship,
+ CASE WHEN step = 0 THEN CASE WHEN a = 'A' THEN 'B' ELSE 'A' END || CAST(g AS STRING) || '_' || CAST(d AS STRING)
+  WHEN d = 29 THEN 'TB' || CAST(g AS STRING) ELSE 'A' || CAST(g AS STRING) || '_' || CAST(d + 1 AS STRING) END AS parent_table_name,
+ 'VOLTABLE' AS child_table_type, CASE WHEN step = 1 AND d = 29 THEN 'TABLE' ELSE 'VOLTABLE' END AS parent_table_type
+FROM (SELECT DISTINCT p_size AS g FROM {part}), (SELECT DISTINCT p_partkey % 30 AS d FROM {part}),
+ (SELECT DISTINCT r_regionkey % 2 AS step FROM {region}), (SELECT DISTINCT CASE WHEN r_regionkey % 2 = 0 THEN 'A' ELSE 'B' END AS a FROM {region})
+UNION ALL SELECT DISTINCT 'rpt', 'RPT' || CAST(p_size AS STRING), 'INSERT', 'A' || CAST(p_size AS STRING) || '_0', 'TABLE', 'VOLTABLE' FROM {part}
 """,
     # Catalog of the named schemas of fx_statements; what it lacks is volatile.
     "fx_statement_catalog": """

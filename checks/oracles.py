@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from tablewake.functions import references as R
 from tablewake.functions import text as T
 from tablewake.operators.hierarchy import LEVELS, NAMES
 
@@ -11,6 +10,43 @@ from .registry import RUN
 
 ORACLES: dict[str, str] = {}
 
+# Patterns that read the statements of the fixtures. The engine reads tokens; nothing here comes from it.
+NAME = r'(?:"[^"]+"|[A-Za-z_][A-Za-z0-9_$#]*)'
+TABLE = rf"{NAME}(?:\s*\.\s*{NAME}){{0,2}}"
+ALIAS = rf"(?:\s+(?:as\s+)?{NAME})?"
+
+LITERAL_OR_COMMENT = r"(?s)'[^']*'|--[^\n]*|/\*.*?\*/"
+FROM_INSIDE_CALL = r"(?i)\bextract\s*\([^()]*\)"
+
+# Statement kinds and the words that open them.
+KINDS = {
+    "Delete": r"(?i)^\s*del(?:ete)?\b",
+    "Insert": r"(?i)^\s*ins(?:ert)?\b",
+    "Update": r"(?i)^\s*upd(?:ate)?\b",
+    "Merge": r"(?i)^\s*merge\b",
+    "Create": r"(?i)^\s*(?:create|replace)\b",
+    "Drop": r"(?i)^\s*drop\b",
+    "Select": r"(?i)^\s*(?:(?:sel|select|with)\b|\()",
+    "Command": (
+        r"(?i)^\s*(?:collect|call|using|alter|exec|execute|grant|revoke|rename|comment|database|set|show|help"
+        r"|explain|lock|begin|end|bt|et|commit|rollback|abort|diagnostic)\b"
+    ),
+}
+
+TARGET = (
+    r"(?i)^\s*(?:ins(?:ert)?\s+(?:into\s+)?|upd(?:ate)?\s+|merge\s+(?:into\s+)?|del(?:ete)?\s+(?:from\s+)?"
+    r"|(?:create|replace)\s+(?:or\s+replace\s+)?(?:(?:multiset|set|volatile|global|temporary|recursive)\s+)*"
+    rf"(?:table|view)\s+(?:if\s+not\s+exists\s+)?)({TABLE})"
+)
+SOURCE = rf"(?i)\b(?:(?:from|join)\s*\((?:\s*\()*\s*|(?:from|join|using)\s+)({TABLE})"
+SOURCE_LIST = rf"(?i)\bfrom\s+({TABLE}{ALIAS}(?:\s*,\s*{TABLE}{ALIAS})+)"
+COPIED = rf"(?i)^\s*(?:,[^()]*)?\bas\s+({TABLE})\s+with\s+(?:no\s+)?data\b"
+FIRST_TABLE = rf"^\s*({TABLE})"
+WITH_NAME = rf"(?i)(?:\bwith(?:\s+recursive)?|,)\s*({NAME})\s*(?:\([^()]*\)\s*)?as\s*\("
+
+# Words after FROM or JOIN that open a table expression, not a table.
+NOT_TABLES = ("lateral", "sel", "select", "table", "unnest", "values", "with")
+
 
 def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
@@ -110,23 +146,23 @@ def qualified(name: str) -> str:
     return f"CASE WHEN contains({name}, '.') THEN {name} ELSE script_file || '.' || {name} END"
 
 
-KIND = "CASE " + " ".join(f"WHEN {HAS('txt', q(p))} THEN {q(k)}" for k, p in R.KINDS.items()) + " END"
-SKIPPED = "[" + ", ".join(q(w) for w in R.NOT_TABLES) + "]"
+KIND = "CASE " + " ".join(f"WHEN {HAS('txt', q(p))} THEN {q(k)}" for k, p in KINDS.items()) + " END"
+SKIPPED = "[" + ", ".join(q(w) for w in NOT_TABLES) + "]"
 
 
 def parsed(source: str) -> str:
     return f"""
 cleaned AS (SELECT *, {clean("sql_text")} AS sql_query FROM {source}),
-readable AS (SELECT *, regexp_replace(regexp_replace(sql_query, {q(R.LITERAL_OR_COMMENT)}, ' ', 'g'),
-  {q(R.FROM_INSIDE_CALL)}, 'NULL', 'g') AS txt FROM cleaned),
-placed AS (SELECT *, {KIND} AS kind, nullif({plain(f"regexp_extract(txt, {q(R.TARGET)}, 1)")}, '') AS target,
-  regexp_replace(txt, {q(R.TARGET)}, ' ') AS body,
-  list_concat({SKIPPED}, list_transform(regexp_extract_all(txt, {q(R.WITH_NAME)}, 1), lambda n: lower({plain("n")}))) AS skipped
+readable AS (SELECT *, regexp_replace(regexp_replace(sql_query, {q(LITERAL_OR_COMMENT)}, ' ', 'g'),
+  {q(FROM_INSIDE_CALL)}, 'NULL', 'g') AS txt FROM cleaned),
+placed AS (SELECT *, {KIND} AS kind, nullif({plain(f"regexp_extract(txt, {q(TARGET)}, 1)")}, '') AS target,
+  regexp_replace(txt, {q(TARGET)}, ' ') AS body,
+  list_concat({SKIPPED}, list_transform(regexp_extract_all(txt, {q(WITH_NAME)}, 1), lambda n: lower({plain("n")}))) AS skipped
   FROM readable),
 parsed AS (SELECT *, list_filter(list_distinct(list_transform(list_concat(
-    list_concat(regexp_extract_all(body, {q(R.SOURCE)}, 1), regexp_extract_all(body, {q(R.COPIED)}, 1)),
-    flatten(list_transform(regexp_extract_all(body, {q(R.SOURCE_LIST)}, 1),
-      lambda g: list_transform(string_split(g, ','), lambda i: regexp_extract(i, {q(R.FIRST_TABLE)}, 1))))),
+    list_concat(regexp_extract_all(body, {q(SOURCE)}, 1), regexp_extract_all(body, {q(COPIED)}, 1)),
+    flatten(list_transform(regexp_extract_all(body, {q(SOURCE_LIST)}, 1),
+      lambda g: list_transform(string_split(g, ','), lambda i: regexp_extract(i, {q(FIRST_TABLE)}, 1))))),
     lambda n: {plain("n")})), lambda n: NOT list_contains(skipped, lower(n))) AS sources,
   CASE WHEN trim(sql_query, {BLANKS}) = '' THEN 'EmptyQuery' WHEN kind IS NULL THEN 'UnrecognizedStatement' END AS error_type,
   CASE WHEN trim(sql_query, {BLANKS}) = '' THEN 'Empty query string' WHEN kind IS NULL THEN 'The statement starts with no known verb' END AS error_info
@@ -151,6 +187,9 @@ ORACLES["table_refs"] = (
     PARSED
     + """SELECT query_index, coalesce(target, '') AS targets, array_to_string(list_sort(sources), ',') AS sources FROM parsed"""
 )
+ORACLES["hard_statements"] = (
+    with_ctes(fixture_cte("fx_hard_statements")) + "SELECT query_index, kind, targets, sources FROM fx_hard_statements"
+)
 ORACLES["lineage_edges_raw"] = PARSED + f"SELECT {EDGE} FROM edges"
 ORACLES["lineage_edges_query"] = (
     PARSED
@@ -367,3 +406,16 @@ FROM rel LEFT JOIN h7 p ON "ParentObjectName" {meet} p."ObjectName" LEFT JOIN h7
 
 ORACLES["flatten_hierarchy"] = flattened("IS NOT DISTINCT FROM")
 ORACLES["flatten_hierarchy_named_only"] = flattened("=")
+
+
+# The tables of a layer, or of a pair, lead to the next with the same scripts: distinct tables and scripts, no paths.
+REACHED = """WITH RECURSIVE {cte},
+walk AS (
+ SELECT child_table_name AS report, parent_table_name AS name, [script_file] AS scripts FROM {name} WHERE child_table_type = 'TABLE'
+ UNION
+ SELECT report, parent_table_name, list_sort(list_distinct(list_append(scripts, script_file)))
+ FROM walk JOIN {name} ON child_table_name = name)
+SELECT array_to_string(scripts, ' | ') AS script_file, report AS child_table_name, 'Loaded From' AS relationship, name AS parent_table_name,
+ 'TABLE' AS child_table_type, 'TABLE' AS parent_table_type FROM walk WHERE starts_with(name, 'TB')"""
+ORACLES["resolve_layers"] = REACHED.format(cte=fixture_cte("fx_layers"), name="fx_layers")
+ORACLES["resolve_cycle_chain"] = REACHED.format(cte=fixture_cte("fx_cycle_chain"), name="fx_cycle_chain")

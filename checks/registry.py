@@ -140,6 +140,16 @@ def table_refs(spark, sf):
     )
 
 
+@query
+def hard_statements(spark, sf):
+    """Kind, targets and sources of statements whose expected ones come with the fixture."""
+    stated = fixture(spark, sf, "fx_hard_statements").drop("kind", "targets", "sources")
+    parsed = extract.parse_statements(stated)
+    return parsed.select(
+        "query_index", "kind", _joined(F.col("targets")).alias("targets"), _joined(F.col("sources")).alias("sources")
+    )
+
+
 @query
 def lineage_edges_raw(spark, sf):
     return extract.extract_edges(_parsed(spark, sf), RUN).drop("is_query")
@@ -234,6 +244,18 @@ def resolve_volatile(spark, sf):
     return resolve.resolve_volatile(fixture(spark, sf, "fx_relations"))
 
 
+@query
+def resolve_layers(spark, sf):
+    """Many full layers without a cycle."""
+    return resolve.resolve_volatile(fixture(spark, sf, "fx_layers"))
+
+
+@query
+def resolve_cycle_chain(spark, sf):
+    """Many small cycles in a row."""
+    return resolve.resolve_volatile(fixture(spark, sf, "fx_cycle_chain"))
+
+
 @query
 def resolved_top(spark, sf):
     """The resolved edges in output order, first rows only, as the sample report shows them."""

@@ -1,8 +1,8 @@
-"""Kind, target and source tables of one SQL statement, by patterns.
+"""Kind, target and source tables of one SQL statement.
 
-The patterns use no look-around and no back-reference. They read table names where SQL puts them: after
-the verb for the target; after FROM, JOIN and USING for the sources. Statements they cannot place
-are reported, never dropped.
+The verb and its target are read by pattern from the start of the statement; the tables it reads by one pass over its
+tokens, which keeps the open parentheses, so it holds at any depth. Statements it cannot place are
+reported, never dropped.
 """
 
 from __future__ import annotations
@@ -10,15 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NAME = r'(?:"[^"]+"|[A-Za-z_][A-Za-z0-9_$#]*)'
-TABLE = rf"{NAME}(?:\s*\.\s*{NAME}){{0,2}}"
-ALIAS = rf"(?:\s+(?:as\s+)?{NAME})?"
+NAME = r'(?:"[^"]+"|[\p{L}_][\p{L}\p{N}_$#]*)'
+TABLE = rf"{NAME}(?:\s*\.\s*{NAME})*"
 
-LITERAL_OR_COMMENT = r"(?s)'[^']*'|--[^\n]*|/\*.*?\*/"
-_NESTED = r"[^()]*"
-for _ in range(3):
-    _NESTED = rf"[^()]*(?:\({_NESTED}\)[^()]*)*"
-FROM_INSIDE_CALL = rf"(?i)\b(?:extract|trim|substring)\s*\({_NESTED}\)"
+#: Quoted names are matched too, and put back, so that a quote inside one opens no literal.
+UNREAD = r"""(?s)("[^"]*")|'[^']*'|--[^\n]*|/\*.*?\*/"""
+TOKEN = rf"{NAME}|[0-9][\p{{L}}\p{{N}}_]*|[^\s]"
 
 # Statement kinds and the words that open them.
 KINDS = {
@@ -35,24 +32,32 @@ KINDS = {
     ),
 }
 
+#: What may stand before a statement's verb: a row description, and locks on what it uses.
+MODIFIERS = (
+    r"(?i)^\s*(?:using\s*\((?:[^()]|\([^()]*\))*\)\s*"
+    rf"|lock(?:ing)?\s+(?:(?:table|view|database|row)\s+)?(?:{TABLE}\s+)?(?:for|in)\s+"
+    r"(?:access|read|share|write|exclusive|checksum|load\s+committed)(?:\s+mode)?(?:\s+nowait)?\s+)+([\p{L}(])"
+)
 TARGET = (
     r"(?i)^\s*(?:ins(?:ert)?\s+(?:into\s+)?|upd(?:ate)?\s+|merge\s+(?:into\s+)?|del(?:ete)?\s+(?:from\s+)?"
     r"|(?:create|replace)\s+(?:or\s+replace\s+)?(?:(?:multiset|set|volatile|global|temporary|recursive)\s+)*"
     rf"(?:table|view)\s+(?:if\s+not\s+exists\s+)?)({TABLE})"
 )
-SOURCE = rf"(?i)\b(?:(?:from|join)\s*\((?:\s*\()*\s*|(?:from|join|using)\s+)({TABLE})"
-SOURCE_LIST = rf"(?i)\bfrom\s+({TABLE}{ALIAS}(?:\s*,\s*{TABLE}{ALIAS})+)"
 COPIED = rf"(?i)^\s*(?:,[^()]*)?\bas\s+({TABLE})\s+with\s+(?:no\s+)?data\b"
-FIRST_TABLE = rf"^\s*({TABLE})"
 WITH_NAME = rf"(?i)(?:\bwith(?:\s+recursive)?|,)\s*({NAME})\s*(?:\([^()]*\)\s*)?as\s*\("
 
-# Words after FROM or JOIN that open a table expression, not a table.
-NOT_TABLES = ("lateral", "sel", "select", "table", "unnest", "values", "with")
+# Words by their part in a table list. Those that end one, and those that are no alias.
+ENDS_LIST = ("where", "group", "having", "qualify", "order", "union", "intersect", "except", "minus", "set", "sample", "values", "window")
+NO_ALIAS = ("on", "inner", "left", "right", "full", "outer", "cross", "natural", "when", "all", "and", "for")
+ROLES = {
+    "from": "from", "join": "join", "using": "using", "as": "as", "lateral": "lateral", "select": "sel", "sel": "sel", "with": "sel",
+    "table": "other", "unnest": "other",
+} | dict.fromkeys(ENDS_LIST, "end") | dict.fromkeys(NO_ALIAS, "other")
 
 
 def readable(sql: Column) -> Column:
-    """The statement without literals, comments and calls whose FROM names no table."""
-    return F.regexp_replace(F.regexp_replace(sql, LITERAL_OR_COMMENT, " "), FROM_INSIDE_CALL, "NULL")
+    """The statement without literals and comments, from its verb on."""
+    return F.regexp_replace(F.regexp_replace(sql, UNREAD, "$1 "), MODIFIERS, "$1")
 
 
 def statement_kind(text: Column) -> Column:
@@ -63,7 +68,8 @@ def statement_kind(text: Column) -> Column:
 
 
 def plain_name(name: Column) -> Column:
-    return F.replace(F.regexp_replace(name, r"\s*\.\s*", "."), F.lit('"'), F.lit(""))
+    """Parts joined by dots; quotes stay only around a part that holds a dot itself."""
+    return F.regexp_replace(F.regexp_replace(name, r'\s*\.\s*(["\p{L}_])', ".$1"), r'"([^".]*)"', "$1")
 
 
 def target_tables(text: Column) -> Column:
@@ -76,22 +82,88 @@ def after_target(text: Column) -> Column:
     return F.regexp_replace(text, TARGET, " ")
 
 
-def source_tables(body: Column) -> Column:
-    """Distinct tables read in what `after_target` leaves; common table expressions left out."""
-    single = F.concat(
-        F.regexp_extract_all(body, F.lit(SOURCE), F.lit(1)), F.regexp_extract_all(body, F.lit(COPIED), F.lit(1))
-    )
-    listed = F.flatten(
-        F.transform(
-            F.regexp_extract_all(body, F.lit(SOURCE_LIST), F.lit(1)),
-            lambda group: F.transform(
-                F.split(group, ","), lambda item: F.regexp_extract(item, FIRST_TABLE, 1)
-            ),
+def _roles(tokens: Column) -> Column:
+    """Each token with its part; the FROM of IS [NOT] DISTINCT FROM has none. A last one closes what is open."""
+    def of(token: Column, at: Column) -> Column:
+        word = F.lower(token)
+        part = F.lit("other")
+        for name in sorted(set(ROLES.values())):
+            some = [w for w, r in ROLES.items() if r == name]
+            part = F.when(word.isin(some), name).otherwise(part)
+        compared = (F.lower(F.get(tokens, at - 1)) == "distinct") & F.lower(F.get(tokens, at - 2)).isin("is", "not")
+        part = F.when((word == "from") & F.coalesce(compared, F.lit(False)), "other").otherwise(part)
+        known = word.isin(list(ROLES))
+        named = token.rlike(r'^["\p{L}_]')
+        return F.struct(
+            token.alias("text"),
+            F.when(known, part).when(named, "name").when(token.isin("(", ")", ",", "."), token).otherwise("other").alias("role"),
         )
-    )
-    local = F.transform(
-        F.regexp_extract_all(body, F.lit(WITH_NAME), F.lit(1)), lambda n: F.lower(plain_name(n))
-    )
-    names = F.array_distinct(F.transform(F.concat(single, listed), plain_name))
-    skipped = F.concat(local, F.array(*[F.lit(w) for w in NOT_TABLES]))
-    return F.filter(names, lambda n: ~F.array_contains(skipped, F.lower(n)))
+
+    return F.transform(F.concat(tokens, F.array(F.lit(";"))), of)
+
+
+def _read(state: Column, token: Column) -> Column:
+    """One token further.
+
+    ``open`` has a sign for each open parenthesis and the statement itself: 0 no query, 1 a query, 2 a query's
+    table list. ``next`` says what may come: t a table or a parenthesis with tables, n a name. ``at``: 1 behind
+    a part of a table's name, 2 behind its dot, 3 behind its AS.
+    """
+    role, text, at = token["role"], token["text"], state["at"]
+    opened, name, may = state["open"], state["name"], state["next"]
+    is_name = role == "name"
+    longer = (at == 2) & is_name
+    alias = at.isin(1, 3) & is_name
+    waits = (at == 1) & role.isin(".", "as")
+    # A name before a parenthesis is a function.
+    ends = (at > 0) & ~longer & ~((at == 1) & role.isin(".", "as", "("))
+    used = longer | alias | waits
+    starts = ~used & is_name & (may != "")
+    top = F.right(opened, F.lit(1))
+    below = F.left(opened, F.length(opened) - 1)
+    lists = role.isin("from", "join") & (top != "0")
+    return F.struct(
+        F.when(used | starts, opened)
+        .when(role == "(", F.concat(opened, F.when(may == "t", "2").otherwise("0")))
+        .when((role == ")") & (F.length(opened) > 1), below)
+        .when(role == "sel", F.concat(below, F.lit("1")))
+        .when(lists, F.concat(below, F.lit("2")))
+        .when((role == "end") & (top == "2"), F.concat(below, F.lit("1")))
+        .otherwise(opened).alias("open"),
+        F.when(used | starts, "")
+        .when(((role == "(") & (may == "t")) | lists | ((role == ",") & (top == "2")), "t")
+        .when((role == "using") & (top != "0"), "n")
+        .when(role == "lateral", may)
+        .otherwise("").alias("next"),
+        F.when(longer | starts, 1).when(waits & (role == "."), 2).when(waits, 3).otherwise(0).alias("at"),
+        F.when(longer, F.concat(name, F.lit("."), text)).when(starts, text).otherwise(name).alias("name"),
+        F.when(ends, F.concat(state["tables"], F.array(F.struct(name.alias("name"), F.when(alias, text).otherwise("").alias("alias")))))
+        .otherwise(state["tables"]).alias("tables"),
+    )
+
+
+def tokens(body: Column) -> Column:
+    return F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0))
+
+
+def tables_read(tokens: Column) -> Column:
+    """``name`` and ``alias`` of each table after FROM, JOIN and USING and in their comma lists, in order."""
+    start = F.struct(
+        F.lit("1").alias("open"), F.lit("").alias("next"), F.lit(0).alias("at"), F.lit("").alias("name"),
+        F.array().cast("array<struct<name:string,alias:string>>").alias("tables"),
+    )
+    return F.aggregate(_roles(tokens), start, _read, lambda state: state["tables"])
+
+
+def aliased_target(kind: Column, targets: Column, read: Column) -> Column:
+    """The table that an update or delete names by its alias; null if it names it itself."""
+    same = F.filter(read, lambda t: (t["alias"] != "") & (F.lower(plain_name(t["alias"])) == F.lower(F.get(targets, F.lit(0)))))
+    return F.when(kind.isin("Update", "Delete"), F.get(same, F.lit(0)))
+
+
+def source_tables(body: Column, read: Column, target: Column) -> Column:
+    """Distinct tables read; without common table expressions and without the aliased target."""
+    others = F.filter(read, lambda t: target.isNull() | (t["name"] != target["name"]) | (t["alias"] != target["alias"]))
+    names = F.concat(F.transform(others, lambda t: t["name"]), F.regexp_extract_all(body, F.lit(COPIED), F.lit(1)))
+    local = F.transform(F.regexp_extract_all(body, F.lit(WITH_NAME), F.lit(1)), lambda n: F.lower(plain_name(n)))
+    return F.filter(F.array_distinct(F.transform(names, plain_name)), lambda n: ~F.array_contains(local, F.lower(n)))

@@ -21,13 +21,19 @@ def parse_statements(statements: DataFrame) -> DataFrame:
     cleaned = statements.withColumn("sql_query", clean_statement(F.col("sql_text")))
     text = F.col("_text")
     readable = cleaned.withColumn("_text", R.readable(F.col("sql_query")))
-    parsed = readable.withColumn("_body", R.after_target(text)).withColumns(
+    placed = readable.withColumns(
+        {"_body": R.after_target(text), "kind": R.statement_kind(text), "targets": R.target_tables(text)}
+    )
+    cut = placed.withColumn("_tokens", R.tokens(F.col("_body")))
+    read = cut.withColumn("_read", R.tables_read(F.col("_tokens")))
+    named = read.withColumn("_target", R.aliased_target(F.col("kind"), F.col("targets"), F.col("_read")))
+    own = F.col("_target").isNotNull()
+    parsed = named.withColumns(
         {
-            "kind": R.statement_kind(text),
-            "targets": R.target_tables(text),
-            "sources": R.source_tables(F.col("_body")),
+            "targets": F.when(own, F.array(R.plain_name(F.col("_target.name")))).otherwise(F.col("targets")),
+            "sources": R.source_tables(F.col("_body"), F.col("_read"), F.col("_target")),
         }
-    ).drop("_text", "_body")
+    ).drop("_text", "_body", "_tokens", "_read", "_target")
     empty = strip(F.col("sql_query")) == ""
     unknown = F.col("kind").isNull()
     return parsed.withColumns(

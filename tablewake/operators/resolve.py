@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import trim_strings
-from ..session import counted_save_point, save_point
+from ..session import counted_save_point, gathered, save_point
 
 RELATION_COLUMNS = (
     "script_file",
@@ -63,18 +63,22 @@ def volatile_map(prepared: DataFrame) -> DataFrame:
 def _furthest(links: DataFrame, salt: int) -> DataFrame:
     """``name, f, b``: of the names from which one can get to each name, and of those one can get to from it, itself
     included, the greatest in an order shuffled by ``salt``."""
-    names = links.select(F.inline(F.array(F.struct(F.col("table").alias("name")), F.struct(F.col("next").alias("name"))))).distinct()
+    end = lambda name: F.struct(F.col(name).alias("name"))
+    names = links.select(F.inline(F.array(end("table"), end("next")))).distinct()
     rank = F.struct(F.xxhash64("name", F.lit(salt)).alias("h"), F.col("name").alias("n"))
-    none = F.lit(None).cast("struct<h:bigint,n:string>")
-    labels, moved = names.select("name", rank.alias("f"), rank.alias("b")), {"moved": 1}
-    while moved["moved"]:
+    labels, found = names.select("name", rank.alias("f"), rank.alias("b")), {"moved": 1}
+    while found["moved"]:
         labels = labels.select("name", "f", "b", F.col("f").alias("f0"), F.col("b").alias("b0"))
         for _ in range(LEVELS_PER_WRITE):
-            onward = links.join(labels, F.col("table") == F.col("name")).select(F.col("next").alias("name"), "f", none.alias("b"), none.alias("f0"), none.alias("b0"))
-            back = links.join(labels, F.col("next") == F.col("name")).select(F.col("table").alias("name"), none.alias("f"), "b", none.alias("f0"), none.alias("b0"))
-            told = labels.unionByName(onward).unionByName(back)
-            labels = told.groupBy("name").agg(*[F.max(c).alias(c) for c in ("f", "b", "f0", "b0")])
-        labels, moved = counted_save_point(labels, moved=(F.col("f") != F.col("f0")) | (F.col("b") != F.col("b0")))
+            one, other = labels.toDF("table", "f", "b", "f0", "b0"), labels.toDF("next", "nf", "nb", "nf0", "nb0")
+            told = F.array(
+                F.struct(F.col("table").alias("name"), "f", F.greatest("b", "nb").alias("b"), "f0", "b0"),
+                F.struct(F.col("next").alias("name"), F.greatest("nf", "f").alias("f"), F.col("nb").alias("b"), F.col("nf0").alias("f0"), F.col("nb0").alias("b0")),
+            )
+            joined = links.join(one, "table").join(other, "next").select(F.inline(told))
+            labels = joined.groupBy("name").agg(*[F.max(c).alias(c) for c in ("f", "b", "f0", "b0")])
+        labels, found = counted_save_point(labels, moved=(F.col("f") != F.col("f0")) | (F.col("b") != F.col("b0")))
+        labels = gathered(labels, found["rows"])
     return labels.select("name", "f", "b")
 
 
@@ -88,6 +92,7 @@ def cycle_components(links: DataFrame) -> DataFrame:
     links, count = counted_save_point(links.select("table", "next").where("table <> next").distinct())
     salt = 0
     while count["rows"]:
+        links = gathered(links, count["rows"])
         labels = _furthest(links, salt)
         one, other = labels.toDF("table", "f", "b"), labels.toDF("next", "f2", "b2")
         inside = links.join(one, "table").join(other, "next").where("f = f2 AND b = b2")
@@ -143,7 +148,7 @@ def volatile_closure(definitions: DataFrame, starts: DataFrame, max_depth: int |
     two_faced = exits.select(F.col("parent_table_name").alias("next")).distinct().join(defined, "next", "left_semi")
     components = cycle_components(links)
     ends = lambda of, c: components.select(F.col("name").alias(of), F.col("component").alias(c))
-    hops = save_point(
+    hops, size = counted_save_point(
         links.join(ends("table", "before"), "table", "left")
         .join(ends("next", "component"), "next", "left")
         .join(two_faced.distinct().withColumn("two_faced", F.lit(True)), "next", "left")
@@ -153,6 +158,7 @@ def volatile_closure(definitions: DataFrame, starts: DataFrame, max_depth: int |
             F.coalesce("two_faced", F.lit(False)).alias("two_faced"),
         )
     )
+    hops = gathered(hops, size["rows"])
     nothing = F.array().cast("array<string>")
     level = (
         starts.join(defined.select(F.col("next").alias("start")), "start", "left_semi")
@@ -183,7 +189,7 @@ def volatile_closure(definitions: DataFrame, starts: DataFrame, max_depth: int |
         states = batch if states is None else states.unionByName(batch)
         if not found["deepest"]:
             break
-        level, written = batch.where(F.col("depth") == depth).drop("depth"), []
+        level, written = gathered(batch, found["rows"]).where(F.col("depth") == depth).drop("depth"), []
     passed = F.coalesce(F.array_contains("faced", F.col("parent_table_name")), F.lit(False))
     return (
         states.drop("depth")

@@ -78,6 +78,11 @@ def counted_save_point(
     return df.sparkSession.read.schema(df.schema).parquet(path), seen.get
 
 
+def gathered(df: DataFrame, rows: int, each: int = 250_000) -> DataFrame:
+    """A written table of so many rows in as few partitions as they fill, so that a short one is worked on without shuffles."""
+    return df.coalesce(1 + rows // each)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Share out rows that were read as fewer splits than there are cores, for costly row-wise work.
 

@@ -24,7 +24,24 @@ CASES = [
     ("UPDATE t FROM a.b x SET c=1", "Update", ["t"], ["a.b"]),
     ("insert into t select * from t", "Insert", ["t"], ["t"]),
     ("select a -- from no\n from yes /* join no */", "Select", [], ["yes"]),
-    ("select * from table (f(x)) as t, u", "Select", [], []),
+    ("select * from table (f(x)) as t, u", "Select", [], ["u"]),
+    ("UPDATE tgt FROM db.real tgt, db.src s SET a = s.a, b = 2", "Update", ["db.real"], ["db.src"]),
+    ("upd t from db.a AS x, t2 set c=1 where x.k in (sel k from db.b)", "Update", ["t"], ["db.a", "t2", "db.b"]),
+    ("DELETE a FROM db.t1 a, db.t2 b WHERE a.k=b.k", "Delete", ["db.t1"], ["db.t2"]),
+    ("insert into a select * from b a", "Insert", ["a"], ["b"]),
+    ("SELECT * FROM (SEL x FROM a.b) q, d.e f, g", "Select", [], ["a.b", "d.e", "g"]),
+    ("SELECT 1 FROM b.c q LEFT JOIN d.e f ON q.x = f(q.y, 1), g.h i WHERE 1 IN (2, 3) GROUP BY u, v", "Select", [], ["b.c", "d.e", "g.h"]),
+    ("sel 1 from a where c IS NOT DISTINCT FROM d and e is distinct from f", "Select", [], ["a"]),
+    ("SELECT \"it's\" FROM a.b WHERE c='x' and d = 'y from z'", "Select", [], ["a.b"]),
+    ("select 1 from Été.t, Straße.x y, db.tëst as z", "Select", [], ["Été.t", "Straße.x", "db.tëst"]),
+    ("insert into s.a.b.c select * from w.x.y.z", "Insert", ["s.a.b.c"], ["w.x.y.z"]),
+    ('sel * from db."T.v" t join "a"."b" on 1=1', "Select", [], ['db."T.v"', "a.b"]),
+    ("USING (k INT, d DECIMAL(10,2)) INSERT INTO a.b SELECT :k FROM c", "Insert", ["a.b"], ["c"]),
+    ("LOCKING TABLE b.c FOR WRITE INSERT INTO b.c SELECT * FROM d", "Insert", ["b.c"], ["d"]),
+    ("lock row for read lock table x in share mode sel 1 from x", "Select", [], ["x"]),
+    ("SEL EXTRACT(YEAR FROM CAST(COALESCE(NULLIF(TRIM(SUBSTR(x,(1+1),3)),''),(sel max(y) from m.n)) AS DATE)) FROM t", "Select", [], ["m.n", "t"]),
+    ("select * from ((((a)))) , (b join (c cross join d) on (1=1)), strtok(e) f, g", "Select", [], ["a", "b", "c", "d", "g"]),
+    ("create view v as with q as (sel 1 from a), r as (sel 2 from q) sel * from r, b union all sel 3 from c", "Create", ["v"], ["a", "b", "c"]),
     ("select d.x from lateral (select 1 from inner1) d", "Select", [], ["inner1"]),
     ("select extract(year from cast(trim(both from x) as date)) from t", "Select", [], ["t"]),
     ("sel * from ((a.b x join c on 1=1) left join (sel 1 from d) e on 1=1) join f using (id)", "Select", [], ["a.b", "c", "d", "f"]),
