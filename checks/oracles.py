@@ -419,3 +419,8 @@ SELECT array_to_string(scripts, ' | ') AS script_file, report AS child_table_nam
  'TABLE' AS child_table_type, 'TABLE' AS parent_table_type FROM walk WHERE starts_with(name, 'TB')"""
 ORACLES["resolve_layers"] = REACHED.format(cte=fixture_cte("fx_layers"), name="fx_layers")
 ORACLES["resolve_cycle_chain"] = REACHED.format(cte=fixture_cte("fx_cycle_chain"), name="fx_cycle_chain")
+ORACLES["relations_round_trip"] = (
+    with_ctes(fixture_cte("fx_relations"))
+    + "SELECT *, 'parquet' AS fmt FROM fx_relations UNION ALL SELECT *, 'csv' FROM fx_relations"
+)
+ORACLES["object_types_scan"] = with_ctes(fixture_cte("fx_object_types")) + "SELECT obj_name, table_kind FROM fx_object_types"

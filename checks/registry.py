@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,9 @@ from tablewake.functions.names import normalise_case
 from tablewake.operators import catalog, extract, hierarchy, lines, reports, resolve, statements
 from tablewake.operators.scans import assemble_text
 from tablewake.plans.jobs import lineage_edges
-from tablewake.session import save_point
+from tablewake.session import save_point, shared_folder
+from tablewake.sources.sinks import write_relations
+from tablewake.sources.tables import read_object_types, read_relations
 
 from .fixtures import fixture, table
 
@@ -262,6 +265,25 @@ def resolved_top(spark, sf):
     return resolve.sort_relations(resolve.resolve_volatile(fixture(spark, sf, "fx_relations"))).limit(10)
 
 
+@query
+def relations_round_trip(spark, sf):
+    """Edges as they come back from the sinks: the default one, and CSV."""
+    folder = f"{shared_folder(spark)}/round-trip-{uuid.uuid4().hex}"
+    edges = fixture(spark, sf, "fx_relations")
+    for fmt in ("parquet", "csv"):
+        write_relations(edges, f"{folder}/{fmt}-relations", fmt)
+    back = [read_relations(spark, f"{folder}/{fmt}-relations").withColumn("fmt", F.lit(fmt)) for fmt in ("parquet", "csv")]
+    return back[0].unionByName(back[1])
+
+
+@query
+def object_types_scan(spark, sf):
+    """The catalog, written as CSV and scanned."""
+    folder = f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}"
+    fixture(spark, sf, "fx_object_types").select("obj_name", "table_kind").write.csv(folder, header=True, ignoreLeadingWhiteSpace=False)
+    return read_object_types(spark, folder).select("obj_name", "table_kind")
+
+
 @query
 def resolution_statistics(spark, sf):
     prepared = save_point(resolve.prepare_relations(fixture(spark, sf, "fx_relations")))

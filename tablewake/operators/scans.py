@@ -17,7 +17,7 @@ BLOCK_ROWS = 100_000
 
 
 def block_of(position: str, rows: int = BLOCK_ROWS) -> Column:
-    return F.expr(f"`{position}` div {rows}")
+    return F.expr(f"cast(floor(`{position}`) AS bigint) div {rows}")
 
 
 def scan_before(
@@ -39,8 +39,15 @@ def scan_before(
     names = [*last, *total]
     group = [*keys, block]
     # An inner join with the summary: as both sides then filter keys alike, a later scan of the result
-    # finds the shuffled rows again. So that no row is lost, a null name becomes the empty name.
+    # finds the shuffled rows again. So that no row is lost, a null name becomes the empty name, and a
+    # key of another kind that may be null goes by its text.
+    kinds = dict(df.dtypes)
+    others = [c for c in keys if kinds[c] != "string" and df.schema[c].nullable]
     df = df.na.fill("", list(keys))
+    if others:
+        named = df.withColumns({f"_key_{c}": F.coalesce(F.col(c).cast("string"), F.lit("")) for c in others})
+        stand_in = [f"_key_{c}" if c in others else c for c in keys]
+        return scan_before(named, stand_in, order, last, total, block).drop(*[f"_key_{c}" for c in others])
     rows = df.select("*", *[value.alias(f"_{name}") for name, value in {**last, **total}.items()])
 
     place = F.col(order[0]) if len(order) == 1 else F.struct(*order)

@@ -44,12 +44,17 @@ def split_statement_lines(
     ).where("sql_text != ''")
 
 
+def _line_order(lines: DataFrame) -> list[str]:
+    """By line number, what is no number by its text, equal ones as they come; by line only if no order is known."""
+    return [c for c in ("line_number", "row_number") if c in lines.columns] + ["line"]
+
+
 def assemble_queries(lines: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
-    """Text of each named query: its lines by line number, then by text. Unnamed lines go."""
+    """Text of each named query: its lines in the order of `_line_order`. Unnamed lines go."""
     named = with_blocks(lines.where(F.col("query_name").isNotNull()), rows, "line_number")
     named = named.withColumn("line", F.coalesce("line", F.lit("")))
     whole = assemble_text(
-        named.withColumn("query_text", F.col("line")), ["script_file", "query_name"], "query_text", ("line_number", "line")
+        named.withColumn("query_text", F.col("line")), ["script_file", "query_name"], "query_text", _line_order(named)
     )
     return whole.select("script_file", "query_name", "query_text")
 
@@ -62,7 +67,7 @@ def table_statements(lines: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
     """
     named = with_blocks(lines.where(F.col("query_name").isNotNull()), rows, "line_number")
     named = named.withColumn("line", F.coalesce("line", F.lit("")))
-    return split_statement_lines(named, ["script_file", "query_name"], ("line_number", "line"))
+    return split_statement_lines(named, ["script_file", "query_name"], _line_order(named))
 
 
 def with_query_index(statements: DataFrame, order: Sequence[str] = ("script_file", "pos")) -> DataFrame:
@@ -77,7 +82,7 @@ def with_query_index(statements: DataFrame, order: Sequence[str] = ("script_file
         *out, F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")
     )
     sizes = placed.groupBy("_file").agg(F.count("*").alias("_rows"))
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(F.regexp_extract("_file", r"part-(\d+)", 1).cast("bigint")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     # One row per written file: the number of shuffle partitions bounds this side.
     return placed.join(F.broadcast(offsets), "_file").select(

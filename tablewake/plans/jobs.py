@@ -22,11 +22,16 @@ from ..operators.statements import (
     table_statements,
     with_query_index,
 )
-from ..session import save_point
+from ..session import job_save_points, save_point
 from ..sources.files import FILE_KEYS, read_log_lines, read_script_lines
 from ..sources.sinks import write_cleaned, write_errors, write_hierarchy, write_relations
 
 
+def _told(df: DataFrame) -> DataFrame:
+    """The few rows of a report, independent of intermediate tables."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def script_statements(spark: SparkSession, path: str) -> DataFrame:
     """Statements of all script files below a path."""
     return split_statement_lines(read_script_lines(spark, path), FILE_KEYS)
@@ -66,8 +71,18 @@ def lineage_job(
     Statements are parsed once and written; edges, errors and counts all read from there. The rules of the
     sequential variant are ``default="VIEW"``, ``include_query_edges=True`` and ``per_script=False``.
     """
+    with job_save_points(statements.sparkSession):
+        return _lineage_job(
+            statements, out, run_name, types, views, default, include_query_edges, per_script, fmt
+        )
+
+
+def _lineage_job(
+    statements, out, run_name, types, views, default, include_query_edges, per_script, fmt
+) -> dict[str, DataFrame]:
     place = [c for c in ("script_file", "file_path", "query_name", "pos") if c in statements.columns]
-    parsed = save_point(parse_statements(statements))
+    # A row's own number: places may be null or repeat, so they cannot lead an error back to its statement.
+    parsed = save_point(parse_statements(statements).withColumn("_id", F.monotonically_increasing_id()))
     edges = extract_edges(parsed, run_name, include_query_edges, per_script)
     if types is not None and views is not None:
         types = extend_catalog(types, views)
@@ -76,13 +91,15 @@ def lineage_job(
     failed = parsed.where(F.col("error_type").isNotNull())
     if not failed.isEmpty():
         # Only the keys of all statements are sorted and numbered; the texts of the failed ones join them.
-        numbered = failed.join(with_query_index(parsed.select(*place), place), place)
+        numbers = with_query_index(parsed.select(*place, "_id"), [*place, "_id"]).select("_id", "query_index")
+        numbered = failed.join(numbers, "_id")
         write_errors(statement_errors(numbered), f"{out}/{run_name}-error_details")
-    return {"statistics": run_statistics(parsed, include_query_edges), "errors": error_histogram(parsed)}
+    return {"statistics": _told(run_statistics(parsed, include_query_edges)), "errors": _told(error_histogram(parsed))}
 
 
 def script_lineage_job(spark: SparkSession, path: str, out: str, run_name: str, **options) -> dict[str, DataFrame]:
-    return lineage_job(script_statements(spark, path), out, run_name, **options)
+    with job_save_points(spark):
+        return lineage_job(script_statements(spark, path), out, run_name, **options)
 
 
 def table_lineage_job(lines: DataFrame, out: str, run_name: str, **options) -> dict[str, DataFrame]:
@@ -91,27 +108,34 @@ def table_lineage_job(lines: DataFrame, out: str, run_name: str, **options) -> d
 
 
 def log_lineage_job(spark: SparkSession, path: str, out: str, run_name: str, **options) -> dict[str, DataFrame]:
-    return lineage_job(log_file_statements(spark, path), out, run_name, **options)
+    with job_save_points(spark):
+        return lineage_job(log_file_statements(spark, path), out, run_name, **options)
 
 
 def clean_logs_job(spark: SparkSession, path: str, out: str) -> None:
     """Write the statements of each log as SQL text."""
-    write_cleaned(clean_log(read_log_lines(spark, path), FILE_KEYS), out)
+    with job_save_points(spark):
+        write_cleaned(clean_log(read_log_lines(spark, path), FILE_KEYS), out)
 
 
 def resolve_job(relations: DataFrame, out: str, fmt: str = "parquet", max_depth: int | None = None) -> DataFrame:
     """Write the sorted edges without volatile tables; return the statistics."""
-    prepared = save_point(prepare_relations(relations))
-    resolved = save_point(resolve_volatile(prepared, max_depth, prepared=True))
-    write_relations(sort_relations(resolved), out, fmt)
-    return resolution_statistics(prepared, resolved)
+    with job_save_points(relations.sparkSession):
+        prepared = save_point(prepare_relations(relations))
+        resolved = save_point(resolve_volatile(prepared, max_depth, prepared=True))
+        write_relations(sort_relations(resolved), out, fmt)
+        return _told(resolution_statistics(prepared, resolved))
 
 
 def hierarchy_job(
-    relations: DataFrame, out: str, fmt: str = "csv", match_null_keys: bool = True
+    relations: DataFrame, out: str, fmt: str = "csv", match_null_keys: bool = False
 ) -> DataFrame:
-    """Write hierarchy, relationships and flattened edges; return the row counts per level."""
-    hierarchy = save_point(build_hierarchy(relations))
-    edges = relationship_rows(relations)
-    write_hierarchy(hierarchy, edges, flatten_hierarchy(edges, hierarchy, match_null_keys), out, fmt)
-    return hierarchy_statistics(relations)
+    """Write hierarchy, relationships and flattened edges; return the row counts per level.
+
+    ``match_null_keys`` pairs every relationship that names no object with every path that has none.
+    """
+    with job_save_points(relations.sparkSession):
+        hierarchy = save_point(build_hierarchy(relations))
+        edges = relationship_rows(relations)
+        write_hierarchy(hierarchy, edges, flatten_hierarchy(edges, hierarchy, match_null_keys), out, fmt)
+        return _told(hierarchy_statistics(relations))

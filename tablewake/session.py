@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _local_folders: dict[str, str] = {}
+_job_folders: list[str] = []
 
 
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
@@ -33,9 +35,12 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    local = spark.sparkContext.master.startswith("local")
+    if named and named.startswith("file:") and not local:
+        raise ValueError(f"spark.checkpoint.dir is {named}: executors do not share a folder of their own machine")
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not local:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_folders:
@@ -47,6 +52,16 @@ def _save_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/tablewake-{spark.sparkContext.applicationId}"
 
 
+@contextmanager
+def job_save_points(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside go when the block ends, also if it fails."""
+    _job_folders.append(f"{_save_folder(spark)}/job-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        remove_folder(spark, _job_folders.pop())
+
+
 def clear_save_points(spark: SparkSession) -> None:
     """Remove the intermediate tables of this application, once its results are written."""
     remove_folder(spark, _save_folder(spark))
@@ -69,7 +84,7 @@ def counted_save_point(
     df: DataFrame, partition_by: Sequence[str] = (), **counts: Column
 ) -> tuple[DataFrame, dict[str, int]]:
     """`save_point`, with the number of ``rows`` and of rows that meet each condition, taken on the way."""
-    path = f"{_save_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{_job_folders[-1] if _job_folders else _save_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     seen = Observation()
     counted = df.observe(
         seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(n) for n, c in counts.items()]

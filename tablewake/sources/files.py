@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import stem
@@ -13,9 +13,39 @@ from ..session import save_point
 SCRIPT_FILES = "*.{[tT][xX][tT],[sS][qQ][lL]}"
 LOG_FILES = "*.{[lL][oO][gG],[mM][sS][gG]}"
 
+SUFFIXES = {SCRIPT_FILES: (".txt", ".sql"), LOG_FILES: (".log", ".msg")}
+
 FILE_KEYS = ("script_file", "file_path")
 
 
+def _hidden(name: str) -> bool:
+    return name.startswith(("_", "."))
+
+
+def _refuse_hidden(spark: SparkSession, path: str, suffixes: tuple[str, ...]) -> None:
+    """Raise if the folder holds files to read whose name, or a folder's on the way, begins with ``_`` or ``.``:
+    Spark's file sources leave those out without a word."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(top):
+        return
+    above = len(system.getFileStatus(top).getPath().toUri().getPath().rstrip("/"))
+    found, files = [], system.listFiles(top, True)
+    while files.hasNext():
+        name = files.next().getPath().toUri().getPath()
+        below = name[above:] or name.rsplit("/", 1)[-1]
+        if name.lower().endswith(suffixes) and any(map(_hidden, below.strip("/").split("/"))):
+            found.append(name)
+    if found:
+        raise ValueError(f"{len(found)} files have hidden names and would not be read: {', '.join(sorted(found)[:20])}")
+
+
+def _script_name() -> Column:
+    """The file's name as it is, not as in a URL, without its suffix."""
+    name = F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))
+    return stem(F.url_decode(name))
+
+
 def _reader(spark: SparkSession, pattern: str):
     return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
 
@@ -26,9 +56,10 @@ def _lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     ``block`` is the offset of the split in its file, ``pos`` grows within a split. Splits may differ from
     one scan to the next, so the numbered lines are written once and read from there.
     """
+    _refuse_hidden(spark, path, SUFFIXES[pattern])
     return save_point(
         _reader(spark, pattern).text(path).select(
-            stem(F.col("_metadata.file_name")).alias("script_file"),
+            _script_name().alias("script_file"),
             F.col("_metadata.file_path").alias("file_path"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("pos"),
@@ -48,8 +79,9 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    _refuse_hidden(spark, path, SUFFIXES[pattern])
     return _reader(spark, pattern).text(path, wholetext=True).select(
-        stem(F.col("_metadata.file_name")).alias("script_file"),
+        _script_name().alias("script_file"),
         F.col("_metadata.file_path").alias("file_path"),
         unify_newlines(F.col("value")).alias("text"),
     )

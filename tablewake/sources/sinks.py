@@ -24,7 +24,7 @@ def _write(df: DataFrame, path: str, fmt: str, mode: str, **options: str) -> int
 
 def write_relations(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> int:
     """Edges, raw or resolved; CSV gets a header."""
-    options = {"header": "true", "escape": '"'} if fmt == "csv" else {}
+    options = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"} if fmt == "csv" else {}
     return _write(df, path, fmt, mode, **options)
 
 

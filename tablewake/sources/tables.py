@@ -50,8 +50,19 @@ def discover_columns(columns: Sequence[str]) -> LineColumns:
     return LineColumns(first(TEXT_HEADERS, -1), first(LINE_HEADERS, -2), first(NAME_HEADERS, 0))
 
 
-def _read(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def _is_parquet(spark: SparkSession, path: str) -> bool:
+    """By the name of the file or folder, or of the files in the folder."""
     if path.rstrip("/").endswith(".parquet"):
+        return True
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(
+        spark._jvm.org.apache.hadoop.fs.Path(folder, "*.parquet")
+    )
+    return found is not None and len(found) > 0
+
+
+def _read(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    if _is_parquet(spark, path):
         return spark.read.parquet(path)
     return spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"')
 
@@ -62,7 +73,8 @@ def read_script_table(
     """A line table as ``script_file, query_name, line_number, row_number, line``.
 
     ``source`` is a CSV or Parquet path or a DataFrame. ``row_number`` grows with the row order of the source
-    and settles equal line numbers. Numbers written as text are read as numbers.
+    and settles equal line numbers. Numbers may have fractions and may be written as text; what is no number
+    is kept in ``row_number``, before the row, and is put in the order of its text.
     """
     if isinstance(source, str):
         df = _read(spark, source, multi_line)
@@ -70,11 +82,15 @@ def read_script_table(
     else:
         df, script = source, F.lit(script_file or "table")
     found = discover_columns(df.columns)
+    number = F.expr(f"try_cast(`{found.line_number}` AS double)")
     return df.select(
         script.alias("script_file"),
         F.col(found.query_name).cast("string").alias("query_name"),
-        F.expr(f"try_cast(try_cast(`{found.line_number}` AS double) AS bigint)").alias("line_number"),
-        F.monotonically_increasing_id().alias("row_number"),
+        number.alias("line_number"),
+        F.struct(
+            F.when(number.isNull(), F.col(found.line_number).cast("string")).alias("text"),
+            F.monotonically_increasing_id().alias("row"),
+        ).alias("row_number"),
         unify_newlines(F.col(found.text).cast("string")).alias("line"),
     )
 

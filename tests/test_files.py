@@ -4,8 +4,12 @@ from pathlib import Path
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tablewake import session
+from tablewake.operators import statements
 from tablewake.operators.lines import log_statements
+from tablewake.operators.scans import scan_before
 from tablewake.plans import jobs
 from tablewake.sources import files, sinks, tables
 
@@ -56,6 +60,25 @@ def test_script_scan(spark, folder):
     ]
 
 
+def test_hidden_files_are_refused_by_name(spark, tmp_path):
+    (tmp_path / "_archive").mkdir()
+    for name in ("a.sql", "_b.sql", "_archive/c.sql", ".d.log", "_e.md"):
+        (tmp_path / name).write_text("sel 1")
+    with pytest.raises(ValueError, match=r"2 files .*/_archive/c.sql, .*/_b.sql"):
+        files.read_script_lines(spark, str(tmp_path))
+    with pytest.raises(ValueError, match=r"1 files .*/\.d\.log"):
+        files.read_logs(spark, str(tmp_path))
+    assert files.read_scripts(spark, str(tmp_path / "a.sql")).count() == 1
+
+
+def test_names_are_those_of_the_files(spark, tmp_path):
+    names = ("my file", "a+b", "50%20", "é", "x.y")
+    for name in names:
+        (tmp_path / f"{name}.sql").write_text("sel 1")
+    assert sorted(r.script_file for r in files.read_scripts(spark, str(tmp_path)).collect()) == sorted(names)
+    assert sorted(r.script_file for r in files.read_script_lines(spark, str(tmp_path)).collect()) == sorted(names)
+
+
 def test_log_scan(spark, folder):
     path = str(folder / "in")
     assert files.read_logs(spark, path).count() == 2
@@ -124,6 +147,37 @@ def test_line_table(spark, tmp_path):
     assert got == [("R-VIEWS", "X.Y", "UNKNOWN", "TABLE")]
 
 
+@pytest.mark.parametrize(
+    "lines, text",
+    [
+        ([("1", "select b"), ("1", "from a.t"), ("1", "where 1=1")], "select b\nfrom a.t\nwhere 1=1"),
+        ([("1.5", "b"), ("1", "a"), ("10", "d"), ("2", "c")], "a\nb\nc\nd"),
+        ([("p02", "b"), ("p01", "a"), ("p02", "a2"), ("p10", "c")], "a\nb\na2\nc"),
+    ],
+)
+def test_line_order(spark, lines, text):
+    df = spark.createDataFrame([("q", n, line) for n, line in lines], "SQLName string, LineNumber string, sql string").coalesce(1)
+    found = tables.read_script_table(spark, df)
+    assert [r.query_text for r in statements.assemble_queries(found).collect()] == [text]
+    assert [r.sql_text for r in statements.table_statements(found, rows=2).collect()] == [text]
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_relations_come_back_as_written(spark, tmp_path, fmt):
+    schema = "script_file string, child_table_name string, relationship string, parent_table_name string, child_table_type string, parent_table_type string"
+    df = spark.createDataFrame([("s", 'a "b", c', "INSERT", None, "VIEW", "007"), ("t", "x\\y", "DELETE", "q", None, "TABLE")], schema)
+    sinks.write_relations(df, str(tmp_path / "run-relations"), fmt)
+    back = tables.read_relations(spark, str(tmp_path / "run-relations"))
+    assert back.columns == df.columns and rows(back) == rows(df)
+
+
+def test_scan_keeps_rows_with_null_keys(spark):
+    data = [(None, "a", 1), (None, "b", 2), (7, "c", 1), (None, None, 3)]
+    df = spark.createDataFrame(data, "k int, line string, pos long").withColumn("block", F.lit(0))
+    found = scan_before(df, ["k"], total={"n": F.lit(1).cast("long")})
+    assert rows(found, "k", "pos", "n") == [(7, 1, 0), (None, 1, 0), (None, 2, 1), (None, 3, 2)]
+
+
 def test_relations_in_all_spellings(spark, tmp_path):
     (tmp_path / "a.csv").write_text("SCRIPT_FILE,CHILDTABLENAME,RELATIONSHIP,PARENTTABLENAME,CHILDTABLETYPE,PARENTTABLETYPE\nS,NA,INSERT,,VIEW,007\n")
     (tmp_path / "b.csv").write_text("parentTypes,childTableName,script_file\nVIEW,null,x\n")
@@ -205,6 +259,27 @@ def test_empty_input(spark, tmp_path):
     assert not list((tmp_path / "out").rglob("*.parquet")) and not list((tmp_path / "out").rglob("*.csv"))
 
 
+def test_jobs_leave_no_intermediate_tables(spark, folder):
+    def saved():
+        return {p for p in Path(session._save_folder(spark)).rglob("*") if p.is_dir()}
+
+    before = saved()
+    out = str(folder / "out")
+    jobs.script_lineage_job(spark, str(folder / "in"), out, "run")
+    jobs.clean_logs_job(spark, str(folder / "in"), f"{out}/clean")
+    jobs.resolve_job(spark.read.parquet(f"{out}/run-relations"), f"{out}/simplified")
+    with pytest.raises(Exception):
+        jobs.script_lineage_job(spark, str(folder / "in"), out, "run")
+    assert saved() - before == set()
+
+
+def test_errors_of_unnamed_and_equal_places(spark, tmp_path):
+    bad = spark.createDataFrame([("s", 1, "what"), ("s", 1, "how"), (None, 2, "why"), ("s", 3, "sel 1")], "script_file string, pos long, sql_text string")
+    jobs.lineage_job(bad, str(tmp_path), "r")
+    errors = spark.read.csv(str(tmp_path / "r-error_details"), header=True)
+    assert sorted(r.sql_query for r in errors.collect()) == ["how", "what", "why"]
+
+
 def test_save_points_can_be_cleared(spark):
     file = session.save_point(spark.range(2)).inputFiles()[0].removeprefix("file:").replace("///", "/")
     assert Path(file).exists()
