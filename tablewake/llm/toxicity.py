@@ -22,8 +22,8 @@ SHARP = (1.0, 12.0)
 THRESHOLD = 0.7
 #: The sample that is learned from: rows of each label, and characters in all.
 SAMPLE_ROWS = 2_500
-SAMPLE_CHARS = 10_000_000
-MEMO_TOKENS = 400_000
+SAMPLE_CHARS = 5_000_000
+MEMO_TOKENS = 150_000
 CHARS_AT_ONCE = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _EDGE = " \t\r\n.,;:!?…\"'()[]{}<>«»„“”‘’%&$#*+-=/\\|~^`_"
