@@ -112,23 +112,6 @@ def test_layers_stay_small(spark):
     assert rows(R.resolve_volatile(relations(spark, data)), "script_file", "parent_table_name") == [("root | s", "t")]
 
 
-def test_many_layers(spark):
-    """Forty full layers of three tables: one row, by way of three states a layer."""
-    data = [
-        edge("s", f"v{layer}_{i}", f"v{layer + 1}_{j}") for layer in range(39) for i in range(3) for j in range(3)
-    ] + [edge("s", f"v39_{i}", "t", parent_type="TABLE") for i in range(3)]
-    data += [edge("root", "rpt", "v0_0", "TABLE")]
-    assert rows(R.resolve_volatile(relations(spark, data)), "script_file", "parent_table_name") == [("root | s", "t")]
-
-
-def test_cycles_in_a_row(spark):
-    """Thirty pairs that load each other, each pair loading the next: what a pair passed is forgotten behind it."""
-    data = [edge("s", f"{a}{i}", f"{b}{i}") for i in range(30) for a, b in ("vw", "wv")]
-    data += [edge("s", f"{a}{i}", f"{b}{i + 1}") for i in range(29) for a in "vw" for b in "vw"]
-    data += [edge("s", f"{a}29", "t", parent_type="TABLE") for a in "vw"] + [edge("root", "rpt", "v0", "TABLE")]
-    assert rows(R.resolve_volatile(relations(spark, data)), "script_file", "parent_table_name") == [("root | s", "t")]
-
-
 def test_components(spark):
     rng = random.Random(9)
     links = {(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(55)}
