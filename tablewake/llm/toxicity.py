@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField
 
@@ -23,6 +23,9 @@ THRESHOLD = 0.7
 #: The sample that is learned from: rows of each label, and characters in all.
 SAMPLE_ROWS = 2_500
 SAMPLE_CHARS = 5_000_000
+#: A text's largest share of its label's characters, and the pieces a longer one is learned from.
+TEXT_SHARE = 20
+PIECES = 8
 MEMO_TOKENS = 150_000
 CHARS_AT_ONCE = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -182,16 +185,30 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS, window: int =
     return Model(vectors @ softmax, bias[0], window)
 
 
+def spread(text: Column, chars: int) -> Column:
+    """``text``; of one longer than ``chars``, pieces that lie evenly from its start to its end, ``chars`` in all at most."""
+    size = max(1, (chars - PIECES + 1) // PIECES)
+    step = (F.length(text) - size) / (PIECES - 1)
+    pieces = [text.substr((F.round(step * k) + 1).cast("int"), F.lit(size)) for k in range(PIECES)]
+    return F.when(F.length(text) > chars, F.concat_ws(" ", *pieces)).otherwise(text)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, chars: int) -> DataFrame:
     """Texts and labels to learn from: at most ``rows`` of each label in the order of a hash of the id, and at
-    most ``chars`` characters of each."""
+    most ``chars`` characters of each.
+
+    Only labels of ``docs`` with a text count. No text takes more than its share of the characters, so a
+    long one, which is learned from in pieces, leaves room for the others.
+    """
     known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.join(docs.where("text is not null").select("doc_id").distinct(), "doc_id")
     order = [F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), "doc_id"]
     picked = None
     for label in (0, 1):
         some = known.where(F.col("toxic") == label).orderBy(*order).limit(rows)
         picked = some if picked is None else picked.unionByName(some)
-    found = docs.join(F.broadcast(picked), "doc_id").where("text is not null").dropDuplicates(["doc_id"])
+    found = docs.join(F.broadcast(picked), "doc_id").where("text is not null")
+    found = found.withColumn("text", spread(F.col("text"), chars // TEXT_SHARE)).dropDuplicates(["doc_id"])
     running = Window.partitionBy("toxic").orderBy(*order)
     so_far = F.sum(F.length("text")).over(running)
     return found.withColumn("so_far", so_far).where(F.col("so_far") <= chars).select("doc_id", "text", "toxic")

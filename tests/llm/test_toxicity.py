@@ -74,6 +74,43 @@ def test_sample_has_no_unlabelled_and_no_more_than_its_bounds(spark):
     assert all(r.n <= 500 for r in few.collect())
 
 
+def test_a_long_text_leaves_the_others_in_the_sample(spark):
+    order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"))
+    ids = [r.doc_id for r in spark.range(40).select(F.col("id").alias("doc_id")).orderBy(order).collect()]
+    rng = random.Random(6)
+    rows = []
+    for k, i in enumerate(ids):
+        words = ["".join(rng.choices(CLEAN, k=2)) for _ in range(30)] + ["stupid moron"] * (k % 2)
+        # The first of the toxic ones, and one further on.
+        rows.append((i, " ".join(words) if k not in (1, 21) else "Stupid moron! " * 220_000, "", "", ""))
+    docs = spark.createDataFrame(rows, SCHEMA).drop("toxic")
+    labels = spark.createDataFrame([(i, 0, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int, toxic int")
+    half = toxicity.SAMPLE_CHARS // 2
+    assert max(len(r[1]) for r in rows) > half
+    found = {r.doc_id: r for r in toxicity.labelled_sample(docs, labels, 100, half).collect()}
+    assert sorted(found) == sorted(ids)
+    assert all(found[i].text == t for i, t, *_ in rows if len(t) < 10_000)
+    assert sum(len(r.text) for r in found.values() if r.toxic) <= half
+    model = fit(docs, labels, steps=40)
+    assert model.weights.any() and model.score(["you stupid moron"])[0] > 0.7 > model.score([rows[0][1]])[0]
+
+
+def test_pieces_of_a_long_text_are_spread_over_it(spark):
+    df = spark.createDataFrame([("".join(chr(0x4E00 + i) for i in range(1000)),), ("short",), (None,)], "text string")
+    long, short, none = [r[0] for r in df.select(toxicity.spread(F.col("text"), 100)).collect()]
+    pieces = long.split(" ")
+    assert len(long) <= 100 and len(pieces) == toxicity.PIECES and (short, none) == ("short", None)
+    starts = [ord(p[0]) - 0x4E00 for p in pieces]
+    assert starts[0] == 0 and ord(pieces[-1][-1]) - 0x4E00 == 999 and max(np.diff(starts)) - min(np.diff(starts)) <= 1
+
+
+def test_labels_of_other_documents_take_no_room(spark):
+    docs = spark.createDataFrame([(i, "a b", "", "", "") for i in range(0, 400, 20)] + [(1, None, "", "", "")], SCHEMA).drop("toxic")
+    labels = spark.createDataFrame([(i, 0, i // 20 % 2) for i in range(400)], "doc_id long, quality int, toxic int")
+    found = toxicity.labelled_sample(docs, labels, 10, 10_000).collect()
+    assert sorted(r.toxic for r in found) == [0] * 10 + [1] * 10
+
+
 def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "a", "", "", "")], SCHEMA).drop("toxic")
     model = fit(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
