@@ -9,10 +9,19 @@ import numpy as np
 
 # Fixed values of HTML: elements without content, without text to read, and inside a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("head script style noscript template title svg math iframe object canvas audio video".split())
+SILENT = frozenset("head script style noscript template title svg iframe object canvas audio video".split())
+#: Of these, the ones that may hold their like.
+NESTING = frozenset("template svg object canvas audio video".split())
+#: What may stand in a head: anything else ends it.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noscript script style template title".split())
+#: A slash at the end of the tag closes these only.
+FOREIGN = frozenset("svg math".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var wbr input".split()
+    "span strike strong sub sup time tt u var wbr input "
+    # A formula is part of its line.
+    "math maction menclose merror mfenced mfrac mglyph mi mlabeledtr mmultiscripts mn mo mover mpadded mphantom mprescripts mroot "
+    "mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics annotation annotation-xml".split()
 )
 #: What an opening tag closes if it is open, and what bounds the search.
 CLOSES = {
@@ -62,11 +71,12 @@ class _Builder(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if self.silent:
-            if tag == self.silent[-1]:
-                self.silent.append(tag)
-            # A body ends a head that was left open.
-            elif tag == "body" and self.silent == ["head"]:
+            # What cannot stand in a head ends one that was left open; a body also ends what was left open in it.
+            if self.silent == ["head"] and tag not in IN_HEAD or self.silent[0] == "head" and tag == "body":
                 self.silent = []
+            elif tag == self.silent[-1] and tag in NESTING or self.silent == ["head"] and tag in SILENT and tag != "head":
+                self.silent.append(tag)
+        if self.silent:
             return
         if tag in SILENT:
             self.silent.append(tag)
@@ -96,8 +106,10 @@ class _Builder(HTMLParser):
                 self.at = node
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        # HTML knows no such tag: the slash has no meaning.
+        # In HTML itself the slash has no meaning.
         self.handle_starttag(tag, attrs)
+        if tag in FOREIGN:
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
         if self.silent:
@@ -113,6 +125,9 @@ class _Builder(HTMLParser):
             self._close_open(tag, () if tag != "p" else ("div", "article", "section", "td", "li", "body"), inner=True)
 
     def handle_data(self, data: str) -> None:
+        # Text ends a head that was left open, too.
+        if self.silent == ["head"] and data.strip():
+            self.silent = []
         if self.silent:
             return
         if self.line is None:

@@ -26,6 +26,18 @@ def test_trees_of_untidy_pages():
     assert shape(parse("<table><tr><td>a<td>b<tr><td>c</table><style>p{}")) == (
         "body", [("table", [("tr", [("td", ["a"]), ("td", ["b"])]), ("tr", [("td", ["c"])])])]
     )
+    # A head left open ends with what cannot stand in it.
+    article = ("body", [("article", [("p", ["a"])])])
+    for end in ("", "</title>", "</title><script>var p</script><link href=x><noscript><img></noscript><style>p{}</style>"):
+        assert shape(parse(f"<head>{end and '<title>x <b>y</b>'}{end}<article><p>a")) == article
+    assert shape(parse("<head><meta charset=x><head><title>x <title> y</title>\n</head><article><p>a")) == article
+    assert shape(parse("<html><head><title>x</title> a <p>b")) == ("body", ["a", ("p", ["b"])])
+    assert shape(parse("<head><noscript><p>x</p></noscript><svg/><p>a</p><svg><title>x</title></svg>")) == ("body", [("p", ["a"])])
+    # A slash closes svg and math, and nothing else.
+    assert shape(parse("<p>a<svg class='i'/>b<svg><path/><svg/></svg>c</p><p>d<math/>e</p><div/>f")) == (
+        "body", [("p", ["abc"]), ("p", ["de"]), ("div", ["f"])]
+    )
+    assert shape(parse("<p>So <math><mrow><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mi>n</mi></mfrac></mrow></math> holds.")) == ("body", [("p", ["So x=1n holds."])])
     for odd in (None, "", "   ", "<", "<p", "</p>", "&nbsp;"):
         assert shape(parse(odd)) == ("body", []) or odd in ("<", "<p")
 
