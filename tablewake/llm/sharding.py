@@ -58,7 +58,7 @@ def size_cell(value: Column, bits: int = BITS) -> Column:
     return F.least(F.coalesce(steps, F.lit(0)), F.lit((1 << bits) - 1)).cast("int")
 
 
-def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
+def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS, carry: str | None = None) -> DataFrame:
     """``doc_id``, ``size``, ``text_crc32``, ``curve``, ``shard``, ``slot`` for each row of ``docs``.
 
     Language, source and size are quantised to ``bits`` bits each and put in the order of the Hilbert curve through the
@@ -66,7 +66,8 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> D
     text, so equal texts lie side by side, then by id. The order is cut into runs of equal bytes: a row
     belongs to the shard in which its middle byte falls, so a shard is off by a row's size at
     most. ``slot`` counts a shard's rows from 0. A null text has 16 bytes and checksum 0; null metadata have
-    a cell of their own or share one; repeated rows are neighbours; other columns are ignored.
+    a cell of their own or share one; repeated rows are neighbours; other columns are ignored, but for
+    ``carry``, which comes along.
     """
 
     @F.pandas_udf("long")
@@ -74,6 +75,7 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> D
         return pd.Series(hilbert_index(np.column_stack([a, b, c]), bits).astype(np.int64))
 
     text = F.coalesce("text", F.lit(""))
+    carried = [carry] if carry else []
     rows = docs.select(
         "doc_id",
         (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
@@ -81,6 +83,7 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> D
         F.xxhash64(text).alias("text_hash"),
         category_cell(F.col("lang"), bits).alias("a"),
         category_cell(F.col("source"), bits).alias("b"),
+        *carried,
     )
     rows = rows.withColumn("curve", curve("a", "b", size_cell(F.col("size"), bits))).drop("a", "b")
     order = [F.col(c) for c in ("curve", "text_hash", "text_crc32", "doc_id")]
@@ -89,12 +92,16 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> D
     placed = summed.withColumn("shard", F.least(F.floor(middle * shards / F.col("bytes_total")), F.lit(shards - 1)).cast("int"))
     first = placed.groupBy("shard").agg(F.min("rows_before").alias("first"))
     return placed.join(F.broadcast(first), "shard").select(
-        "doc_id", "size", "text_crc32", "curve", "shard", (F.col("rows_before") - F.col("first")).alias("slot")
+        "doc_id", "size", "text_crc32", "curve", "shard", (F.col("rows_before") - F.col("first")).alias("slot"), *carried
     )
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """``docs`` as a folder for each shard, rows in slot order; rows without a ``doc_id`` are not written."""
-    placed = hilbert_shards(docs, shards).select("doc_id", "shard", "slot")
-    whole = docs.join(placed, "doc_id").repartition(shards, "shard").sortWithinPartitions("shard", "slot")
-    whole.drop("slot").write.partitionBy("shard").parquet(path)
+    """Every row of ``docs`` once, as a folder for each shard, rows in slot order.
+
+    Rows travel whole through the placement, so null and repeated ids do no harm.
+    """
+    whole = docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    placed = hilbert_shards(whole, shards, carry="__row").select("shard", "slot", "__row")
+    dealt = placed.repartition(shards, "shard").sortWithinPartitions("shard", "slot")
+    dealt.select("__row.*", "shard").write.partitionBy("shard").parquet(path)

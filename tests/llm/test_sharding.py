@@ -4,6 +4,7 @@ from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tablewake.llm.queries import QUERIES
 from tablewake.llm.sharding import hilbert_index, hilbert_shards, write_shards
@@ -57,3 +58,17 @@ def test_query_and_files(spark, small, tmp_path):
     assert {(r.law, r.grown_shard) for r in rows} == {("bytes", None)}
     write_shards(spark.read.parquet(f"{small}/documents.parquet"), str(tmp_path / "out"), 4)
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(docs)
+
+
+def test_files_hold_every_row_in_its_shard(spark, tmp_path):
+    rng = random.Random(4)
+    docs = [(i % 40 if i % 3 else None, "é" * rng.randrange(200), rng.choice(["a", "b", None]), f"s{i % 7}", str(i), "y") for i in range(300)]
+    docs += [(7, "same", "a", "s0", "x", "y")] * 5 + [(None, None, None, None, "x", "y")] * 2
+    df = spark.createDataFrame(docs, SCHEMA.replace("shard string", "slot string"))
+    write_shards(df, str(tmp_path / "out"), 4)
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert found.columns == [*df.columns, "shard"]
+    assert sorted(map(str, (tuple(r)[:-1] for r in found.collect()))) == sorted(map(str, docs))
+    of = lambda df: sorted((str(r.doc_id), r.crc, r.shard) for r in df.collect())
+    written = found.select("doc_id", F.crc32(F.coalesce("text", F.lit(""))).alias("crc"), "shard")
+    assert of(written) == of(hilbert_shards(df, 4).select("doc_id", F.col("text_crc32").alias("crc"), "shard"))
