@@ -28,10 +28,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in none of the learned languages, those without a letter, go."""
+    """Documents in none of the learned languages go: those without a letter, and those that share no n-gram with any
+    language's profile, whose score is 0."""
     profiles = language.learn(docs, language_may_learn())
     found = language.add_language(docs, profiles)
-    return found.where(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") > 0)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

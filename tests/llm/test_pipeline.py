@@ -6,6 +6,7 @@ from collections import Counter
 from pathlib import Path
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from tablewake.llm import language, toxicity
 from tablewake.llm.queries import language_may_learn, toxicity_may_learn
 
@@ -50,6 +51,18 @@ def test_stages_on_all_their_predecessors_kept(spark, small, tmp_path):
             seen = kept
 
 
+def test_documents_in_no_known_language_go(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    plain = docs.where("text rlike '[a-z]{3}'")
+    other = {900001: "Съешь ещё этих мягких булок", 900002: "日本語の文章", 900003: "12 !"}
+    odd = [docs.limit(1).withColumns({"doc_id": F.lit(i).cast("long"), "text": F.lit(t), "lang": F.lit(None).cast("string")}) for i, t in other.items()]
+    mixed = plain
+    for one in odd:
+        mixed = mixed.unionByName(one)
+    kept = sorted(r.doc_id for r in corpus_pipeline.keep_known_language(spark, mixed, small).collect())
+    assert kept == sorted(r.doc_id for r in plain.collect())
+
+
 def test_entry_without_the_subpackage(tmp_path):
     """The entry point works with these folders gone, but does not hide a broken import inside them."""
     repo = Path(__file__).resolve().parents[2]
