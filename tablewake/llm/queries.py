@@ -63,7 +63,7 @@ def op3_html_extraction(spark, sf):
 @query
 def op4_quotation_linking(spark, sf):
     """Every message without quotations, in the order of its conversation's replies."""
-    return quotes.reply_order(table(spark, sf, "conversations"))
+    return quotes.whole_reply_order(table(spark, sf, "conversations"))
 
 
 @query

@@ -11,6 +11,8 @@ from tablewake.session import counted_save_point, save_point
 #: A line that names the author of the quotation below it.
 ATTRIBUTION = r"(?i)\b(wrote|writes|schrieb|a écrit|escribió)\s*:\s*$"
 
+COLUMNS = ("conv_id", "turn", "role", "text", "parent_turn", "quotes", "root_turn", "position", "n_quoted")
+
 
 def quoted_lines(messages: DataFrame) -> DataFrame:
     """The lines of all messages: ``conv_id``, ``turn``, ``no``, ``level`` (0: own), ``line`` (without quote marks), ``norm``.
@@ -78,6 +80,16 @@ def _branch_paths(branches: DataFrame) -> DataFrame:
     return paths.select("conv_id", "root_turn", "path")
 
 
+def own_text(lines: DataFrame) -> DataFrame:
+    """``conv_id``, ``turn``, ``text`` (the lines of level 0, trimmed), ``n_quoted`` (how many lines are quoted)."""
+    own = lines.groupBy("conv_id", "turn").agg(
+        F.sort_array(F.collect_list(F.when(F.col("level") == 0, F.struct("no", "line")))).alias("l"),
+        F.count_if(F.col("level") > 0).alias("n_quoted"),
+    )
+    text = F.regexp_replace(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), r"^\s+|\s+$", "")
+    return own.select("conv_id", "turn", text.alias("text"), "n_quoted")
+
+
 def reply_order(messages: DataFrame) -> DataFrame:
     """Each message without its quotations, in the order of its conversation's replies.
 
@@ -96,12 +108,7 @@ def reply_order(messages: DataFrame) -> DataFrame:
     known = known.agg(F.min(F.struct("role", "text")).alias("m"))
     known = save_point(known.select("conv_id", F.col("turn").cast("long").alias("turn"), "m.role", "m.text"))
     lines = quoted_lines(known)
-    own = lines.groupBy("conv_id", "turn").agg(
-        F.sort_array(F.collect_list(F.when(F.col("level") == 0, F.struct("no", "line")))).alias("l"),
-        F.count_if(F.col("level") > 0).alias("n_quoted"),
-    )
-    text = F.regexp_replace(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), r"^\s+|\s+$", "")
-    own = own.select("conv_id", "turn", text.alias("text"), "n_quoted")
+    own = own_text(lines)
     one = F.lit(1).cast("long")
     counted = with_running_sum(known.select("conv_id", "turn", "role"), [F.col("conv_id"), F.col("turn")], rows=one)
     at = save_point(
@@ -129,3 +136,33 @@ def reply_order(messages: DataFrame) -> DataFrame:
         "conv_id", "turn", "role", "text", "parent_turn", "quotes", "root_turn",
         (F.col("rows_before") - F.col("begin")).alias("position"), "n_quoted",
     )
+
+
+def whole_reply_order(messages: DataFrame) -> DataFrame:
+    """``reply_order`` of every message: several of one turn follow each other by role and text, and messages without
+    ``conv_id`` or ``turn`` come along without links, ``root_turn`` and ``position``.
+
+    Messages are numbered over all conversations and ordered as if the numbers were their turns. ``parent_turn`` and
+    ``root_turn`` are the turns of the messages linked to, which may be the message's own if it shares its turn. Only
+    rows that repeat a message, its key, role and text, are one.
+    """
+    some = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    keyed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    order = [F.col(c) for c in ("conv_id", "turn", "role", "text")]
+    numbered = with_running_sum(some.where(keyed).distinct(), order, rows=F.lit(1).cast("long"))
+    numbered = save_point(numbered.withColumnRenamed("rows_before", "no").drop("rows_total"))
+    turns = numbered.select("no", F.col("turn").alias("named"))
+    ordered = reply_order(numbered.select("conv_id", F.col("no").alias("turn"), "role", "text"))
+    # First messages have no parent: keys that match nothing keep them apart.
+    ordered = ordered.withColumn("parent_turn", F.coalesce("parent_turn", -1 - F.col("turn")))
+    for column in ("turn", "parent_turn", "root_turn"):
+        named = turns.withColumnRenamed("no", column)
+        ordered = ordered.join(named, column, "left").drop(column).withColumnRenamed("named", column)
+
+    loose = save_point(some.where(~keyed).withColumn("no", F.monotonically_increasing_id()))
+    lines = quoted_lines(loose.select(F.lit(None).cast(some.schema["conv_id"].dataType).alias("conv_id"), F.col("no").alias("turn"), "text"))
+    own = own_text(lines).select(F.col("turn").alias("no"), "text", "n_quoted")
+    loose = loose.drop("text").join(own, "no").withColumns(
+        {"parent_turn": F.lit(None).cast("long"), "quotes": F.lit(False), "root_turn": F.lit(None).cast("long"), "position": F.lit(None).cast("long")}
+    )
+    return ordered.select(*COLUMNS).unionByName(loose.select(*COLUMNS))

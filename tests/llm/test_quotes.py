@@ -1,3 +1,4 @@
+from tablewake.llm.queries import QUERIES
 from tablewake.llm.quotes import quoted_lines, reply_order
 
 SCHEMA = "conv_id long, turn long, role string, text string, level string, position string"
@@ -61,3 +62,25 @@ def test_levels(spark):
 
 def test_empty_table(spark):
     assert found(spark, []) == []
+
+
+def test_the_query_keeps_every_message(spark, tmp_path):
+    rows = [(1, t, "user", x) for t, x in TALK]
+    # A question and its answer numbered alike, one of them quoted later; a row given twice; rows without a key.
+    rows += [(2, 0, "user", "What is it?"), (2, 0, "assistant", "It is this."), (2, 0, "user", "What is it?"), (2, 1, "user", "> It is this.\nWhy?")]
+    rows += [(2, 1, None, None), (None, 1, "user", "> a\nx "), (None, 1, "user", "> a\nx "), (3, None, "user", "y"), (None, None, None, None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = QUERIES["op4_quotation_linking"](spark, str(tmp_path))
+    plain = reply_order(spark.createDataFrame([r for r in rows if r[0] == 1], "conv_id long, turn long, role string, text string"))
+    assert got.dtypes == plain.dtypes
+    assert sorted(got.where("conv_id = 1").collect()) == sorted(plain.collect())
+    second = sorted(got.where("conv_id = 2").collect(), key=lambda r: r.position)
+    assert [(r.turn, r.role, r.text, r.parent_turn, r.quotes, r.root_turn, r.position) for r in second] == [
+        (0, "assistant", "It is this.", None, False, 0, 0), (1, "user", "Why?", 0, True, 1, 1),
+        (0, "user", "What is it?", 0, False, 0, 2), (1, None, "", 0, False, 0, 3),
+    ]
+    loose = got.where("conv_id is null or turn is null").collect()
+    assert sorted(((r.conv_id, r.turn, r.role, r.text, r.n_quoted) for r in loose), key=str) == sorted(
+        [(None, 1, "user", "x", 1), (None, 1, "user", "x", 1), (3, None, "user", "y", 0), (None, None, None, "", 0)], key=str
+    )
+    assert {(r.parent_turn, r.quotes, r.root_turn, r.position) for r in loose} == {(None, False, None, None)}
