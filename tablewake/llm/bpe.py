@@ -1,8 +1,9 @@
-"""Byte-level BPE ids of whole texts, with a bounded memo of the pieces that texts share."""
+"""Byte-level BPE ids of whole texts; for spans, with a bounded memo of the pieces that texts share."""
 
 from __future__ import annotations
 
 import base64
+import json
 import re
 
 import numpy as np
@@ -49,22 +50,28 @@ class _Both(dict):
         return self.kept[piece]
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The strings that a `tokenizers` vocabulary file takes out of a text before anything else, with their ids."""
+    with open(path, encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+
+
 class IdEncoder:
-    """Ids of a byte-level BPE given as ranks, the same ids that `tokenizers` gives for the vocabulary file."""
+    """Ids of a byte-level BPE given as ranks, the same ids that `tokenizers` gives for the vocabulary file.
+
+    ``added``: the items of the file's `added_tokens`. Texts are encoded whole, and nothing is kept from text to text.
+    """
 
-    def __init__(self, ranks_path: str, pattern: str) -> None:
+    def __init__(self, ranks_path: str, pattern: str, added: tuple[tuple[str, int], ...] = ()) -> None:
         import tiktoken
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.memo = Memo(lambda some: [np.array(bpe.encode_ordinary(p), "<u4").tobytes() for p in some])
+        self.bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(added))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """One array of unsigned 32-bit ids for each text."""
-        cut = [pieces(t) for t in texts]
-        known = self.memo.look_up(set().union(*cut))
-        return [np.frombuffer(b"".join([known[p] for p in some]), "<u4") for some in cut]
+    def encode(self, text: str) -> np.ndarray:
+        """The text's ids as unsigned 32-bit numbers."""
+        return self.bpe.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype("<u4", copy=False)
 
 
 class SpanEncoder:
@@ -106,8 +113,8 @@ class SpanEncoder:
 _ENCODERS: dict[tuple, object] = {}
 
 
-def encoder(kind: type, *args: str):
-    """A worker's encoder, kept from task to task with its memo."""
+def encoder(kind: type, *args):
+    """A worker's encoder, kept from task to task."""
     if (kind, args) not in _ENCODERS:
         _ENCODERS[kind, args] = kind(*args)
     return _ENCODERS[kind, args]

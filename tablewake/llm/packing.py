@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ WINDOW = 2048
 END_ID = 1
 #: Windows that may be partially filled at a time, in one task.
 OPEN_WINDOWS = 2048
+#: The share of a window from which it leaves as it was built when a task's partial windows are closed.
+NEARLY_FULL = 0.95
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long"
 
 
@@ -24,9 +27,9 @@ class Packer:
 
     A document goes to the level (or a new window) after which the sum of the squared counts is least; of
     equals, to the fullest. Whole windows of a long document stand alone, its rest is placed so. A
-    window leaves once it is full. Beyond ``open_windows`` partial windows, and at the end, the pieces of all
-    partial ones are laid end to end and cut at the window size: every token keeps its place in its document,
-    memory stays bounded, and one window at most stays padded.
+    window leaves once it is full. Beyond ``open_windows`` partial windows, and at the end, those that are nearly full
+    leave as they are; the pieces of the others are laid end to end and cut at the window size: every token keeps its
+    place in its document, memory stays bounded, and one window at most is padded by more than a twentieth.
     """
 
     def __init__(self, window: int = WINDOW, open_windows: int = OPEN_WINDOWS) -> None:
@@ -65,10 +68,12 @@ class Packer:
         return int(top - np.argmin(change[::-1]))
 
     def close(self, keep: bool = False) -> list[list[tuple]]:
-        """Lay the pieces of all partial windows end to end; the last window stays open if ``keep``."""
-        pieces = [p for level in reversed(self.at) for window in level for p in window]
+        """Give out the nearly full windows and lay the pieces of the others end to end; the last stays open if ``keep``."""
+        nearly = math.ceil(NEARLY_FULL * self.window)
+        done = [window for level in self.at[nearly:] for window in level]
+        pieces = [p for level in reversed(self.at[:nearly]) for window in level for p in window]
         self.__init__(self.window, self.limit)
-        done, now, filled = [], [], 0
+        now, filled = [], 0
         for doc, start, ids in pieces:
             while len(ids):
                 part = ids[: self.window - filled]
@@ -89,22 +94,23 @@ class Packer:
 
 def pack(
     docs: DataFrame, ranks_path: str, pattern: str, window: int = WINDOW, id: str = "doc_id", text: str = "text",
-    end_id: int = END_ID, open_windows: int = OPEN_WINDOWS,
+    end_id: int = END_ID, open_windows: int = OPEN_WINDOWS, added: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """One row for each piece of a document in a window: ``doc_id``, ``start``, ``length``, ``ids_crc32``,
     ``doc_tokens``, ``sequence_id``, ``offset``.
 
-    A document is the ids of its whole text and ``end_id``; null and empty texts are ``end_id`` alone. Each
-    input partition packs its own rows as they come, so nothing is shuffled, a lost task is redone alone, and a
-    partition pads one window at most. Windows are numbered from the partition's number times 2**32.
+    A document is the ids of its whole text, with the vocabulary's ``added`` tokens, and ``end_id``; null and empty texts are
+    ``end_id`` alone. Each input partition packs its own rows as they come, so nothing is shuffled, a lost task is redone alone, and a
+    partition pads one window at most by more than a twentieth. Windows are numbered from the partition's number times 2**32.
     Repeated rows and null ids are packed like any other; other columns are ignored; an empty table gives no row.
     """
     rows = docs.select(F.col(id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("first", F.spark_partition_id().cast("long") * (1 << 32))
     id_type = rows.schema["doc_id"].dataType.simpleString()
+    added = tuple((added or {}).items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, packer, end = encoder(IdEncoder, ranks_path, pattern), Packer(window, open_windows), np.array([end_id], "<u4")
+        bpe, packer, end = encoder(IdEncoder, ranks_path, pattern, added), Packer(window, open_windows), np.array([end_id], "<u4")
         sequence, kind = None, None
         for batch in batches:
             kind = batch.schema.field("doc_id").type
@@ -113,8 +119,8 @@ def pack(
             done: list[list[tuple]] = []
             for low in range(0, batch.num_rows, 256):
                 some = batch.slice(low, 256)
-                for doc, ids in zip(some.column(0).to_pylist(), bpe.encode(some.column(1).to_pylist())):
-                    ids = np.concatenate([ids, end])
+                for doc, text in zip(some.column(0).to_pylist(), some.column(1)):
+                    ids = np.concatenate([bpe.encode(text.as_py()), end])
                     for start in range(0, len(ids), window):
                         # A copy, so that an open window does not hold a long document as a whole.
                         part = ids[start : start + window].copy()

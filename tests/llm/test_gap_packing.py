@@ -1,0 +1,82 @@
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers as public
+import pytest
+from tokenizers import Tokenizer
+
+from tablewake.llm import bpe, gap_packing as G
+
+RANKS, FILE = public.path("byte_bpe_50k.tiktoken"), public.path("byte_bpe_50k.json")
+SCHEMA = "doc_id long, text string, first long, piece string, sequence_id string"
+ADDED = bpe.added_tokens(FILE)
+
+
+def plain_place(sizes, window):
+    """Each piece where the sum of squared counts, worked out anew, becomes least."""
+    gaps, of, offset = [], [], []
+    for size in sizes:
+        def squares(k):
+            after = [g - size if i == k else g for i, g in enumerate(gaps)]
+            return sum(after.count(g) ** 2 for g in set(after) if g)
+
+        fits = [k for k, g in enumerate(gaps) if g >= size]
+        if fits:
+            least = min((squares(k), gaps[k]) for k in fits)
+            k = max(k for k in fits if (squares(k), gaps[k]) == least)
+        else:
+            gaps.append(window)
+            k = len(gaps) - 1
+        of.append(k)
+        offset.append(window - gaps[k])
+        gaps[k] -= size
+    return of, offset
+
+
+def test_places_leave_the_least_sum_of_squares():
+    rng = random.Random(6)
+    for window in (8, 24, 50):
+        sizes = np.array(sorted((rng.randrange(1, window + 1) for _ in range(70)), reverse=True))
+        of, offset = G.place(sizes, window)
+        want_of, want_offset = plain_place(sizes.tolist(), window)
+        # Which of several windows with one gap is taken does not matter.
+        assert sorted(zip(sizes.tolist(), offset)) == sorted(zip(sizes.tolist(), want_offset))
+        assert max(of) == max(want_of)
+        check_windows(of, offset, sizes, window)
+
+
+def check_windows(of, offset, sizes, window):
+    fills = {}
+    for w, at, size in sorted(zip(of, offset, sizes)):
+        assert fills.get(w, 0) == at
+        fills[w] = at + size
+    assert max(fills.values()) <= window
+
+
+def test_cut():
+    assert [G.cut(n, 4) for n in (1, 4, 5, 8, 11)] == [[(0, 1)], [(0, 4)], [(0, 1), (1, 4)], [(0, 4), (4, 4)], [(0, 3), (3, 4), (7, 4)]]
+
+
+@pytest.mark.parametrize("run_pieces", [32_768, 37])
+def test_every_document_in_as_few_windows_as_its_tokens_need(spark, small, run_pieces):
+    texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect()]
+    texts += ["", None, " ", "x <|endoftext|> y", "<|endoftext|><|endoftext|>", "word " * 5000, "é日🎉" * 3000, "a" * 100_000]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "no id"), (None, None)]
+    docs = spark.createDataFrame([(i, t, 1, "c", "c") for i, t in rows], SCHEMA).repartition(3)
+    found = G.pack_whole(docs, RANKS, public.PATTERN, ADDED, run_pieces=run_pieces).collect()
+    tokenizer = Tokenizer.from_file(FILE)
+    want, tokens = [], 0
+    for i, t in rows:
+        ids = np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [0], "<u4")
+        tokens += len(ids)
+        want += [(i, k, a, n, zlib.crc32(ids[a : a + n].tobytes())) for k, (a, n) in enumerate(G.cut(len(ids), 2048))]
+    assert sorted((tuple(r)[:5] for r in found), key=str) == sorted(want, key=str)
+    check_windows(*zip(*[(r.sequence_id, r.offset, r.length) for r in found]), 2048)
+    least, windows = -(-tokens // 2048), len({r.sequence_id for r in found})
+    if run_pieces > len(found):
+        assert windows <= least + 2
+
+
+def test_empty_table(spark):
+    assert G.pack_whole(spark.createDataFrame([], SCHEMA), RANKS, public.PATTERN, ADDED).count() == 0

@@ -6,21 +6,27 @@ import public_tokenizers as public
 import pytest
 from tokenizers import Tokenizer
 
-from tablewake.llm.bpe import IdEncoder, Memo, SpanEncoder
-from tablewake.llm.packing import Packer, pack
+from tablewake.llm.bpe import IdEncoder, Memo, SpanEncoder, added_tokens
+from tablewake.llm.packing import NEARLY_FULL, Packer, pack
 
 RANKS, FILE = public.path("byte_bpe_50k.tiktoken"), public.path("byte_bpe_50k.json")
+ADDED = added_tokens(FILE)
 SCHEMA = "doc_id long, text string, sequence_id string"
 
 
 @pytest.fixture(scope="module")
 def tokenizer():
+    return Tokenizer.from_file(FILE)
+
+
+@pytest.fixture(scope="module")
+def span_tokenizer():
     made = Tokenizer.from_file(FILE)
     made.encode_special_tokens = True
     return made
 
 
-ODD = ["", " ", "a  b\tc \n x\n\n y'll  \n", "<|endoftext|> hi", "x .y ,, z... a_.b $.5 3.14,", "é́ 日本語 🎉x", "\n.\n", "word " * 3000]
+ODD = ["", " ", "a  b\tc \n x\n\n y'll  \n", "<|endoftext|> hi", "x <|endoftext|> y", "<|endoftext|><|endoftext|>.", "<|endoftext",  "x .y ,, z... a_.b $.5 3.14,", "é́ 日本語 🎉x", "\n.\n", "word " * 3000]
 
 
 @pytest.fixture(scope="module")
@@ -30,18 +36,19 @@ def texts(spark, small):
 
 def test_ids_are_those_of_the_vocabulary_file(texts, tokenizer):
     want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert [list(a) for a in IdEncoder(RANKS, public.PATTERN).encode(texts)] == want
+    bpe = IdEncoder(RANKS, public.PATTERN, tuple(ADDED.items()))
+    assert [list(bpe.encode(t)) for t in texts] == want
 
 
 def test_random_signs_and_spaces(tokenizer):
-    rng, bpe = random.Random(3), IdEncoder(RANKS, public.PATTERN)
-    some = ["".join(rng.choices("ab é1.,_-'s \n\t 日!", k=rng.randrange(30))) for _ in range(3000)]
-    assert [list(a) for a in bpe.encode(some)] == [e.ids for e in tokenizer.encode_batch(some, add_special_tokens=False)]
+    rng, bpe = random.Random(3), IdEncoder(RANKS, public.PATTERN, tuple(ADDED.items()))
+    some = ["".join(rng.choices([*"ab é1.,_-'s \n\t 日!", "<|endoftext|>"], k=rng.randrange(30))) for _ in range(3000)]
+    assert [list(bpe.encode(t)) for t in some] == [e.ids for e in tokenizer.encode_batch(some, add_special_tokens=False)]
 
 
-def test_spans_are_those_of_the_vocabulary_file(texts, tokenizer):
+def test_spans_are_those_of_the_vocabulary_file(texts, span_tokenizer):
     found = SpanEncoder(FILE).encode(texts)
-    for (ids, starts, ends), e in zip(found, tokenizer.encode_batch(texts, add_special_tokens=False)):
+    for (ids, starts, ends), e in zip(found, span_tokenizer.encode_batch(texts, add_special_tokens=False)):
         assert list(ids) == e.ids
         assert list(zip(starts, ends)) == e.offsets
 
@@ -85,7 +92,7 @@ def test_level_is_the_one_with_the_least_squares():
 def test_every_token_once_and_little_padding(spark, texts, tokenizer, open_windows):
     rows = [(i, t, "clash") for i, t in enumerate(texts)] + [(None, None, "c"), (5_000, None, "c"), (5_001, texts[3], None)]
     docs = spark.createDataFrame(rows, SCHEMA).coalesce(2)
-    found = pack(docs, RANKS, public.PATTERN, open_windows=open_windows).collect()
+    found = pack(docs, RANKS, public.PATTERN, open_windows=open_windows, added=ADDED).collect()
     windows, pieces = {}, {}
     for r in found:
         windows.setdefault(r.sequence_id, []).append(r)
@@ -96,7 +103,7 @@ def test_every_token_once_and_little_padding(spark, texts, tokenizer, open_windo
             assert r.offset == at
             at += r.length
         assert at <= 2048
-    padded = [w for w in windows.values() if sum(r.length for r in w) < 2048]
+    padded = [w for w in windows.values() if sum(r.length for r in w) < NEARLY_FULL * 2048]
     assert len(padded) <= 2
     for i, t, _ in rows:
         ids = np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [1], "<u4")
