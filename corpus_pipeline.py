@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-import public_tokenizers as public
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewake.llm import decontaminate, language, packing, simhash_dedup, toxicity
-from tablewake.llm.queries import language_may_learn, toxicity_may_learn
+from tablewake.llm.queries import byte_bpe, byte_bpe_added, language_may_learn, toxicity_may_learn
 from tablewake.session import counted_save_point, shared_folder
 
 
@@ -51,7 +50,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, cut and packed into windows."""
-    return packing.pack(docs, public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    return packing.pack(docs, *byte_bpe(), added=byte_bpe_added())
 
 
 STAGES = [
