@@ -95,8 +95,8 @@ def learn(docs: DataFrame, may_learn: Column, rows: int = SAMPLE_ROWS, top: int
     all_parts = Window.partitionBy("lang").orderBy(*order)
     few = known.withColumn("n", F.row_number().over(first)).where(F.col("n") <= rows)
     few = few.withColumn("n", F.row_number().over(all_parts)).where(F.col("n") <= rows)
-    picked = few.select("doc_id", F.col("lang").alias("name")).distinct()
-    sample = docs.join(F.broadcast(picked), "doc_id").where(F.col("lang") == F.col("name")).select("lang", "text")
+    picked = few.select("doc_id", "lang").distinct()
+    sample = docs.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -198,8 +198,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, chars: int) -
     most ``chars`` characters of each.
 
     Only labels of ``docs`` with a text count. No text takes more than its share of the characters, so a
-    long one, which is learned from in pieces, leaves room for the others.
+    long one, which is learned from in pieces, leaves room for the others. Other columns of ``docs`` are ignored.
     """
+    docs = docs.select("doc_id", "text")
     known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.join(docs.where("text is not null").select("doc_id").distinct(), "doc_id")
     order = [F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), "doc_id"]

@@ -61,11 +61,11 @@ def test_learns_only_from_what_it_may(spark):
     rows = [(i, text(rng, lang, 20), lang, "c", "c") for i, lang in enumerate(list(WORDS) * 20)]
     rows += [(1000 + i, text(rng, "aa", 20), "wrong", "c", "c") for i in range(20)]
     rows += [(2000, "the thing", None, "c", "c"), (2001, None, "aa", "c", "c"), (None, "the", "aa", "c", "c"), (0, rows[0][1], "aa", "c", "c")]
-    docs = spark.createDataFrame(rows, SCHEMA)
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("name", F.lit("clash"))
     profiles = learn(docs, F.col("doc_id") < 1000, rows=10)
     assert profiles.names == sorted(WORDS)
     found = add_language(docs, profiles)
-    assert found.columns == ["doc_id", "text", "lang", "lang_pred", "score"]
+    assert found.columns == ["doc_id", "text", "lang", "name", "lang_pred", "score"]
     got = {(r.doc_id, r.text): (r.lang_pred, r.score) for r in found.collect()}
     assert all(got[i, t][0] == lang for i, t, lang, _, _ in rows if lang in WORDS and t and i is not None)
     assert got[2001, None] == ("und", 0.0)

@@ -68,9 +68,9 @@ def test_sample_has_no_unlabelled_and_no_more_than_its_bounds(spark):
     labels = spark.createDataFrame(
         [(i, i % 2, i % 3 == 0) for i in range(40)] + [(1, 0, None), (99, 0, True)], "doc_id long, quality int, toxic boolean"
     ).withColumn("toxic", F.col("toxic").cast("int"))
-    found = toxicity.labelled_sample(docs.drop("toxic"), labels, 5, 10_000_000).collect()
+    found = toxicity.labelled_sample(docs, labels, 5, 10_000_000).collect()
     assert sorted(r.toxic for r in found) == [0] * 5 + [1] * 5
-    few = toxicity.labelled_sample(docs.drop("toxic"), labels, 40, 500).groupBy("toxic").agg(F.sum(F.length("text")).alias("n"))
+    few = toxicity.labelled_sample(docs, labels, 40, 500).groupBy("toxic").agg(F.sum(F.length("text")).alias("n"))
     assert all(r.n <= 500 for r in few.collect())
 
 
@@ -83,7 +83,7 @@ def test_a_long_text_leaves_the_others_in_the_sample(spark):
         words = ["".join(rng.choices(CLEAN, k=2)) for _ in range(30)] + ["stupid moron"] * (k % 2)
         # The first of the toxic ones, and one further on.
         rows.append((i, " ".join(words) if k not in (1, 21) else "Stupid moron! " * 220_000, "", "", ""))
-    docs = spark.createDataFrame(rows, SCHEMA).drop("toxic")
+    docs = spark.createDataFrame(rows, SCHEMA)
     labels = spark.createDataFrame([(i, 0, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int, toxic int")
     half = toxicity.SAMPLE_CHARS // 2
     assert max(len(r[1]) for r in rows) > half
@@ -105,14 +105,14 @@ def test_pieces_of_a_long_text_are_spread_over_it(spark):
 
 
 def test_labels_of_other_documents_take_no_room(spark):
-    docs = spark.createDataFrame([(i, "a b", "", "", "") for i in range(0, 400, 20)] + [(1, None, "", "", "")], SCHEMA).drop("toxic")
+    docs = spark.createDataFrame([(i, "a b", "", "", "") for i in range(0, 400, 20)] + [(1, None, "", "", "")], SCHEMA)
     labels = spark.createDataFrame([(i, 0, i // 20 % 2) for i in range(400)], "doc_id long, quality int, toxic int")
     found = toxicity.labelled_sample(docs, labels, 10, 10_000).collect()
     assert sorted(r.toxic for r in found) == [0] * 10 + [1] * 10
 
 
 def test_no_labels(spark):
-    docs = spark.createDataFrame([(1, "a", "", "", "")], SCHEMA).drop("toxic")
+    docs = spark.createDataFrame([(1, "a", "", "", "")], SCHEMA)
     model = fit(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert [(r.score, r.predicted) for r in add_toxicity(docs, model).collect()] == [(0.5, 0)]
 
@@ -121,7 +121,7 @@ def test_columns_and_empty_table(spark):
     rows = [(i, t, "clash", "clash", "x") for i, t, _ in texts(20, 5)] + [(None, None, "c", "c", "x"), (0, "", "c", "c", "x")]
     labels = spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i in range(20)], "doc_id long, quality int, toxic int")
     docs = spark.createDataFrame(rows, SCHEMA)
-    model = fit(docs.drop("toxic"), labels, steps=20)
+    model = fit(docs, labels, steps=20)
     found = add_toxicity(docs, model)
     assert found.columns == ["doc_id", "text", "toxic", "score", "predicted"]
     assert found.count() == len(rows)
