@@ -38,7 +38,7 @@ FROM {orders}
     # Statements that patterns read wrongly, with what they are, write and read (sorted) beside them.
     "fx_hard_statements": """
 SELECT 'scr_' || CAST(o_custkey % 30 AS STRING) AS script_file, o_orderkey AS query_index,
- CASE CAST(o_orderkey % 12 AS INT)
+ CASE CAST(o_orderkey % 17 AS INT)
   WHEN 0 THEN 'UPDATE tgt FROM db.real' || CAST(o_custkey % 40 AS STRING) || ' tgt, db.src s SET a = s.a, b = 2'
   WHEN 1 THEN 'DELETE a FROM db.t' || CAST(o_custkey % 40 AS STRING) || ' a, db.t2 b WHERE a.k = b.k'
   WHEN 2 THEN 'SELECT * FROM (SEL x FROM a.b) q, d.e' || CAST(o_custkey % 40 AS STRING) || ' f, g.h'
@@ -50,14 +50,22 @@ SELECT 'scr_' || CAST(o_custkey % 30 AS STRING) AS script_file, o_orderkey AS qu
   WHEN 8 THEN 'USING (k INT, d DECIMAL(10,2)) INSERT INTO a.b' || CAST(o_custkey % 40 AS STRING) || ' SELECT :k FROM c.d'
   WHEN 9 THEN 'LOCKING TABLE b.c FOR WRITE INSERT INTO b.c SELECT * FROM d.e' || CAST(o_custkey % 40 AS STRING)
   WHEN 10 THEN 'SEL EXTRACT(YEAR FROM CAST(COALESCE(TRIM(SUBSTR(x,(1+1),3)),(SEL MAX(y) FROM m.n)) AS DATE)) FROM a.t' || CAST(o_custkey % 40 AS STRING)
+  WHEN 11 THEN 'USING (k INT, d DECIMAL(10,2), p f(g(h(1)))) LOCKING TABLE q FOR READ INSERT INTO a.b' || CAST(o_custkey % 40 AS STRING) || ' SELECT * FROM c.d'
+  WHEN 12 THEN 'CREATE JOIN INDEX a.j' || CAST(o_custkey % 40 AS STRING) || ' AS SELECT * FROM c.d'
+  WHEN 13 THEN 'CREATE GLOBAL TEMPORARY TRACE TABLE a.tr' || CAST(o_custkey % 40 AS STRING) || ' (x INT)'
+  WHEN 14 THEN 'WITH q (a DECIMAL(10,2), "c(") AS (SELECT * FROM t.u), r (d) AS (SEL * FROM q) SELECT * FROM r, z.z' || CAST(o_custkey % 40 AS STRING)
+  WHEN 15 THEN 'CREATE TABLE a.b, FALLBACK, MAP (m(1)) AS c.d' || CAST(o_custkey % 40 AS STRING) || ' WITH NO DATA'
   ELSE 'SELECT * FROM TABLE (f(x)) AS t, ((u.v' || CAST(o_custkey % 40 AS STRING) || ' JOIN w.x ON 1=1))' END AS sql_text,
- CASE WHEN o_orderkey % 12 = 0 THEN 'Update' WHEN o_orderkey % 12 = 1 THEN 'Delete' WHEN o_orderkey % 12 IN (6, 7, 8, 9) THEN 'Insert' ELSE 'Select' END AS kind,
- CASE CAST(o_orderkey % 12 AS INT) WHEN 0 THEN 'db.real' || CAST(o_custkey % 40 AS STRING) WHEN 1 THEN 'db.t' || CAST(o_custkey % 40 AS STRING)
-  WHEN 6 THEN 'tëst.ü' WHEN 7 THEN 's.a.b.c' WHEN 8 THEN 'a.b' || CAST(o_custkey % 40 AS STRING) WHEN 9 THEN 'b.c' ELSE '' END AS targets,
- CASE CAST(o_orderkey % 12 AS INT) WHEN 0 THEN 'db.src' WHEN 1 THEN 'db.t2' WHEN 2 THEN 'a.b,d.e' || CAST(o_custkey % 40 AS STRING) || ',g.h'
+ CASE WHEN o_orderkey % 17 = 0 THEN 'Update' WHEN o_orderkey % 17 = 1 THEN 'Delete' WHEN o_orderkey % 17 IN (6, 7, 8, 9, 11) THEN 'Insert' WHEN o_orderkey % 17 IN (12, 13, 15) THEN 'Create' ELSE 'Select' END AS kind,
+ CASE CAST(o_orderkey % 17 AS INT) WHEN 0 THEN 'db.real' || CAST(o_custkey % 40 AS STRING) WHEN 1 THEN 'db.t' || CAST(o_custkey % 40 AS STRING)
+  WHEN 6 THEN 'tëst.ü' WHEN 7 THEN 's.a.b.c' WHEN 8 THEN 'a.b' || CAST(o_custkey % 40 AS STRING) WHEN 9 THEN 'b.c'
+  WHEN 11 THEN 'a.b' || CAST(o_custkey % 40 AS STRING) WHEN 12 THEN 'a.j' || CAST(o_custkey % 40 AS STRING) WHEN 13 THEN 'a.tr' || CAST(o_custkey % 40 AS STRING)
+  WHEN 15 THEN 'a.b' ELSE '' END AS targets,
+ CASE CAST(o_orderkey % 17 AS INT) WHEN 0 THEN 'db.src' WHEN 1 THEN 'db.t2' WHEN 2 THEN 'a.b,d.e' || CAST(o_custkey % 40 AS STRING) || ',g.h'
   WHEN 3 THEN 'b.c,d.e,g.h' || CAST(o_custkey % 40 AS STRING) WHEN 4 THEN 'a.b' || CAST(o_custkey % 40 AS STRING) WHEN 5 THEN 'a.b' || CAST(o_custkey % 40 AS STRING)
   WHEN 6 THEN 'Straße.x,Été.t' || CAST(o_custkey % 40 AS STRING) WHEN 7 THEN 'w.x.y.z' || CAST(o_custkey % 40 AS STRING) WHEN 8 THEN 'c.d'
   WHEN 9 THEN 'd.e' || CAST(o_custkey % 40 AS STRING) WHEN 10 THEN 'a.t' || CAST(o_custkey % 40 AS STRING) || ',m.n'
+  WHEN 11 THEN 'c.d' WHEN 12 THEN 'c.d' WHEN 13 THEN '' WHEN 14 THEN 't.u,z.z' || CAST(o_custkey % 40 AS STRING) WHEN 15 THEN 'c.d' || CAST(o_custkey % 40 AS STRING)
   ELSE 'u.v' || CAST(o_custkey % 40 AS STRING) || ',w.x' END AS sources
 FROM {orders}
 """,

@@ -1,8 +1,8 @@
 """Kind, target and source tables of one SQL statement.
 
-The verb and its target are read by pattern from the start of the statement; the tables it reads by one pass over its
-tokens, which keeps the open parentheses, so it holds at any depth. Statements it cannot place are
-reported, never dropped.
+One pattern cuts a statement to its key words, parentheses and the names right behind them; one pass over these keeps the open
+parentheses, so it holds at any depth. Verbs and their targets, what may stand before a verb, common table expressions and
+copied tables are states of that pass. Statements it cannot place are reported, never dropped.
 """
 
 from __future__ import annotations
@@ -10,61 +10,86 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NAME = r'(?:"[^"]+"|[\p{L}_][\p{L}\p{N}_$#]*)'
-TABLE = rf"{NAME}(?:\s*\.\s*{NAME})*"
+BEGINS = r"(?<![\p{L}\p{N}_$#.])"
+ENDS = r"(?![\p{L}\p{N}_$#])"
+NAME = r'(?:"[^"]+"|[\p{L}_][\p{L}\p{N}_$#]*+)'
+TABLE = rf"{NAME}(?:\s*\.\s*{NAME})*+"
 
 #: Quoted names are matched too, and put back, so that a quote inside one opens no literal.
-UNREAD = r"""(?s)("[^"]*")|'[^']*'|--[^\n]*|/\*.*?\*/"""
-TOKEN = rf"{NAME}|[0-9][\p{{L}}\p{{N}}_]*|[^\s]"
+UNREAD = r"""(?s)("[^"]*")|'[^']*'|--[^\n]*|/\*.*?\*/|[\x01\x02]"""
 
 # Statement kinds and the words that open them.
 KINDS = {
-    "Delete": r"(?i)^\s*del(?:ete)?\b",
-    "Insert": r"(?i)^\s*ins(?:ert)?\b",
-    "Update": r"(?i)^\s*upd(?:ate)?\b",
-    "Merge": r"(?i)^\s*merge\b",
-    "Create": r"(?i)^\s*(?:create|replace)\b",
-    "Drop": r"(?i)^\s*drop\b",
-    "Select": r"(?i)^\s*(?:(?:sel|select|with)\b|\()",
+    "Delete": ("del", "delete"),
+    "Insert": ("ins", "insert"),
+    "Update": ("upd", "update"),
+    "Merge": ("merge",),
+    "Create": ("create", "replace"),
+    "Drop": ("drop",),
+    "Select": ("sel", "select", "with", "("),
     "Command": (
-        r"(?i)^\s*(?:collect|call|using|alter|exec|execute|grant|revoke|rename|comment|database|set|show|help"
-        r"|explain|lock|begin|end|bt|et|commit|rollback|abort|diagnostic)\b"
+        "collect", "call", "alter", "exec", "execute", "grant", "revoke", "rename", "comment", "database", "set", "show",
+        "help", "explain", "begin", "end", "bt", "et", "commit", "rollback", "abort", "diagnostic",
     ),
-}
+}
+# Words of what may stand before a statement's verb, a row description and locks; alone they are a command.
+MODIFIERS = ("using", "lock", "locking")
+MODIFIED = "Modified"
 
-#: What may stand before a statement's verb: a row description, and locks on what it uses.
-MODIFIERS = (
-    r"(?i)^\s*(?:using\s*\((?:[^()]|\([^()]*\))*\)\s*"
-    rf"|lock(?:ing)?\s+(?:(?:table|view|database|row)\s+)?(?:{TABLE}\s+)?(?:for|in)\s+"
-    r"(?:access|read|share|write|exclusive|checksum|load\s+committed)(?:\s+mode)?(?:\s+nowait)?\s+)+([\p{L}(])"
-)
-TARGET = (
-    r"(?i)^\s*(?:ins(?:ert)?\s+(?:into\s+)?|upd(?:ate)?\s+|merge\s+(?:into\s+)?|del(?:ete)?\s+(?:from\s+)?"
-    r"|(?:create|replace)\s+(?:or\s+replace\s+)?(?:(?:multiset|set|volatile|global|temporary|recursive)\s+)*"
-    rf"(?:table|view)\s+(?:if\s+not\s+exists\s+)?)({TABLE})"
+# Words by their part in a statement. Those that end a table list, and further ones that are no name.
+ENDS_LIST = ("where", "group", "having", "qualify", "order", "union", "intersect", "except", "minus", "set", "sample", "values", "window")
+NO_NAME = (
+    "on", "inner", "left", "right", "full", "outer", "cross", "natural", "when", "all", "and", "for", "as", "lateral", "table", "unnest",
+    "is", "not", "or",
+)
+_VERBS = ("Delete", "Insert", "Update", "Merge", "Create", "Drop")
+PARTS = (
+    {"from": "from", "join": "join", "using": "using", "select": "select", "sel": "select", "with": "with", "as": "copy", ",": ",", "(": "(", ")": ")"}
+    | dict.fromkeys(ENDS_LIST, "end")
+    | {word: kind for kind in _VERBS for word in KINDS[kind]}
 )
-COPIED = rf"(?i)^\s*(?:,[^()]*)?\bas\s+({TABLE})\s+with\s+(?:no\s+)?data\b"
-WITH_NAME = rf"(?i)(?:\bwith(?:\s+recursive)?|,)\s*({NAME})\s*(?:\([^()]*\)\s*)?as\s*\("
 
-# Words by their part in a table list. Those that end one, and those that are no alias.
-ENDS_LIST = ("where", "group", "having", "qualify", "order", "union", "intersect", "except", "minus", "set", "sample", "values", "window")
-NO_ALIAS = ("on", "inner", "left", "right", "full", "outer", "cross", "natural", "when", "all", "and", "for")
-ROLES = {
-    "from": "from", "join": "join", "using": "using", "as": "as", "lateral": "lateral", "select": "sel", "sel": "sel", "with": "sel",
-    "table": "other", "unnest": "other",
-} | dict.fromkeys(ENDS_LIST, "end") | dict.fromkeys(NO_ALIAS, "other")
+
+def _any(*words: str) -> str:
+    return "(?:" + "|".join(words) + ")" + ENDS
+
+
+_IS_NAME = "(?!" + _any("from", "join", "using", "select", "sel", "with", *ENDS_LIST, *NO_NAME) + ")"
+_ALIAS = rf"(?:\s+as{ENDS})?\s*{_IS_NAME}{NAME}(?!\s*\.)(?!\s+with\s+(?:no\s+)?data{ENDS})"
+_CREATED = (
+    rf"(?:\s+or\s+replace)?(?:\s+(?:multiset|set|volatile|global|temporary|trace|recursive){ENDS})*+"
+    rf"\s+(?:table|view|join\s+index){ENDS}(?:\s+if\s+not\s+exists{ENDS})?"
+)
+#: A key word, any open parentheses behind it, a name with its alias, and the parenthesis of a function's call. Quoted
+#: names elsewhere, and the FROM of IS [NOT] DISTINCT FROM, are passed over.
+UNIT = (
+    rf'(?i)"[^"]*"|{BEGINS}is\s+(?:not\s+)?distinct\s+from{ENDS}'
+    rf"|(?:((?:{BEGINS}(?:from|join){ENDS}|,)(?=\s*(?:lateral{ENDS})?))(?:\s*lateral{ENDS})?"
+    rf"|{BEGINS}({_any('using', 'select', 'sel', 'drop', *ENDS_LIST)})"
+    rf"|{BEGINS}({_any('insert', 'ins', 'update', 'upd', 'merge', 'delete', 'del', 'with')})(?!(?<=with)\s+(?:no\s+)?data{ENDS})(?:\s+(?:into|recursive){ENDS})?"
+    rf"|{BEGINS}({_any('create', 'replace')}){_CREATED}"
+    rf"|{BEGINS}(as{ENDS})(?=\s+{TABLE}\s+with\s+(?:no\s+)?data{ENDS})"
+    r")((?:\s*\()*+)"
+    rf"(?:\s*({_IS_NAME}{TABLE}(?:{_ALIAS}|(?=\s*(\())|)))?"
+    rf"|{BEGINS}({_any('create', 'replace')})|([()])"
+)
+#: What a unit becomes: its word, its parentheses, its name and alias, and a mark if these are a function's.
+MARKED = "\x01$1$2$3$4$5$9$10\x02$6\x02$7\x02$8\x02"
 
 
 def readable(sql: Column) -> Column:
-    """The statement without literals and comments, from its verb on."""
-    return F.regexp_replace(F.regexp_replace(sql, UNREAD, "$1 "), MODIFIERS, "$1")
+    """The statement without literals and comments."""
+    return F.regexp_replace(sql, UNREAD, "$1 ")
+
+
+def opening_kind(text: Column) -> Column:
+    """Kind by the first word, `MODIFIED` if that is a modifier; null if it is none that opens a statement."""
+    first = F.regexp_extract(text, r"^\s*(\(|[\p{L}_][\p{L}\p{N}_$#]*)", 1)
+    return _look_up({w: kind for kind, words in {**KINDS, MODIFIED: MODIFIERS}.items() for w in words}, F.lower(first))
 
 
-def statement_kind(text: Column) -> Column:
-    kind = F.lit(None).cast("string")
-    for name, opening in reversed(KINDS.items()):
-        kind = F.when(text.rlike(opening), F.lit(name)).otherwise(kind)
-    return kind
+def _look_up(names: dict[str, str], key: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), key)
 
 
 def plain_name(name: Column) -> Column:
@@ -72,98 +97,99 @@ def plain_name(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(name, r'\s*\.\s*(["\p{L}_])', ".$1"), r'"([^".]*)"', "$1")
 
 
-def target_tables(text: Column) -> Column:
-    target = F.regexp_extract(text, TARGET, 1)
-    return F.when(target != "", F.array(plain_name(target))).otherwise(F.array().cast("array<string>"))
+def units(text: Column) -> Column:
+    """``part``, ``parentheses`` (as many open ones as follow), ``name`` (with alias) and ``called`` of each key word."""
+    marked = F.regexp_replace(text, UNIT, MARKED)
 
-
-def after_target(text: Column) -> Column:
-    """The statement without its verb and target, so that the target counts as a source only if read again."""
-    return F.regexp_replace(text, TARGET, " ")
-
-
-def _roles(tokens: Column) -> Column:
-    """Each token with its part; the FROM of IS [NOT] DISTINCT FROM has none. A last one closes what is open."""
-    def of(token: Column, at: Column) -> Column:
-        word = F.lower(token)
-        part = F.lit("other")
-        for name in sorted(set(ROLES.values())):
-            some = [w for w, r in ROLES.items() if r == name]
-            part = F.when(word.isin(some), name).otherwise(part)
-        compared = (F.lower(F.get(tokens, at - 1)) == "distinct") & F.lower(F.get(tokens, at - 2)).isin("is", "not")
-        part = F.when((word == "from") & F.coalesce(compared, F.lit(False)), "other").otherwise(part)
-        known = word.isin(list(ROLES))
-        named = token.rlike(r'^["\p{L}_]')
+    def of(unit: Column) -> Column:
+        fields = F.split(unit, "\x02")
         return F.struct(
-            token.alias("text"),
-            F.when(known, part).when(named, "name").when(token.isin("(", ")", ",", "."), token).otherwise("other").alias("role"),
+            _look_up(PARTS, F.lower(fields[0])).alias("part"),
+            F.regexp_replace(fields[1], r"\s", "").alias("parentheses"),
+            fields[2].alias("name"),
+            (fields[3] != "").alias("called"),
         )
 
-    return F.transform(F.concat(tokens, F.array(F.lit(";"))), of)
+    return F.filter(F.transform(F.slice(F.split(marked, "\x01"), 2, 1 << 30), of), lambda u: u["part"].isNotNull())
 
 
-def _read(state: Column, token: Column) -> Column:
-    """One token further.
+def _step(state: Column, unit: Column) -> Column:
+    """One unit further.
 
-    ``open`` has a sign for each open parenthesis and the statement itself: 0 no query, 1 a query, 2 a query's
-    table list. ``next`` says what may come: t a table or a parenthesis with tables, n a name. ``at``: 1 behind
-    a part of a table's name, 2 behind its dot, 3 behind its AS.
+    ``open`` has a sign for each open parenthesis and the statement itself: s no verb so far, d a delete without a target yet, c what is created, w common table expressions, 0 no query, 1 a query, 2 a query's table
+    list. ``found`` gets a line for each name: what it is, and the name with its alias.
     """
-    role, text, at = token["role"], token["text"], state["at"]
-    opened, name, may = state["open"], state["name"], state["next"]
-    is_name = role == "name"
-    longer = (at == 2) & is_name
-    alias = at.isin(1, 3) & is_name
-    waits = (at == 1) & role.isin(".", "as")
-    # A name before a parenthesis is a function.
-    ends = (at > 0) & ~longer & ~((at == 1) & role.isin(".", "as", "("))
-    used = longer | alias | waits
-    starts = ~used & is_name & (may != "")
+    part, name, inner = unit["part"], unit["name"], unit["parentheses"]
+    opened = state["open"]
     top = F.right(opened, F.lit(1))
     below = F.left(opened, F.length(opened) - 1)
-    lists = role.isin("from", "join") & (top != "0")
+    verb = (top == "s") & part.isin(*_VERBS)
+    lists = part.isin("from", "join") & ~top.isin("0", "s")
+    in_list = (part == ",") & (top == "2")
+    deletes = (top == "d") & (part == "from") & (inner == "")
+    own = (
+        F.when(verb, F.when((part == "Delete") & (name == ""), "d").when(part == "Create", "c").otherwise("1"))
+        .when(deletes, "1")
+        .when(lists, "2")
+        .when(part == "select", "1")
+        .when(part == "with", "w")
+        .when((part == "end") & (top == "2"), "1")
+        .otherwise(top)
+    )
+    table = (
+        ((lists & ~deletes) | in_list | ((part == "using") & (inner == "") & ~top.isin("0", "s"))) & ~unit["called"]
+    ) | ((part == "copy") & top.isin("c", "w"))
+    selects = part.isin("select", "with") & F.startswith(opened, F.lit("s"))
+    found = (
+        F.when(verb, F.concat(F.lit("\x01"), part, F.lit("\x02"), F.when((inner == "") & (part != "Drop"), name).otherwise("")))
+        .when(selects & (part == "select"), "\x01Select\x02")
+        .when(selects, F.concat(F.lit("\x01Select\x02\x01local\x02"), name))
+        .when(name == "", "")
+        .when(deletes, F.concat(F.lit("\x01Delete\x02"), name))
+        .when(table, F.concat(F.lit("\x01table\x02"), name))
+        .when((part == "with") | ((part == ",") & (top == "w")), F.concat(F.lit("\x01local\x02"), name))
+        .otherwise("")
+    )
     return F.struct(
-        F.when(used | starts, opened)
-        .when(role == "(", F.concat(opened, F.when(may == "t", "2").otherwise("0")))
-        .when((role == ")") & (F.length(opened) > 1), below)
-        .when(role == "sel", F.concat(below, F.lit("1")))
-        .when(lists, F.concat(below, F.lit("2")))
-        .when((role == "end") & (top == "2"), F.concat(below, F.lit("1")))
-        .otherwise(opened).alias("open"),
-        F.when(used | starts, "")
-        .when(((role == "(") & (may == "t")) | lists | ((role == ",") & (top == "2")), "t")
-        .when((role == "using") & (top != "0"), "n")
-        .when(role == "lateral", may)
-        .otherwise("").alias("next"),
-        F.when(longer | starts, 1).when(waits & (role == "."), 2).when(waits, 3).otherwise(0).alias("at"),
-        F.when(longer, F.concat(name, F.lit("."), text)).when(starts, text).otherwise(name).alias("name"),
-        F.when(ends, F.concat(state["tables"], F.array(F.struct(name.alias("name"), F.when(alias, text).otherwise("").alias("alias")))))
-        .otherwise(state["tables"]).alias("tables"),
-    )
-
-
-def tokens(body: Column) -> Column:
-    return F.regexp_extract_all(body, F.lit(TOKEN), F.lit(0))
-
-
-def tables_read(tokens: Column) -> Column:
-    """``name`` and ``alias`` of each table after FROM, JOIN and USING and in their comma lists, in order."""
-    start = F.struct(
-        F.lit("1").alias("open"), F.lit("").alias("next"), F.lit(0).alias("at"), F.lit("").alias("name"),
-        F.array().cast("array<struct<name:string,alias:string>>").alias("tables"),
-    )
-    return F.aggregate(_roles(tokens), start, _read, lambda state: state["tables"])
-
-
-def aliased_target(kind: Column, targets: Column, read: Column) -> Column:
+        F.when(part == ")", F.when(F.length(opened) > 1, below).otherwise(opened))
+        .when(part == "(", F.concat(opened, F.lit("0")))
+        .otherwise(F.concat(below, own, F.replace(inner, F.lit("("), F.when(lists | in_list, "2").otherwise("0"))))
+        .alias("open"),
+        F.concat(state["found"], found).alias("found"),
+    )
+
+
+def names_found(kind: Column, units: Column) -> Column:
+    """``what`` (a verb's kind with its target, ``table`` read, ``local`` to the statement), ``name`` and ``alias``, in order."""
+    waits = kind.isin("Delete", "Insert", "Update", "Merge", "Create", MODIFIED)
+    start = F.struct(F.when(waits, "s").otherwise("1").alias("open"), F.lit("").alias("found"))
+    found = F.aggregate(units, start, _step, lambda state: state["found"])
+
+    def of(line: Column) -> Column:
+        what, name = F.substring_index(line, "\x02", 1), F.substring_index(line, "\x02", -1)
+        return F.struct(
+            what.alias("what"),
+            F.regexp_extract(name, f"^{TABLE}", 0).alias("name"),
+            F.regexp_extract(name, rf"(?i)^{TABLE}(?:\s+as{ENDS})?\s*({NAME})$", 1).alias("alias"),
+        )
+
+    return F.transform(F.slice(F.split(found, "\x01"), 2, 1 << 30), of)
+
+
+def verb_found(found: Column) -> Column:
+    """The verb's entry; a delete's last one, which has its target."""
+    verbs = F.filter(found, lambda f: ~f["what"].isin("table", "local"))
+    return F.get(verbs, F.size(verbs) - 1)
+
+
+def aliased_target(kind: Column, target: Column, found: Column) -> Column:
     """The table that an update or delete names by its alias; null if it names it itself."""
-    same = F.filter(read, lambda t: (t["alias"] != "") & (F.lower(plain_name(t["alias"])) == F.lower(F.get(targets, F.lit(0)))))
+    same = F.filter(found, lambda t: (t["what"] == "table") & (t["alias"] != "") & (F.lower(plain_name(t["alias"])) == F.lower(plain_name(target))))
     return F.when(kind.isin("Update", "Delete"), F.get(same, F.lit(0)))
 
 
-def source_tables(body: Column, read: Column, target: Column) -> Column:
+def source_tables(found: Column, target: Column) -> Column:
     """Distinct tables read; without common table expressions and without the aliased target."""
-    others = F.filter(read, lambda t: target.isNull() | (t["name"] != target["name"]) | (t["alias"] != target["alias"]))
-    names = F.concat(F.transform(others, lambda t: t["name"]), F.regexp_extract_all(body, F.lit(COPIED), F.lit(1)))
-    local = F.transform(F.regexp_extract_all(body, F.lit(WITH_NAME), F.lit(1)), lambda n: F.lower(plain_name(n)))
-    return F.filter(F.array_distinct(F.transform(names, plain_name)), lambda n: ~F.array_contains(local, F.lower(n)))
+    others = F.filter(found, lambda t: (t["what"] == "table") & (target.isNull() | (t["name"] != target["name"]) | (t["alias"] != target["alias"])))
+    local = F.transform(F.filter(found, lambda t: t["what"] == "local"), lambda t: F.lower(plain_name(t["name"])))
+    return F.filter(F.array_distinct(F.transform(others, lambda t: plain_name(t["name"]))), lambda n: ~F.array_contains(local, F.lower(n)))

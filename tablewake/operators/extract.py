@@ -19,21 +19,22 @@ EDGE_COLUMNS = ("script_file", "child_table_name", "relationship", "parent_table
 def parse_statements(statements: DataFrame) -> DataFrame:
     """Add ``sql_query`` (cleaned), ``kind``, ``targets``, ``sources``, ``error_type``, ``error_info``."""
     cleaned = statements.withColumn("sql_query", clean_statement(F.col("sql_text")))
-    text = F.col("_text")
     readable = cleaned.withColumn("_text", R.readable(F.col("sql_query")))
-    placed = readable.withColumns(
-        {"_body": R.after_target(text), "kind": R.statement_kind(text), "targets": R.target_tables(text)}
+    cut = readable.withColumns({"_opens": R.opening_kind(F.col("_text")), "_units": R.units(F.col("_text"))})
+    read = cut.withColumn("_found", R.names_found(F.col("_opens"), F.col("_units")))
+    placed = read.withColumn("_verb", R.verb_found(F.col("_found")))
+    opens = F.when(F.col("_opens") == R.MODIFIED, "Command").otherwise(F.col("_opens"))
+    kind = F.coalesce(F.col("_verb.what"), opens)
+    named = placed.withColumn("kind", kind).withColumn(
+        "_target", R.aliased_target(F.col("kind"), F.col("_verb.name"), F.col("_found"))
     )
-    cut = placed.withColumn("_tokens", R.tokens(F.col("_body")))
-    read = cut.withColumn("_read", R.tables_read(F.col("_tokens")))
-    named = read.withColumn("_target", R.aliased_target(F.col("kind"), F.col("targets"), F.col("_read")))
-    own = F.col("_target").isNotNull()
+    target = R.plain_name(F.coalesce("_target.name", "_verb.name"))
     parsed = named.withColumns(
         {
-            "targets": F.when(own, F.array(R.plain_name(F.col("_target.name")))).otherwise(F.col("targets")),
-            "sources": R.source_tables(F.col("_body"), F.col("_read"), F.col("_target")),
+            "targets": F.when(target != "", F.array(target)).otherwise(F.array().cast("array<string>")),
+            "sources": R.source_tables(F.col("_found"), F.col("_target")),
         }
-    ).drop("_text", "_body", "_tokens", "_read", "_target")
+    ).drop("_text", "_opens", "_units", "_found", "_verb", "_target")
     empty = strip(F.col("sql_query")) == ""
     unknown = F.col("kind").isNull()
     return parsed.withColumns(
