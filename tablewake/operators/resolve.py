@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import trim_strings
-from ..session import counted_save_point, gathered, save_point
+from ..session import counted_save_point, gathered, save_point, short_tables_together
 
 RELATION_COLUMNS = (
     "script_file",
@@ -20,7 +20,10 @@ RELATION_COLUMNS = (
     "parent_table_type",
 )
 TRAIL_SEPARATOR = " | "
-LEVELS_PER_WRITE = 3
+#: Steps of a loop that run as one job, at first and at most; in between their number doubles.
+FIRST_BATCH, LAST_BATCH = 4, 8
+#: Rows that one task works on by itself.
+TOGETHER = 250_000
 
 
 def require_columns(df: DataFrame, columns: Sequence[str] = RELATION_COLUMNS) -> DataFrame:
@@ -60,67 +63,149 @@ def volatile_map(prepared: DataFrame) -> DataFrame:
     )
 
 
-def _furthest(links: DataFrame, salt: int) -> DataFrame:
-    """``name, f, b``: of the names from which one can get to each name, and of those one can get to from it, itself
-    included, the greatest in an order shuffled by ``salt``."""
+def _together(rows: int) -> Callable[[DataFrame], DataFrame]:
+    """What keeps a chain of joins over so few rows in one task, where merges need neither a shuffle nor a broadcast. More rows stay
+    as they are."""
+    return (lambda df: df.coalesce(1).hint("merge")) if rows < TOGETHER else (lambda df: df)
+
+
+def _trimmed(links: DataFrame, rows: int, back: bool) -> tuple[DataFrame, int]:
+    """The links to names from which walks of any length go on (``back``: from names that such walks lead to), and their number.
+
+    A round keeps the names one link further along the walks, so a batch of rounds is a chain of joins with one written table.
+    """
+    one, other = ("table", "next") if back else ("next", "table")
+    rounds, before = FIRST_BATCH, None
+    while rows and rows != before:
+        kept = _together(rows)
+        links = kept(links)
+        names = links.select(one).distinct()
+        for _ in range(rounds):
+            names = kept(names.join(links, one).select(F.col(other).alias(one)).distinct())
+        links, found = counted_save_point(links.join(names, one))
+        rows, before, rounds = found["rows"], rows, min(2 * rounds, LAST_BATCH)
+    return links, rows
+
+
+def _greatest(links: DataFrame, rows: int, labels: DataFrame) -> DataFrame:
+    """``name, label``: the greatest label of the names from which links lead to a name, its own included."""
+    own = labels.select(F.col("name").alias("table"), F.col("name").alias("next"))
+    ways, count = counted_save_point(links.select("table", "next").unionByName(own))
+    together = _together(count["rows"])
+    ways, labels = together(ways), together(labels)
+    moved, rounds = 1, FIRST_BATCH
+    while moved:
+        labels = labels.select("name", "label", F.col("label").alias("before"))
+        for _ in range(rounds):
+            told = ways.join(labels.withColumnRenamed("name", "table"), "table")
+            kept = F.max(F.when(F.col("table") == F.col("next"), F.col("before")))
+            labels = together(told.groupBy(F.col("next").alias("name")).agg(F.max("label").alias("label"), kept.alias("before")))
+        labels, found = counted_save_point(labels, moved=F.col("label") != F.col("before"))
+        labels, moved, rounds = together(labels), found["moved"], min(2 * rounds, LAST_BATCH)
+    return labels.select("name", "label")
+
+
+def _names(links: DataFrame) -> DataFrame:
     end = lambda name: F.struct(F.col(name).alias("name"))
-    names = links.select(F.inline(F.array(end("table"), end("next")))).distinct()
-    rank = F.struct(F.xxhash64("name", F.lit(salt)).alias("h"), F.col("name").alias("n"))
-    labels, found = names.select("name", rank.alias("f"), rank.alias("b")), {"moved": 1}
-    while found["moved"]:
-        labels = labels.select("name", "f", "b", F.col("f").alias("f0"), F.col("b").alias("b0"))
-        for _ in range(LEVELS_PER_WRITE):
-            one, other = labels.toDF("table", "f", "b", "f0", "b0"), labels.toDF("next", "nf", "nb", "nf0", "nb0")
-            told = F.array(
-                F.struct(F.col("table").alias("name"), "f", F.greatest("b", "nb").alias("b"), "f0", "b0"),
-                F.struct(F.col("next").alias("name"), F.greatest("nf", "f").alias("f"), F.col("nb").alias("b"), F.col("nf0").alias("f0"), F.col("nb0").alias("b0")),
-            )
-            joined = links.join(one, "table").join(other, "next").select(F.inline(told))
-            labels = joined.groupBy("name").agg(*[F.max(c).alias(c) for c in ("f", "b", "f0", "b0")])
-        labels, found = counted_save_point(labels, moved=(F.col("f") != F.col("f0")) | (F.col("b") != F.col("b0")))
-        labels = gathered(labels, found["rows"])
-    return labels.select("name", "f", "b")
+    return links.select(F.inline(F.array(end("table"), end("next")))).distinct()
 
 
-def cycle_components(links: DataFrame) -> DataFrame:
-    """``name, component``: the strongly connected components of two names or more.
+def _turned(links: DataFrame) -> DataFrame:
+    return links.select(F.col("next").alias("table"), F.col("table").alias("next"))
+
+
+def _mutual_groups(links: DataFrame) -> DataFrame:
+    """``name, component``: groups of names that links in both directions connect."""
+    mutual, count = counted_save_point(links.join(_turned(links), ["table", "next"]))
+    mutual = _together(count["rows"])(mutual)
+    if not count["rows"]:
+        return mutual.select(F.col("table").alias("name"), F.col("next").alias("component"))
+    groups = _greatest(mutual, count["rows"], _names(mutual).select("name", F.col("name").alias("label")))
+    return groups.withColumnRenamed("label", "component")
+
+
+def _labelled_groups(links: DataFrame, rows: int) -> DataFrame:
+    """``name, component`` of any cycles.
 
     Names of one component have the same greatest name before them and the same behind them, so links
     between names that differ in either lead out of a component and go. This repeats with another order until
     none goes. Then the greatest name of what is left connected gets to all of it and all of it gets there.
     """
+    salt, before = 0, None
+    while True:
+        together = _together(rows)
+        links = together(links)
+        rank = F.struct(F.xxhash64("name", F.lit(salt)).alias("h"), F.col("name").alias("n"))
+        labels = _names(links).select("name", rank.alias("label"))
+        ends = [_greatest(some, rows, labels) for some in (links, _turned(links))]
+        named = lambda of, k: ends[k].toDF(of, f"{of}_{k}")  # noqa: B023, E731
+        joined = links.select("table", "next")
+        for of in ("table", "next"):
+            for k in (0, 1):
+                joined = together(joined.join(together(named(of, k)), of))
+        inside = joined.where("table_0 = next_0 AND table_1 = next_1")
+        links, found = counted_save_point(inside.select("table", "next", F.col("table_0.n").alias("component")))
+        before, rows, salt = rows, found["rows"], salt + 1
+        if rows in (0, before):
+            return links.select(F.col("next").alias("name"), "component").distinct()
+
+
+def cycle_components(links: DataFrame) -> DataFrame:
+    """``name, component``: the strongly connected components of two names or more.
+
+    First all links go that no cycle leads to, or that lead to none. In what is left names linked both ways become
+    one; that repeats, since longer cycles shrink to such pairs or to nothing. Only cycles that
+    hold no such pair are labelled.
+    """
     links, count = counted_save_point(links.select("table", "next").where("table <> next").distinct())
-    salt = 0
-    while count["rows"]:
-        links = gathered(links, count["rows"])
-        labels = _furthest(links, salt)
-        one, other = labels.toDF("table", "f", "b"), labels.toDF("next", "f2", "b2")
-        inside = links.join(one, "table").join(other, "next").where("f = f2 AND b = b2")
-        links, kept = counted_save_point(inside.select("table", "next", F.col("f.n").alias("component")))
-        if kept["rows"] == count["rows"]:
+    links = _together(count["rows"])(links)
+    rows, members = count["rows"], None
+    while True:
+        for back in (False, True):
+            links, rows = _trimmed(links, rows, back)
+        if not rows:
             break
-        links, count, salt = links.drop("component"), kept, salt + 1
-    if not count["rows"]:
-        return links.select(F.col("next").alias("name"), F.col("table").alias("component"))
-    return links.select(F.col("next").alias("name"), "component").distinct()
+        together = _together(rows)
+        links = together(links)
+        groups, found = counted_save_point(_mutual_groups(links))
+        if not found["rows"]:
+            groups, found = counted_save_point(_labelled_groups(links, rows))
+            if not found["rows"]:
+                break
+        groups = together(groups)
+        into = lambda of: groups.select(F.col("name").alias(of), F.col("component").alias(f"{of}_in"))  # noqa: B023, E731
+        merged = together(links.join(into("table"), "table", "left")).join(into("next"), "next", "left")
+        merged = merged.select(F.coalesce("table_in", "table").alias("table"), F.coalesce("next_in", "next").alias("next"))
+        links, count = counted_save_point(merged.where("table <> next").distinct())
+        if members is not None:
+            carried = members.join(into("component"), "component", "left")
+            carried = carried.select("name", F.coalesce("component_in", "component").alias("component"))
+            groups = carried.unionByName(groups.join(members, "name", "left_anti"))
+        members, rows = save_point(groups), count["rows"]
+    if members is None:
+        return links.select(F.col("next").alias("name"), F.col("table").alias("component")).where(F.lit(False))
+    return members
 
 
-def _next_level(level: DataFrame, hops: DataFrame) -> DataFrame:
-    """One link further; names passed are kept as long as the component they lie in is not left."""
+def _one_further(states: DataFrame, hops: DataFrame, depth: int) -> DataFrame:
+    """The states, and those one link further than the ones of ``depth``. Names passed are kept as long as the component they lie
+    in is not left. Each name has a hop to itself that keeps its states, so that many steps make one chain of joins."""
     again = F.coalesce(F.array_contains("passed", F.col("next")) | F.array_contains("faced", F.col("next")), F.lit(False))
     nothing = F.array().cast("array<string>")
     own = F.when(F.col("component").isNotNull(), F.array("next")).otherwise(nothing)
     passed = F.when(F.col("stays"), F.array_sort(F.array_union("passed", own))).otherwise(own)
     faced = F.when(F.col("two_faced"), F.array_sort(F.array_union("faced", F.array("next")))).otherwise(F.col("faced"))
+    kept = lambda name, new: F.when(F.col("kept"), F.col(name)).otherwise(new).alias(name)
     return (
-        level.join(hops, "table")
-        .where(~again)
+        states.join(hops, "table")
+        .where(F.col("kept") | ((F.col("depth") == depth) & ~again))
         .select(
             "start",
             F.col("next").alias("table"),
-            passed.alias("passed"),
-            faced.alias("faced"),
-            F.array_sort(F.array_union("trail", F.array("script"))).alias("trail"),
+            kept("passed", passed),
+            kept("faced", faced),
+            kept("trail", F.array_sort(F.array_union("trail", F.array("script")))),
+            kept("depth", F.lit(depth + 1)),
         )
         .distinct()
     )
@@ -130,7 +215,7 @@ def volatile_closure(definitions: DataFrame, starts: DataFrame, max_depth: int |
     """Non-volatile ancestors of the volatile tables in ``starts``, over all simple paths.
 
     Returns ``start, parent_table_name, parent_table_type, trail`` (sorted array of the scripts on the
-    way), distinct. Each start is walked once however many edges lead to it. A level joins the
+    way), distinct. Each start is walked once however many edges lead to it. A step joins the
     states with the volatile-to-volatile links only; the exits to other tables are joined once, at the
     end. Of the names passed, a state keeps those that could come again, as a sorted set: the ones in the
     strongly connected component it is in, until it leaves that. So paths that differ in nothing else
@@ -143,28 +228,32 @@ def volatile_closure(definitions: DataFrame, starts: DataFrame, max_depth: int |
         table.alias("table"), F.col("parent_table_name").alias("next"), F.col("script_file").alias("script")
     )
     defined = definitions.select(table.alias("next")).distinct()
-    links = links.join(defined, "next", "left_semi")
+    links = links.join(defined, "next")
     # A name that some rows call volatile and others do not ends a path that has passed it, too.
-    two_faced = exits.select(F.col("parent_table_name").alias("next")).distinct().join(defined, "next", "left_semi")
-    components = cycle_components(links)
+    two_faced = exits.select(F.col("parent_table_name").alias("next")).distinct().join(defined, "next")
+    two_faced = two_faced.withColumn("two_faced", F.lit(True))
+    components, found = counted_save_point(cycle_components(links))
+    components = _together(found["rows"])(components)
+    stay = defined.select("next", F.col("next").alias("table"), F.lit(None).cast("string").alias("script"), F.lit(True).alias("kept"))
     ends = lambda of, c: components.select(F.col("name").alias(of), F.col("component").alias(c))
+    steps, size = counted_save_point(links.withColumn("kept", F.lit(False)).unionByName(stay))
+    together = _together(size["rows"])
+    steps = together(together(together(steps).join(ends("table", "before"), "table", "left")).join(ends("next", "component"), "next", "left"))
     hops, size = counted_save_point(
-        links.join(ends("table", "before"), "table", "left")
-        .join(ends("next", "component"), "next", "left")
-        .join(two_faced.distinct().withColumn("two_faced", F.lit(True)), "next", "left")
-        .select(
-            "table", "next", "script", "component",
+        steps.join(two_faced, "next", "left").select(
+            "table", "next", "script", "kept", "component",
             F.coalesce(F.col("before") == F.col("component"), F.lit(False)).alias("stays"),
             F.coalesce("two_faced", F.lit(False)).alias("two_faced"),
         )
     )
+    starts, count = counted_save_point(starts.distinct())
     hops = gathered(hops, size["rows"])
+    together = _together(max(size["rows"], count["rows"]))
+    starts = together(starts)
     nothing = F.array().cast("array<string>")
     level = (
-        starts.join(defined.select(F.col("next").alias("start")), "start", "left_semi")
-        .distinct()
-        .join(ends("start", "component"), "start", "left")
-        .join(two_faced.distinct().select(F.col("next").alias("start"), F.lit(True).alias("two_faced")), "start", "left")
+        together(together(starts.join(defined.withColumnRenamed("next", "start"), "start")).join(ends("start", "component"), "start", "left"))
+        .join(two_faced.withColumnRenamed("next", "start"), "start", "left")
         .select(
             "start",
             F.col("start").alias("table"),
@@ -173,23 +262,24 @@ def volatile_closure(definitions: DataFrame, starts: DataFrame, max_depth: int |
             nothing.alias("trail"),
         )
     )
-    written, states, depth = [level.withColumn("depth", F.lit(0))], None, 0
+    level, found = counted_save_point(level.withColumn("depth", F.lit(0)))
+    states, depth, levels = None, 0, FIRST_BATCH
     while True:
-        for _ in range(LEVELS_PER_WRITE):
+        level = gathered(level, found["rows"])
+        for _ in range(levels):
+            level = _one_further(level, hops, depth)
             depth += 1
-            level = _next_level(level, hops)
-            written.append(level.withColumn("depth", F.lit(depth)))
         batch, found = counted_save_point(
-            reduce(DataFrame.unionByName, written),
-            deepest=F.col("depth") == depth,
-            too_deep=F.col("depth") > (depth if max_depth is None else max_depth),
+            level, deepest=F.col("depth") == depth, too_deep=F.col("depth") > (depth if max_depth is None else max_depth)
         )
         if found["too_deep"]:
             raise RuntimeError(f"volatile tables nest deeper than {max_depth}")
         states = batch if states is None else states.unionByName(batch)
         if not found["deepest"]:
             break
-        level, written = gathered(batch, found["rows"]).where(F.col("depth") == depth).drop("depth"), []
+        level = batch.where(F.col("depth") == depth)
+        # States may grow at each step; a batch that begins with many takes few.
+        levels = min(2 * levels, LAST_BATCH) if found["rows"] < TOGETHER else FIRST_BATCH
     passed = F.coalesce(F.array_contains("faced", F.col("parent_table_name")), F.lit(False))
     return (
         states.drop("depth")
@@ -216,11 +306,13 @@ def resolve_volatile(relations: DataFrame, max_depth: int | None = None, prepare
     roots = relations.where(~is_volatile("child_table_type"))
     direct = roots.where(~is_volatile("parent_table_type"))
     through = roots.where(is_volatile("parent_table_type")).select(*RELATION_COLUMNS)
-    definitions = save_point(volatile_map(relations))
+    definitions, found = counted_save_point(volatile_map(relations))
+    definitions = _together(found["rows"])(definitions)
     starts = through.where(F.col("parent_table_name").isNotNull()).select(
         F.col("parent_table_name").alias("start")
     ).distinct()
-    closure = volatile_closure(definitions, starts, max_depth)
+    with short_tables_together(relations.sparkSession):
+        closure = volatile_closure(definitions, starts, max_depth)
     trail = F.array_sort(F.array_union(F.array("script_file"), F.col("trail")))
     resolved = (
         through.drop("parent_table_type")

@@ -98,6 +98,22 @@ def gathered(df: DataFrame, rows: int, each: int = 250_000) -> DataFrame:
     return df.coalesce(1 + rows // each)
 
 
+@contextmanager
+def short_tables_together(spark: SparkSession) -> Iterator[None]:
+    """Joins of single partitions planned inside stay in one task.
+
+    The planner takes each join's size as the product of its sides, so a chain of joins over short tables soon looks too large
+    for one task and is shuffled at each step.
+    """
+    key = "spark.sql.maxSinglePartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(1 << 60))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Share out rows that were read as fewer splits than there are cores, for costly row-wise work.
 

@@ -127,6 +127,19 @@ def test_components(spark):
     assert {frozenset(names) for names in got.values()} == {c for c in want if len(c) > 1}
 
 
+def test_number_of_jobs(spark):
+    """Pairs that load each other, chained: a job holds many steps, so jobs stay few."""
+    data = [edge("s", f"{a}{d}", f"{b}{d}") for d in range(12) for a, b in ("vw", "wv")]
+    data += [edge("s", f"w{d}", f"v{d + 1}") for d in range(11)] + [edge("s", "v11", "t", parent_type="TABLE"), edge("r", "rpt", "v0", "TABLE")]
+    group = "number of jobs"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        assert R.resolve_volatile(relations(spark, data)).count() == 1
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) < 60
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_depth_limit_raises(spark):
     data = [*CASES["deep chain"], edge("root", "rpt", "v", "TABLE")]
     with pytest.raises(RuntimeError, match="deeper than 3"):
