@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import save_point
-from .scans import BLOCK_ROWS, assemble_text, block_of, scan_before
+from .scans import BLOCK_ROWS, assemble_text, block_of, scan_before, scan_two_states
 
 KEYS = ("script_file",)
 
@@ -62,77 +62,40 @@ def _read_outside(line: Column) -> tuple[Column, Column, Column]:
 def strip_comment_lines(lines: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Remove ``/* */`` comments from numbered lines, as `strip_block_comments` does from a whole text.
 
-    Only lines with a comment mark take part in the state logic; they and their outcome are written to
-    the shared folder, then one scan over all lines drops those inside a comment. Lines that a comment had
-    run together come back as one line, at the place of the first.
+    One scan says for each line whether it begins inside a comment; its outcome is written to the shared folder, without the lines
+    that a comment hides. Lines that a comment had run together come back as one line, at the place of the first.
     """
     line = F.col("line")
     lines = lines.select(*keys, "block", "pos", F.coalesce(line, F.lit("")).alias("line"))
-    has_mark = line.contains("/*") | line.contains("*/")
+    marked = line.contains("/*") | line.contains("*/")
     close = F.instr(line, "*/")
     outside = _read_outside(line)
     inside = _read_outside(F.substring(line, close + 2, F.length(line)))
-    marked = lines.where(has_mark).select(
-        "*",
-        (close > 0).alias("closes"),
-        *[c.alias(f"out_{n}") for c, n in zip(outside, ("kept", "tail", "open"))],
-        *[c.alias(f"in_{n}") for c, n in zip(inside, ("kept", "tail", "open"))],
-    )
-    marked = save_point(marked)
-    # State after the line, by the state before it: outside (0) or inside (1) a comment. A line fixes the
-    # state, flips it or leaves it, so the state is the last fixed one, flipped as often as met since.
-    after_outside = F.col("out_open")
-    after_inside = ~F.col("closes") | F.col("in_open")
-    flips = (after_outside & ~after_inside).cast("bigint")
-    marked = scan_before(marked, keys, total={"flips": flips})
-    fixed = F.when(after_outside == after_inside, (after_outside.cast("bigint") + F.col("flips")) % 2)
-    marked = scan_before(marked, keys, last={"fixed": fixed})
-    marked = marked.withColumn("before", (F.coalesce("fixed", F.lit(0)) + F.col("flips")) % 2 == 1)
-    marked = marked.withColumn("after", F.when(F.col("before"), after_inside).otherwise(after_outside))
+    # A line without a mark leaves the state as it is.
+    after_outside = F.when(marked, outside[2]).otherwise(False)
+    after_inside = F.when(marked, (close == 0) | inside[2]).otherwise(True)
+    scanned = scan_two_states(lines, keys, (after_outside, after_inside), close > 0)
 
     at = F.struct("block", "pos")
-    opens = F.col("after") & (~F.col("before") | F.col("closes"))
-    last_marks = marked.groupBy(*keys).agg(
-        F.max(F.when(opens, at)).alias("unclosed"), F.max(F.when(~F.col("after"), at)).alias("closed")
-    )
-    never_closed = last_marks.where(
-        F.col("unclosed").isNotNull() & (F.col("closed").isNull() | (F.col("unclosed") > F.col("closed")))
-    ).drop("closed")
-    marked = marked.join(never_closed, list(keys), "left")
+    begins_inside = F.col("state") == 1
     literal = F.coalesce(at > F.col("unclosed"), F.lit(False))
     reopened = F.coalesce(at == F.col("unclosed"), F.lit(False))
-    starts = literal | ~F.col("before")
-    kept = F.when(F.col("before"), F.col("in_kept")).otherwise(F.col("out_kept"))
-    tail = F.when(F.col("before"), F.col("in_tail")).otherwise(F.col("out_tail"))
-    marked = save_point(
-        marked.select(
-            *keys, "block", "pos",
-            starts.alias("starts"),
-            (starts | F.col("closes")).alias("has_text"),
-            (F.col("after") & ~literal & ~reopened).alias("state"),
-            F.when(literal, line).when(reopened, F.concat(kept, tail)).otherwise(kept).alias("line"),
+    kept = F.when(begins_inside, inside[0]).otherwise(outside[0])
+    tail = F.when(begins_inside, inside[1]).otherwise(outside[1])
+    follows = begins_inside & ~literal
+    goes_on = F.when(begins_inside, after_inside).otherwise(after_outside) & ~literal & ~reopened
+    text = F.when(literal | ~marked, line).when(reopened, F.concat(kept, tail)).otherwise(kept)
+    outcome = save_point(
+        scanned.where(~follows | (close > 0)).select(
+            *keys, "block", "pos", text.alias("line"),
+            (follows | goes_on).alias("joined"),
+            F.when(follows, F.col("head")).otherwise(at).alias("head"),
         )
-    )
-    head = {f"head_{c}": F.when(F.col("starts"), F.col(c)) for c in ("block", "pos")}
-    pieces = scan_before(marked, keys, last=head).where("has_text").withColumns(
-        {n: F.coalesce(own, F.col(n)) for n, own in head.items()}
-    )
-    joined = assemble_text(pieces, [*keys, *head], "line", sep="")
-
-    plain = lines.where(~has_mark).select(
-        *keys, "block", "pos", "line", F.lit(None).cast("boolean").alias("state"), F.lit(False).alias("whole")
-    )
-    states = marked.select(
-        *keys, "block", "pos", F.lit(None).cast("string").alias("line"), "state", F.lit(False).alias("whole")
-    )
-    wholes = joined.select(
-        *keys, F.col("head_block").alias("block"), F.col("head_pos").alias("pos"), "line", F.lit(None).cast("boolean").alias("state"),
-        F.lit(True).alias("whole"),
-    )
-    outcome = save_point(states.unionByName(wholes))
-    scanned = scan_before(plain.unionByName(outcome), keys, last={"inside": F.col("state")})
-    visible = F.col("whole") | ~F.coalesce("inside", F.lit(False))
-    return scanned.where(F.col("line").isNotNull() & visible).select(*keys, "block", "pos", "line")
+    )
+    alone = outcome.where("NOT joined").select(*keys, "block", "pos", "line")
+    pieces = outcome.where("joined").select("*", F.col("head.block").alias("head_block"), F.col("head.pos").alias("head_pos"))
+    joined = assemble_text(pieces, [*keys, "head_block", "head_pos"], "line", sep="")
+    return alone.unionByName(joined.select(*keys, F.col("head_block").alias("block"), F.col("head_pos").alias("pos"), "line"))
 
 
 def sessionise(lines: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -20,6 +20,76 @@ def block_of(position: str, rows: int = BLOCK_ROWS) -> Column:
     return F.expr(f"cast(floor(`{position}`) AS bigint) div {rows}")
 
 
+def _named_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str], list[str]]:
+    """``df`` with keys that are never null: a null name becomes the empty name, and a key of another kind that may be null goes by
+    its text. Also these keys, and the columns added for them."""
+    kinds = dict(df.dtypes)
+    others = [c for c in keys if kinds[c] != "string" and df.schema[c].nullable]
+    df = df.na.fill("", list(keys))
+    if others:
+        df = df.withColumns({f"_key_{c}": F.coalesce(F.col(c).cast("string"), F.lit("")) for c in others})
+    return df, [f"_key_{c}" if c in others else c for c in keys], [f"_key_{c}" for c in others]
+
+
+def _state_of(entry: Column, anchor: Column, parity: Column) -> Column:
+    return (F.coalesce(anchor, entry) + parity) % 2
+
+
+def scan_two_states(df: DataFrame, keys: Sequence[str], after: tuple[Column, Column], opens: Column, pos: str = "pos", block: str = "block") -> DataFrame:
+    """Run a machine of two states, 0 at first, over the rows of each group.
+
+    ``after``: the state behind a row by the state before it. ``opens``: whether a row that leaves state 1 enters it again.
+    Adds ``state`` before each row; ``head``, the (block, pos) of the latest row met in state 0, itself
+    included; ``unclosed``, where state 1 was last entered, if the group ends in it.
+
+    A row's map of states is a constant, a flip or neither, so a state is the last constant, flipped as often as since. Rows
+    are shuffled once. Each block becomes one row with its map and what it would add for either state before it; these are
+    composed along each group and joined back.
+    """
+    df, names, added = _named_keys(df, keys)
+    group = [*names, block]
+    zero, one = (F.lit(n).cast("int") for n in (0, 1))
+    rows = df.withColumns({"_0": after[0].cast("int"), "_1": after[1].cast("int"), "_opens": opens})
+
+    def composed(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+        earlier = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        flips = F.sum(F.when(F.col("_0") > F.col("_1"), 1)).over(earlier)
+        rows = rows.withColumn("_parity", (F.coalesce(flips, F.lit(0)) % 2).cast("int"))
+        fixed = F.when(F.col("_0") == F.col("_1"), (F.col("_0") + F.col("_parity")) % 2)
+        return rows.withColumn("_anchor", F.last(fixed, ignorenulls=True).over(earlier))
+
+    anchor, parity = F.col("_anchor"), F.col("_parity")
+    upto = Window.partitionBy(*group).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = [_state_of(entry, anchor, parity) for entry in (zero, one)]
+    rows = composed(rows, group, pos).withColumns({f"_before{e}": before[e] for e in (0, 1)})
+    rows = rows.withColumns({f"_head{e}": F.last(F.when(F.col(f"_before{e}") == 0, F.col(pos)), ignorenulls=True).over(upto) for e in (0, 1)})
+    behind = [F.when(F.col(f"_before{e}") == 1, F.col("_1")).otherwise(F.col("_0")) for e in (0, 1)]
+    entered = [(behind[e] == 1) & ((F.col(f"_before{e}") == 0) | F.col("_opens")) for e in (0, 1)]
+    blocks = rows.groupBy(*group).agg(
+        *[F.max_by(behind[e], pos).alias(f"_{e}") for e in (0, 1)],
+        *[F.max(F.when(entered[e], F.col(pos))).alias(f"_entered{e}") for e in (0, 1)],
+        *[F.max(F.when(F.col(f"_before{e}") == 0, F.col(pos))).alias(f"_outside{e}") for e in (0, 1)],
+    )
+    blocks = composed(blocks, names, block).withColumn("_entry", _state_of(zero, anchor, parity))
+    really = lambda name: F.when(F.col("_entry") == 1, F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
+    place = lambda value: F.when(value.isNotNull(), F.struct(F.col(block).alias("block"), value.alias("pos")))
+    blocks = blocks.select(*group, "_entry", really("_").alias("_end"), place(really("_entered")).alias("_entered"), place(really("_outside")).alias("_outside"))
+    earlier = Window.partitionBy(*names).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*names)
+    blocks = blocks.select(
+        *group, "_entry",
+        F.last("_outside", ignorenulls=True).over(earlier).alias("_earlier"),
+        F.max_by("_end", block).over(whole).alias("_last"),
+        F.max("_entered").over(whole).alias("_entered"),
+    )
+    return rows.join(blocks, group).select(
+        *[c for c in df.columns if c not in added],
+        really("_before").alias("state"),
+        F.coalesce(place(really("_head")), F.col("_earlier")).alias("head"),
+        F.when(F.col("_last") == 1, F.col("_entered")).alias("unclosed"),
+    )
+
+
 def scan_before(
     df: DataFrame,
     keys: Sequence[str],
@@ -37,17 +107,10 @@ def scan_before(
     """
     last, total = dict(last or {}), dict(total or {})
     names = [*last, *total]
-    group = [*keys, block]
     # An inner join with the summary: as both sides then filter keys alike, a later scan of the result
-    # finds the shuffled rows again. So that no row is lost, a null name becomes the empty name, and a
-    # key of another kind that may be null goes by its text.
-    kinds = dict(df.dtypes)
-    others = [c for c in keys if kinds[c] != "string" and df.schema[c].nullable]
-    df = df.na.fill("", list(keys))
-    if others:
-        named = df.withColumns({f"_key_{c}": F.coalesce(F.col(c).cast("string"), F.lit("")) for c in others})
-        stand_in = [f"_key_{c}" if c in others else c for c in keys]
-        return scan_before(named, stand_in, order, last, total, block).drop(*[f"_key_{c}" for c in others])
+    # finds the shuffled rows again. So that no row is lost, no key is null.
+    df, keys, added = _named_keys(df, keys)
+    group = [*keys, block]
     rows = df.select("*", *[value.alias(f"_{name}") for name, value in {**last, **total}.items()])
 
     place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
@@ -65,7 +128,7 @@ def scan_before(
     within = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("bigint")
     return rows.join(carried, group).select(
-        *[c for c in df.columns if c not in names],
+        *[c for c in df.columns if c not in [*names, *added]],
         *[
             F.coalesce(F.last(f"_{n}", ignorenulls=True).over(within), F.col(f"_in_{n}")).alias(n)
             for n in last

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tablewake.functions import text as T
 from tablewake.operators import lines as L
 from tablewake.operators import statements as S
-from tablewake.operators.scans import scan_before
+from tablewake.operators.scans import scan_before, scan_two_states
+from tablewake.session import save_point
 
 from .conftest import rows
 
@@ -46,6 +47,38 @@ def test_comment_lines_equal_whole_text(spark):
         assert joined == re.sub(r"/\*.*?\*/", "", value, flags=re.S), value
 
 
+def test_comment_scan_writes_once_and_shuffles_lines_once(spark, monkeypatch):
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return save_point(df)
+
+    monkeypatch.setattr(L, "save_point", seen)
+    assert L.strip_comment_lines(numbered(spark, ["a /* b\nc\nd */ e", "/*"])).count() == 2
+    # The lines, by file and block, are read by the summary and the join; the summaries go by file and back by block.
+    assert len(plans) == 1 and plans[0].count("Exchange") <= 4
+
+
+def test_two_states_over_blocks(spark):
+    rng = random.Random(11)
+    data = [(k, i // 4, i, rng.random() < 0.5, rng.random() < 0.5, rng.random() < 0.3) for k in (None, "a", "b") for i in range(rng.randrange(1, 40))]
+    df = spark.createDataFrame(data, "k string, block long, pos long, a0 boolean, a1 boolean, o boolean")
+    got = scan_two_states(df, ["k"], (F.col("a0"), F.col("a1")), F.col("o")).collect()
+    found = {(r.k or None, r.pos): (r.state, r.head and tuple(r.head), r.unclosed and tuple(r.unclosed)) for r in got}
+    for k in (None, "a", "b"):
+        state, head, entered, want = 0, None, None, {}
+        for _, block, pos, a0, a1, o in sorted(d for d in data if d[0] == k):
+            head = (block, pos) if state == 0 else head
+            want[k, pos] = (state, head)
+            after = a1 if state else a0
+            if after and (state == 0 or o):
+                entered = (block, pos)
+            state = int(after)
+        assert {key: v[:2] for key, v in found.items() if key[0] == k} == want
+        assert {v[2] for key, v in found.items() if key[0] == k} == {entered if state else None}
+
+
 def statements_of(log):
     """One pass over the lines: what a statement is."""
     out, current = [], None
