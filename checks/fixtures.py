@@ -167,8 +167,8 @@ SELECT 'scr_s' || CAST(c_custkey % 7 AS STRING), 'RPT' || CAST(c_custkey AS STRI
  CASE WHEN c_custkey % 11 = 0 THEN CAST(NULL AS STRING) WHEN c_custkey % 5 = 0 THEN 'TABLE' ELSE 'VOLTABLE' END
 FROM {customer}
 """,
-    # Eight ownership levels with rows unmatched on either side, one schema that owns a third of all
-    # objects, and relationships between objects.
+    # Eight ownership levels with rows unmatched on either side, null parents and null children at several levels, one schema that
+    # owns a third of all objects, and relationships between objects.
     "fx_hierarchy_input": """
 SELECT n_name AS child_table_name, 'in' AS relationship, r_name AS parent_table_name, 'Sector' AS parent_table_type
 FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
@@ -181,6 +181,9 @@ UNION ALL SELECT 'SY' || CAST(p_partkey AS STRING), 'in', 'TL' || CAST(p_partkey
 UNION ALL SELECT 'ID' || CAST(p_partkey AS STRING), 'in', 'SY' || CAST(p_partkey * 2 AS STRING), 'System' FROM {part}
 UNION ALL SELECT 'SC' || CAST(s_suppkey AS STRING), 'in', 'ID' || CAST(s_suppkey AS STRING), 'SystemID' FROM {supplier}
 UNION ALL SELECT 'OB' || CAST(c_custkey AS STRING), 'in', 'SC' || CAST(CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE CAST(FLOOR(c_custkey / 10) AS BIGINT) END AS STRING), 'Schema' FROM {customer}
+UNION ALL SELECT CASE WHEN r_regionkey = 0 THEN CAST(NULL AS STRING) ELSE 'TL0_' || r_name END, 'in', CAST(NULL AS STRING), 'Client' FROM {region}
+UNION ALL SELECT CAST(NULL AS STRING), 'in', 'TL' || CAST(s_suppkey * 3 AS STRING), 'Tool' FROM {supplier} WHERE s_suppkey % 5 = 0
+UNION ALL SELECT 'ID0_' || r_name, 'in', CASE WHEN r_regionkey < 2 THEN CAST(NULL AS STRING) ELSE 'SY2' END, 'System' FROM {region}
 UNION ALL SELECT 'OB' || CAST(o_custkey AS STRING), 'Loaded From', 'OB' || CAST(o_orderkey AS STRING),
  CASE WHEN o_custkey % 13 = 0 THEN CAST(NULL AS STRING) ELSE 'Table' END FROM {orders}
 UNION ALL SELECT 'OB' || CAST(r_regionkey AS STRING), 'Loaded From', CAST(NULL AS STRING), 'Table' FROM {region}

@@ -308,7 +308,7 @@ def hierarchy_paths(spark, sf):
 
 @query
 def hierarchy_full_joins(spark, sf):
-    """The same by full outer joins, the way taken when level rows have null parents."""
+    """The same by full outer joins, as they read."""
     return hierarchy.hierarchy_by_full_joins(fixture(spark, sf, "fx_hierarchy_input"))
 
 
@@ -331,7 +331,7 @@ def relationship_rows(spark, sf):
 def flatten_hierarchy(spark, sf):
     df = fixture(spark, sf, "fx_hierarchy_input")
     paths = save_point(hierarchy.build_hierarchy(df))
-    return hierarchy.flatten_hierarchy(hierarchy.relationship_rows(df), paths)
+    return hierarchy.flatten_hierarchy(hierarchy.relationship_rows(df), paths, match_null_keys=True)
 
 
 @query

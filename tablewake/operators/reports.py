@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .hierarchy import LEVELS, hierarchy_by_full_joins, is_level_row
+from .hierarchy import LEVELS, is_level_row, path_counts
 from .resolve import is_volatile
 
 
@@ -91,11 +91,6 @@ def hierarchy_statistics(df: DataFrame) -> DataFrame:
 
 
 def join_statistics(df: DataFrame) -> DataFrame:
-    """Rows after each full outer join of the hierarchy; each step is a job of its own, so on request only."""
-    sizes = [
-        hierarchy_by_full_joins(df, LEVELS[: depth + 1])
-        .agg(F.count("*").alias("n"))
-        .select(F.lit(LEVELS[depth]).alias("joined_on"), "n")
-        for depth in range(1, len(LEVELS))
-    ]
-    return reduce(DataFrame.unionByName, sizes)
+    """Rows after each full outer join of the hierarchy, from counts by name."""
+    counts = [n.select(F.lit(name).alias("joined_on"), "n") for name, n in zip(LEVELS[1:], path_counts(df))]
+    return reduce(DataFrame.unionByName, counts)

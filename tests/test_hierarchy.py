@@ -41,7 +41,7 @@ def made(seed, null_parents):
 
 
 @pytest.mark.parametrize("null_parents", [False, True])
-@pytest.mark.parametrize("seed", [3])
+@pytest.mark.parametrize("seed", [3, 4])
 def test_paths_and_flattening(spark, seed, null_parents):
     data = made(seed, null_parents)
     df = spark.createDataFrame(data, SCHEMA)
@@ -56,7 +56,7 @@ def test_paths_and_flattening(spark, seed, null_parents):
                 met = [path for path in expected if path[-1] == name and (match_nulls or name is not None)]
                 return met or [(None,) * 8 + (name,)]
             flat += [p + (kind,) + c for p in owners(parent) for c in owners(child)]
-        got = H.flatten_hierarchy(H.relationship_rows(df), paths, match_nulls)
+        got = H.flatten_hierarchy(H.relationship_rows(df), paths, match_nulls, hot_rows=1 + seed % 2)
         assert rows(got) == sorted(flat, key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
@@ -66,3 +66,31 @@ def test_counts(spark):
     counts = dict(rows(hierarchy_statistics(df)))
     assert counts["Relationship"] == 6 and sum(counts.values()) == len(data)
     assert dict(rows(join_statistics(df)))["Schema"] == len(outer_joins(data))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_counts_without_joins(spark, seed):
+    df = spark.createDataFrame(made(seed, True), SCHEMA)
+    joined = {name: H.hierarchy_by_full_joins(df, H.LEVELS[: d + 1]).count() for d, name in enumerate(H.LEVELS) if d}
+    assert dict(rows(join_statistics(df))) == joined
+
+
+def test_plans(spark):
+    """One inner join a level, no full join; counts read what each level wrote."""
+    df = spark.createDataFrame(made(2, True), SCHEMA)
+    plan = H.build_hierarchy(df)._jdf.queryExecution().executedPlan().toString()
+    assert "FullOuter" not in plan and plan.count("Join") == 7 and plan.count("Exchange") <= 20
+    assert join_statistics(df)._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 8
+
+
+def test_a_hot_name_is_spread(spark):
+    """A name on 30% of the edges is joined in parts."""
+    edges = spark.createDataFrame(
+        [("hot" if i % 10 < 3 else f"p{i}", "Loaded From", f"c{i}") for i in range(3000)],
+        "ParentObjectName string, InternalRelationship string, ChildObjectName string",
+    )
+    owners = spark.createDataFrame([(*["x"] * 8, "hot"), (*["y"] * 8, "c1")], ", ".join(f"{n} string" for n in H.NAMES))
+    hot = {r._hot: r.salts for r in H._hot_names(edges, "ParentObjectName", 100).collect()}
+    assert hot == {"hot": 9}
+    flat = H.flatten_hierarchy(edges, owners, hot_rows=100)
+    assert flat.count() == 3000 and flat.where("ParentSector = 'x'").count() == 900 and flat.where("ChildSector = 'y'").count() == 1
