@@ -424,3 +424,37 @@ ORACLES["relations_round_trip"] = (
     + "SELECT *, 'parquet' AS fmt FROM fx_relations UNION ALL SELECT *, 'csv' FROM fx_relations"
 )
 ORACLES["object_types_scan"] = with_ctes(fixture_cte("fx_object_types")) + "SELECT obj_name, table_kind FROM fx_object_types"
+
+# --- scans and sinks ------------------------------------------------------------------------------
+
+ORACLES["scan_scripts"] = (
+    with_ctes(fixture_cte("fx_sql_lines"))
+    + """SELECT script_file, length(text) AS n_chars, sha256(text) AS sha
+FROM (SELECT script_file, string_agg(line, chr(10) ORDER BY pos, line) AS text FROM fx_sql_lines GROUP BY script_file)"""
+)
+ORACLES["scan_logs"] = (
+    with_ctes(fixture_cte("fx_log_lines"), SESSIONS) + "SELECT script_file, sql_text, count(*) AS n FROM log_sql GROUP BY ALL"
+)
+ORACLES["cleaned_round_trip"] = (
+    with_ctes(fixture_cte("fx_log_lines"), SESSIONS)
+    + f"""SELECT script_file, line, count(*) AS n FROM (SELECT script_file, line FROM sessions
+ UNION ALL SELECT script_file, unnest(['', '']) FROM sessions WHERE {ENDS}) GROUP BY ALL"""
+)
+ORACLES["scan_script_table"] = (
+    with_ctes(fixture_cte("fx_query_lines"))
+    + "SELECT 'tab' AS script_file, query_name, CAST(line_number AS BIGINT) AS line_number, nullif(line, '') AS line, count(*) AS n FROM fx_query_lines GROUP BY ALL"
+)
+ORACLES["catalog_of_files"] = ORACLES["catalog_lookup"]
+BROKEN = """'what' || chr(10) || ' "is", this' || chr(10) || sql_text"""
+ORACLES["errors_round_trip"] = (
+    with_ctes(fixture_cte("fx_statements"))
+    + f"SELECT script_file, query_index, {clean(BROKEN)} AS sql_query, 'UnrecognizedStatement' AS error_type FROM fx_statements"
+)
+ORACLES["resolved_round_trip"] = ORACLES["resolve_volatile"]
+ORACLES["hierarchy_round_trip"] = ORACLES["flatten_hierarchy_named_only"]
+ORACLES["scan_null_keys"] = (
+    with_ctes(fixture_cte("fx_query_lines"))
+    + """SELECT query_name, CAST(sum(n) AS BIGINT) AS n, max(n) AS last
+FROM (SELECT coalesce(query_name, '') AS query_name, row_number() OVER (PARTITION BY coalesce(query_name, '') ORDER BY line_number) - 1 AS n FROM fx_query_lines)
+GROUP BY query_name"""
+)

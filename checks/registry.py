@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from tablewake.functions import text as T
 from tablewake.functions.names import normalise_case
 from tablewake.operators import catalog, extract, hierarchy, lines, reports, resolve, statements
-from tablewake.operators.scans import assemble_text
+from tablewake.operators.scans import assemble_text, scan_before
+from tablewake.plans import jobs
 from tablewake.plans.jobs import lineage_edges
 from tablewake.session import save_point, shared_folder
-from tablewake.sources.sinks import write_relations
-from tablewake.sources.tables import read_object_types, read_relations
+from tablewake.sources.files import FILE_KEYS, read_log_lines, read_script_lines
+from tablewake.sources.sinks import write_errors, write_relations
+from tablewake.sources.tables import read_object_types, read_relations, read_script_table
 
 from .fixtures import fixture, table
 
@@ -284,6 +286,107 @@ def object_types_scan(spark, sf):
     return read_object_types(spark, folder).select("obj_name", "table_kind")
 
 
+def _folder(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _files(lines, folder, suffix):
+    """Numbered lines as one text file for each script, named after it."""
+    spark = lines.sparkSession
+    placed = lines.repartition("script_file").sortWithinPartitions("script_file", "pos", "line")
+    placed.select("script_file", F.col("line").alias("value")).write.partitionBy("script_file").text(f"{folder}/parts")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path(f"{folder}/files"))
+    for found in system.globStatus(path(f"{folder}/parts/script_file=*/part-*")):
+        name = found.getPath().getParent().getName().partition("=")[2]
+        system.rename(found.getPath(), path(f"{folder}/files/{name}{suffix}"))
+    return f"{folder}/files"
+
+
+@query
+def scan_scripts(spark, sf):
+    """Scripts as files, scanned line by line and put together again."""
+    folder = _files(fixture(spark, sf, "fx_sql_lines"), _folder(spark, "scripts"), ".sql")
+    whole = assemble_text(read_script_lines(spark, folder), ["script_file"], "line")
+    return whole.select("script_file", F.length("line").alias("n_chars"), F.sha2("line", 256).alias("sha"))
+
+
+@query
+def scan_logs(spark, sf):
+    """Logs as files, scanned, cleaned and cut to statements."""
+    folder = _files(fixture(spark, sf, "fx_log_lines"), _folder(spark, "logs"), ".log")
+    found = lines.log_statements(read_log_lines(spark, folder), FILE_KEYS)
+    return found.groupBy("script_file", "sql_text").agg(F.count("*").alias("n"))
+
+
+@query
+def cleaned_round_trip(spark, sf):
+    """Statement lines of logs as the job writes them: blank lines follow each statement."""
+    folder = _folder(spark, "cleaned")
+    jobs.clean_logs_job(spark, _files(fixture(spark, sf, "fx_log_lines"), folder, ".log"), f"{folder}/out")
+    back = spark.read.text(f"{folder}/out")
+    return back.groupBy("script_file", F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+@query
+def scan_script_table(spark, sf):
+    """A line table as CSV under headers of its own, which are found. An empty field is null."""
+    folder = _folder(spark, "line-table")
+    headers = {"script_file": "Owner", "query_name": "QueryNumber", "line": "SQL", "line_number": "LineNumber"}
+    own = fixture(spark, sf, "fx_query_lines").select(*[F.col(c).alias(h) for c, h in headers.items()], F.lit("x").alias("last"))
+    own.write.csv(folder, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    back = read_script_table(spark, folder, "tab")
+    return back.groupBy("script_file", "query_name", F.col("line_number").cast("bigint").alias("line_number"), "line").agg(F.count("*").alias("n"))
+
+
+@query
+def catalog_of_files(spark, sf):
+    """The catalog in two files, the long one last by name; later rows win."""
+    folder = _folder(spark, "catalog-files")
+    types = fixture(spark, sf, "fx_object_types")
+    late = F.col("ord") > F.lit(40)
+    types.repartitionByRange(2, late).sortWithinPartitions("ord").select("obj_name", "table_kind").write.csv(folder, header=True, ignoreLeadingWhiteSpace=False)
+    return catalog.catalog_lookup(read_object_types(spark, folder))
+
+
+@query
+def errors_round_trip(spark, sf):
+    """Errors as they come back from their sink, texts of several lines among them."""
+    folder = _folder(spark, "errors")
+    statements = fixture(spark, sf, "fx_statements")
+    broken = statements.withColumn("sql_text", F.concat(F.lit("what\n \"is\", this\n"), "sql_text"))
+    write_errors(extract.statement_errors(extract.parse_statements(broken)), folder)
+    back = spark.read.csv(folder, header=True, multiLine=True, escape='"', schema="script_file string, query_index bigint, sql_query string, error_type string, error_info string")
+    return back.select("script_file", "query_index", "sql_query", "error_type")
+
+
+@query
+def resolved_round_trip(spark, sf):
+    """The resolver's job: relations under other headers in, sorted edges out."""
+    folder = _folder(spark, "resolved")
+    named = fixture(spark, sf, "fx_relations")
+    named.toDF(*[c.replace("_", "").upper() for c in named.columns]).write.csv(f"{folder}/in", header=True, ignoreLeadingWhiteSpace=False)
+    jobs.resolve_job(resolve.require_columns(read_relations(spark, f"{folder}/in")), f"{folder}/out")
+    return read_relations(spark, f"{folder}/out")
+
+
+@query
+def hierarchy_round_trip(spark, sf):
+    """The hierarchy's job, its flattened edges read back from CSV."""
+    folder = _folder(spark, "hierarchy")
+    jobs.hierarchy_job(fixture(spark, sf, "fx_hierarchy_input"), folder)
+    return spark.read.csv(f"{folder}/final_output", header=True)
+
+
+@query
+def scan_null_keys(spark, sf):
+    """A running count over groups of which one has no key."""
+    found = lines.with_blocks(fixture(spark, sf, "fx_query_lines").withColumnRenamed("line_number", "pos"), 20_000)
+    counted = scan_before(found.where("pos IS NOT NULL"), ["query_name"], total={"n": F.lit(1).cast("bigint")})
+    return counted.groupBy("query_name").agg(F.sum("n").alias("n"), F.max("n").alias("last"))
+
+
 @query
 def resolution_statistics(spark, sf):
     prepared = save_point(resolve.prepare_relations(fixture(spark, sf, "fx_relations")))

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.names import lookup_key, spread_nulls
 from ..functions.text import strip
 
-LAST = (1 << 63) - 1
-
 
 def new_views(types: DataFrame, views: DataFrame) -> DataFrame:
     """Distinct view names that the catalog lacks, by the form in which names are compared."""
@@ -20,18 +18,18 @@ def new_views(types: DataFrame, views: DataFrame) -> DataFrame:
 
 def extend_catalog(types: DataFrame, views: DataFrame) -> DataFrame:
     """The catalog with the view names of a script table that it lacks, as views, after all its rows."""
-    added = new_views(types, views).select(
-        "obj_name", F.lit("V").alias("table_kind"), F.lit(LAST).cast("bigint").alias("ord")
-    )
+    nowhere = F.lit(None).cast(types.schema["ord"].dataType).alias("ord")
+    added = new_views(types, views).select("obj_name", F.lit("V").alias("table_kind"), nowhere)
     return types.select("obj_name", "table_kind", "ord").unionByName(added)
 
 
 def catalog_lookup(types: DataFrame) -> DataFrame:
-    """One row per name: the kind of its last catalog row (by ``ord``)."""
+    """One row per name: the kind of its last catalog row by ``ord``, rows without a place after all others."""
+    place = F.struct(F.col("ord").isNull(), "ord")
     return (
         types.where(F.col("obj_name").isNotNull())
         .groupBy(lookup_key(F.col("obj_name")).alias("key"))
-        .agg(F.max_by(strip(F.col("table_kind")), "ord").alias("table_kind"))
+        .agg(F.max_by(strip(F.col("table_kind")), place).alias("table_kind"))
     )
 
 

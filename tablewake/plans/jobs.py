@@ -24,7 +24,7 @@ from ..operators.statements import (
 )
 from ..session import job_save_points, save_point
 from ..sources.files import FILE_KEYS, read_log_lines, read_script_lines
-from ..sources.sinks import write_cleaned, write_errors, write_hierarchy, write_relations
+from ..sources.sinks import staged, write_cleaned, write_errors, write_hierarchy, write_relations
 
 
 def _told(df: DataFrame) -> DataFrame:
@@ -68,12 +68,13 @@ def lineage_job(
 ) -> dict[str, DataFrame]:
     """Write edges and errors of a run; return its statistics.
 
-    Statements are parsed once and written; edges, errors and counts all read from there. The rules of the
+    Statements are parsed once and written; edges, errors and counts all read from there. Edges and errors come to ``out`` together
+    or, if the job fails, not at all. The rules of the
     sequential variant are ``default="VIEW"``, ``include_query_edges=True`` and ``per_script=False``.
     """
-    with job_save_points(statements.sparkSession):
+    with job_save_points(statements.sparkSession), staged(statements.sparkSession, out) as folder:
         return _lineage_job(
-            statements, out, run_name, types, views, default, include_query_edges, per_script, fmt
+            statements, folder, run_name, types, views, default, include_query_edges, per_script, fmt
         )
 
 
@@ -123,7 +124,9 @@ def resolve_job(relations: DataFrame, out: str, fmt: str = "parquet", max_depth:
     with job_save_points(relations.sparkSession):
         prepared = save_point(prepare_relations(relations))
         resolved = save_point(resolve_volatile(prepared, max_depth, prepared=True))
-        write_relations(sort_relations(resolved), out, fmt)
+        folder, _, name = out.rstrip("/").rpartition("/")
+        with staged(prepared.sparkSession, folder or ".") as stage:
+            write_relations(sort_relations(resolved), f"{stage}/{name}", fmt)
         return _told(resolution_statistics(prepared, resolved))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import stem
@@ -67,16 +67,26 @@ def _read(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame
     return spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"')
 
 
+def _row_order(scanned: bool = True) -> Column:
+    """Where a row stands in its source: its file by name, the block of it by offset, and the row, whose number grows within a
+    block. Blocks are packed into tasks by size, so the number alone is no order over several."""
+    row = F.monotonically_increasing_id().alias("row")
+    if scanned:
+        return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), row)
+    return F.struct(F.lit(None).cast("string").alias("file"), F.lit(None).cast("bigint").alias("block"), row)
+
+
 def read_script_table(
     spark: SparkSession, source: str | DataFrame, script_file: str | None = None, multi_line: bool = False
 ) -> DataFrame:
     """A line table as ``script_file, query_name, line_number, row_number, line``.
 
-    ``source`` is a CSV or Parquet path or a DataFrame. ``row_number`` grows with the row order of the source
-    and settles equal line numbers. Numbers may have fractions and may be written as text; what is no number
+    ``source`` is a CSV or Parquet path or a DataFrame. ``row_number`` grows with the row order of the source, over several
+    files by their names, and settles equal line numbers. Numbers may have fractions and may be written as text; what is no number
     is kept in ``row_number``, before the row, and is put in the order of its text.
     """
-    if isinstance(source, str):
+    scanned = isinstance(source, str)
+    if scanned:
         df = _read(spark, source, multi_line)
         script = F.lit(script_file) if script_file else stem(F.col("_metadata.file_name"))
     else:
@@ -89,7 +99,7 @@ def read_script_table(
         number.alias("line_number"),
         F.struct(
             F.when(number.isNull(), F.col(found.line_number).cast("string")).alias("text"),
-            F.monotonically_increasing_id().alias("row"),
+            _row_order(scanned).alias("row"),
         ).alias("row_number"),
         unify_newlines(F.col(found.text).cast("string")).alias("line"),
     )
@@ -112,7 +122,7 @@ def read_relations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_object_types(spark: SparkSession, path: str) -> DataFrame:
-    """Object catalog ``obj_name, table_kind``; ``ord`` is the order of rows."""
-    return _canonical(_read(spark, path)).select(
-        "obj_name", "table_kind", F.monotonically_increasing_id().alias("ord")
-    )
+    """Object catalog ``obj_name, table_kind``; ``ord`` is the order of rows, over several files by their names."""
+    # The order is taken where the files are read, since a renamed frame shows no file any more.
+    read = _read(spark, path)
+    return _canonical(read.select("*", _row_order().alias("ord"))).select("obj_name", "table_kind", "ord")

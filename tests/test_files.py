@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewake import session
+from tablewake.operators.catalog import catalog_lookup
 from tablewake.operators import statements
 from tablewake.operators.lines import log_statements
 from tablewake.operators.scans import scan_before
@@ -273,6 +274,55 @@ def test_jobs_leave_no_intermediate_tables(spark, folder):
     assert saved() - before == set()
 
 
+def test_a_failed_job_publishes_nothing(spark, folder, monkeypatch):
+    out = folder / "out"
+
+    def fails(*args, **options):
+        raise RuntimeError("no room")
+
+    monkeypatch.setattr(jobs, "write_errors", fails)
+    with pytest.raises(RuntimeError, match="no room"):
+        jobs.script_lineage_job(spark, str(folder / "in"), str(out), "run")
+    assert not out.exists()
+    levels = spark.createDataFrame([("app", "in", "sec", "Sector")], "child_table_name string, relationship string, parent_table_name string, parent_table_type string")
+    real, calls = sinks.write_relations, []
+    monkeypatch.setattr(sinks, "write_relations", lambda *a, **o: calls.append(a) or (fails() if len(calls) == 3 else real(*a, **o)))
+    with pytest.raises(RuntimeError, match="no room"):
+        jobs.hierarchy_job(levels, str(folder / "h"))
+    assert len(calls) == 3 and not (folder / "h").exists()
+
+
+def test_published_together_with_a_manifest(spark, tmp_path):
+    out = str(tmp_path / "out")
+    with sinks.staged(spark, out) as stage:
+        for name in ("a", "b"):
+            sinks.write_relations(spark.range(2), f"{stage}/{name}")
+        assert not list((tmp_path / "out").glob("[!_]*"))
+    (manifest,) = (tmp_path / "out").glob("_published-*")
+    assert manifest.read_text() == "a\nb\n" and spark.read.parquet(f"{out}/a").count() == 2
+    with pytest.raises(FileExistsError, match="out/b"):
+        with sinks.staged(spark, out) as stage:
+            for name in ("b", "c"):
+                sinks.write_relations(spark.range(2), f"{stage}/{name}")
+    assert not (tmp_path / "out" / "c").exists() and not list((tmp_path / "out").glob("_staged-*"))
+
+
+def test_rows_of_several_files_come_in_order_of_name(spark, tmp_path):
+    """A long file is read before a short one, yet its rows come after."""
+    (tmp_path / "o").mkdir()
+    (tmp_path / "o" / "a.csv").write_text("obj_name,TableKind\nx,V\ny,V\n")
+    (tmp_path / "o" / "b.csv").write_text("obj_name,TableKind\nx,T\n" + "".join(f"z{i},T\n" for i in range(500)))
+    types = tables.read_object_types(spark, str(tmp_path / "o"))
+    assert [r.obj_name for r in types.orderBy("ord").limit(4).collect()] == ["x", "y", "x", "z0"]
+    assert {r.key: r.table_kind for r in catalog_lookup(types).where("key IN ('X', 'Y')").collect()} == {"X": "T", "Y": "V"}
+    lines = "".join(f"q,1,l{i}\n" for i in range(300))
+    (tmp_path / "q").mkdir()
+    (tmp_path / "q" / "a.csv").write_text("QueryNumber,LineNumber,sql\nq,1,first\n")
+    (tmp_path / "q" / "b.csv").write_text("QueryNumber,LineNumber,sql\n" + lines)
+    table = tables.read_script_table(spark, str(tmp_path / "q"), "s")
+    assert [r.query_text for r in statements.assemble_queries(table).collect()] == ["\n".join(["first", *(f"l{i}" for i in range(300))])]
+
+
 def test_errors_of_unnamed_and_equal_places(spark, tmp_path):
     bad = spark.createDataFrame([("s", 1, "what"), ("s", 1, "how"), (None, 2, "why"), ("s", 3, "sel 1")], "script_file string, pos long, sql_text string")
     jobs.lineage_job(bad, str(tmp_path), "r")
