@@ -28,6 +28,8 @@ TEXT_SHARE = 20
 PIECES = 8
 MEMO_TOKENS = 150_000
 CHARS_AT_ONCE = 1_000_000
+#: Characters of tokens that are cut into subwords at a time.
+SUBWORD_CHARS = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _EDGE = " \t\r\n.,;:!?…\"'()[]{}<>«»„“”‘’%&$#*+-=/\\|~^`_"
 
@@ -39,8 +41,19 @@ def tokens(text: str | None) -> list[str]:
 def subwords(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all character n-grams of each token and of the token as a whole, laid end to end; their numbers.
 
-    Signs at a token's edges are left out; a token of mere signs has no subword.
+    Signs at a token's edges are left out; a token of mere signs has no subword. Tokens are worked on some at a time, a long
+    one alone, which bounds the arrays in between.
     """
+    parts, at = [], 0
+    ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)))
+    while at < len(some) or not parts:
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SUBWORD_CHARS, "right")))
+        parts.append(_subwords(some[at:upto]))
+        at = upto
+    return np.concatenate([grams for grams, _ in parts]), np.concatenate([counts for _, counts in parts])
+
+
+def _subwords(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
     words = [t.strip(_EDGE) for t in some]
     lengths = np.array([len(w) + 2 if w else 0 for w in words], np.int64)
     codes = np.frombuffer("".join([f"<{w}>" for w in words if w]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)

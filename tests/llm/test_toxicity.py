@@ -58,6 +58,16 @@ def test_memo_may_run_over(monkeypatch):
     assert np.allclose(model.score(some), [plain_score(model, t) for t in some])
 
 
+def test_subwords_in_parts_are_the_same(monkeypatch):
+    rng = random.Random(12)
+    some = ["".join(rng.choices("abcé日.,!", k=rng.randrange(12))) for _ in range(500)] + ["x" * 3000, "", "..."]
+    whole = subwords(some)
+    monkeypatch.setattr(toxicity, "SUBWORD_CHARS", 40)
+    parts = subwords(some)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, parts)) and len(parts[1]) == len(some)
+    assert [len(x) for x in subwords([])] == [0, 0]
+
+
 def test_one_label_or_none():
     assert (train(["a b"], [0]).score(["a", None]) < 0.5).all()
     assert (train([], []).score(["a"]) == 0.5).all()
