@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +25,9 @@ from ..operators.statements import (
     with_query_index,
 )
 from ..session import job_save_points, save_point
-from ..sources.files import FILE_KEYS, read_log_lines, read_script_lines
+from ..sources.files import FILE_KEYS, read_log_lines, read_script_lines, script_files, table_files
 from ..sources.sinks import staged, write_cleaned, write_errors, write_hierarchy, write_relations
+from ..sources.tables import read_line_table
 
 
 def _told(df: DataFrame) -> DataFrame:
@@ -108,6 +111,24 @@ def table_lineage_job(lines: DataFrame, out: str, run_name: str, **options) -> d
     return lineage_job(table_statements(lines), out, run_name, **options)
 
 
+def folder_lineage_job(
+    spark: SparkSession, path: str, out: str, run_name: str, types: DataFrame | None = None, views: DataFrame | None = None, **options
+) -> dict[str, DataFrame]:
+    """The lineage job over all scripts and line tables of a folder and all below it, or over one file.
+
+    Line tables come as CSV or Parquet. What their columns ``view_name`` hold extends the catalog, with ``views`` if given.
+    """
+    with job_save_points(spark):
+        tables = [read_line_table(spark, name) for name in table_files(spark, path)]
+        parts = [table_statements(lines) for lines, _ in tables]
+        if script_files(spark, path) or not parts:
+            parts.insert(0, script_statements(spark, path))
+        found = [v for v in (views, *(v for _, v in tables)) if v is not None]
+        statements = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        all_views = reduce(DataFrame.unionByName, found) if found else None
+        return lineage_job(statements, out, run_name, types=types, views=all_views, **options)
+
+
 def log_lineage_job(spark: SparkSession, path: str, out: str, run_name: str, **options) -> dict[str, DataFrame]:
     with job_save_points(spark):
         return lineage_job(log_file_statements(spark, path), out, run_name, **options)

@@ -15,6 +15,8 @@ LOG_FILES = "*.{[lL][oO][gG],[mM][sS][gG]}"
 
 SUFFIXES = {SCRIPT_FILES: (".txt", ".sql"), LOG_FILES: (".log", ".msg")}
 
+TABLE_FILES = (".csv", ".parquet")
+
 FILE_KEYS = ("script_file", "file_path")
 
 
@@ -22,24 +24,41 @@ def _hidden(name: str) -> bool:
     return name.startswith(("_", "."))
 
 
-def _refuse_hidden(spark: SparkSession, path: str, suffixes: tuple[str, ...]) -> None:
-    """Raise if the folder holds files to read whose name, or a folder's on the way, begins with ``_`` or ``.``:
-    Spark's file sources leave those out without a word."""
+def _listed(spark: SparkSession, path: str, suffixes: tuple[str, ...]) -> list[tuple[str, bool]]:
+    """Files of a folder and all below it, or one file, by suffix: each with whether its name, or a folder's on the way, is hidden."""
     top = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = top.getFileSystem(spark._jsc.hadoopConfiguration())
     if not system.exists(top):
-        return
+        return []
     above = len(system.getFileStatus(top).getPath().toUri().getPath().rstrip("/"))
     found, files = [], system.listFiles(top, True)
     while files.hasNext():
-        name = files.next().getPath().toUri().getPath()
+        file = files.next().getPath()
+        name = file.toUri().getPath()
         below = name[above:] or name.rsplit("/", 1)[-1]
-        if name.lower().endswith(suffixes) and any(map(_hidden, below.strip("/").split("/"))):
-            found.append(name)
+        if name.lower().endswith(suffixes):
+            found.append((file.toString(), any(map(_hidden, below.strip("/").split("/")))))
+    return sorted(found)
+
+
+def _refuse_hidden(spark: SparkSession, path: str, suffixes: tuple[str, ...]) -> None:
+    """Raise if the folder holds files to read whose name, or a folder's on the way, begins with ``_`` or ``.``:
+    Spark's file sources leave those out without a word."""
+    found = [name for name, hidden in _listed(spark, path, suffixes) if hidden]
     if found:
         raise ValueError(f"{len(found)} files have hidden names and would not be read: {', '.join(sorted(found)[:20])}")
 
 
+def script_files(spark: SparkSession, path: str) -> list[str]:
+    return [name for name, _ in _listed(spark, path, SUFFIXES[SCRIPT_FILES])]
+
+
+def table_files(spark: SparkSession, path: str) -> list[str]:
+    """Line tables of a folder and all below it, or one file. Each has headers of its own, so each is read by itself."""
+    _refuse_hidden(spark, path, TABLE_FILES)
+    return [name for name, _ in _listed(spark, path, TABLE_FILES)]
+
+
 def _script_name() -> Column:
     """The file's name as it is, not as in a URL, without its suffix."""
     name = F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))

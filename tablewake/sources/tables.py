@@ -105,6 +105,11 @@ def read_script_table(
     )
 
 
+def read_line_table(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """A line table as `read_script_table` gives it, and the view names it brings along, if any."""
+    return read_script_table(spark, path, multi_line=multi_line), view_names(_read(spark, path, multi_line))
+
+
 def view_names(df: DataFrame) -> DataFrame | None:
     """The view names a line table brings along, if it has a column ``view_name``."""
     return df.select(F.col("view_name").cast("string")) if "view_name" in df.columns else None

@@ -220,6 +220,28 @@ def test_script_job_end_to_end(spark, folder):
     ]
 
 
+def test_a_folder_of_scripts_and_line_tables(spark, tmp_path):
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "one.sql").write_text("insert into a.b select * from v1;\nsel 1 from d.v2")
+    (tmp_path / "in" / "views.csv").write_text('view_name,LineNumber,view_sql\nd.v2,2,"from x.y\n join x.z on 1=1"\nd.v2,1,replace view d.v2 as sel *\n')
+    spark.createDataFrame([("q", 1, "delete from a.b where 1 in (sel 1 from x.y);what")], "QueryNumber string, LineNumber int, sql string").coalesce(1).write.parquet(str(tmp_path / "t"))
+    (file,) = (tmp_path / "t").glob("*.parquet")
+    file.rename(tmp_path / "in" / "deep" / "tab.parquet")
+    types = spark.createDataFrame([("x.y", "T", 1), ("a.b", "T", 2)], "obj_name string, table_kind string, ord long")
+    stats = jobs.folder_lineage_job(spark, str(tmp_path / "in"), str(tmp_path / "out"), "r", types=types)
+    assert rows(stats["statistics"], "total_queries", "failed_queries") == [(5, 1)]
+    got = spark.read.parquet(str(tmp_path / "out" / "r-relations"))
+    assert rows(got.drop("relationship")) == [
+        ("ONE", "A.B", "ONE.V1", "TABLE", "VOLTABLE"),
+        ("ONE", "R-ONE", "D.V2", "UNKNOWN", "VIEW"),
+        ("TAB", "A.B", "X.Y", "TABLE", "TABLE"),
+        ("VIEWS", "D.V2", "X.Y", "VIEW", "TABLE"),
+        ("VIEWS", "D.V2", "X.Z", "VIEW", "VOLTABLE"),
+    ]
+    jobs.folder_lineage_job(spark, str(tmp_path / "in" / "views.csv"), str(tmp_path / "one"), "r")
+    assert spark.read.parquet(str(tmp_path / "one" / "r-relations")).count() == 2
+
+
 def test_log_jobs(spark, folder):
     path, out = str(folder / "in"), str(folder / "clean")
     jobs.clean_logs_job(spark, path, out)
