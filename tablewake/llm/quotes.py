@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewake.llm.ordering import with_running_sum
@@ -80,14 +80,28 @@ def _branch_paths(branches: DataFrame) -> DataFrame:
     return paths.select("conv_id", "root_turn", "path")
 
 
-def own_text(lines: DataFrame) -> DataFrame:
-    """``conv_id``, ``turn``, ``text`` (the lines of level 0, trimmed), ``n_quoted`` (how many lines are quoted)."""
+def _has_marks() -> Column:
+    return F.coalesce(F.col("text").contains(">"), F.lit(False))
+
+
+def _trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def own_text(messages: DataFrame) -> DataFrame:
+    """``conv_id``, ``turn``, ``text`` (the lines of level 0, trimmed), ``n_quoted`` (how many lines are quoted).
+
+    Only messages with a quote mark are cut into lines.
+    """
+    plain = _trimmed(F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n", "\n"))
+    unmarked = messages.where(~_has_marks()).select("conv_id", "turn", plain.alias("text"), F.lit(0).cast("long").alias("n_quoted"))
+    lines = quoted_lines(messages.where(_has_marks()))
     own = lines.groupBy("conv_id", "turn").agg(
         F.sort_array(F.collect_list(F.when(F.col("level") == 0, F.struct("no", "line")))).alias("l"),
         F.count_if(F.col("level") > 0).alias("n_quoted"),
     )
-    text = F.regexp_replace(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), r"^\s+|\s+$", "")
-    return own.select("conv_id", "turn", text.alias("text"), "n_quoted")
+    text = _trimmed(F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
+    return own.select("conv_id", "turn", text.alias("text"), "n_quoted").unionByName(unmarked)
 
 
 def reply_order(messages: DataFrame) -> DataFrame:
@@ -107,8 +121,10 @@ def reply_order(messages: DataFrame) -> DataFrame:
     known = messages.where("conv_id is not null and turn is not null").groupBy("conv_id", "turn")
     known = known.agg(F.min(F.struct("role", "text")).alias("m"))
     known = save_point(known.select("conv_id", F.col("turn").cast("long").alias("turn"), "m.role", "m.text"))
-    lines = quoted_lines(known)
-    own = own_text(lines)
+    own = own_text(known)
+    # Messages are linked only in conversations where one has a quote mark.
+    quoting = known.where(_has_marks()).select("conv_id").distinct()
+    lines = quoted_lines(known.join(quoting, "conv_id", "left_semi"))
     one = F.lit(1).cast("long")
     counted = with_running_sum(known.select("conv_id", "turn", "role"), [F.col("conv_id"), F.col("turn")], rows=one)
     at = save_point(
@@ -138,19 +154,29 @@ def reply_order(messages: DataFrame) -> DataFrame:
     )
 
 
+def _copies(numbered: DataFrame) -> DataFrame:
+    """Each row as often as ``copies`` says, with a number ``no`` of its own; very many come in parts."""
+    last, size = F.col("copies") - 1, F.lit(4096).cast("long")
+    parts = numbered.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / size))))
+    each = parts.withColumn("copy", F.explode(F.sequence(F.col("part") * size, F.least(last, F.col("part") * size + size - 1))))
+    return each.withColumn("no", F.col("rows_before") + F.col("copy")).drop("copies", "part", "copy", "rows_before", "rows_total")
+
+
 def whole_reply_order(messages: DataFrame) -> DataFrame:
     """``reply_order`` of every message: several of one turn follow each other by role and text, and messages without
     ``conv_id`` or ``turn`` come along without links, ``root_turn`` and ``position``.
 
     Messages are numbered over all conversations and ordered as if the numbers were their turns. ``parent_turn`` and
-    ``root_turn`` are the turns of the messages linked to, which may be the message's own if it shares its turn. Only
-    rows that repeat a message, its key, role and text, are one.
+    ``root_turn`` are the turns of the messages linked to, which may be the message's own if it shares its turn. Rows
+    that repeat a message, its key, role and text, follow each other. A quotation is linked within its conversation only; one
+    of another conversation's message is left out like any other.
     """
     some = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     keyed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
     order = [F.col(c) for c in ("conv_id", "turn", "role", "text")]
-    numbered = with_running_sum(some.where(keyed).distinct(), order, rows=F.lit(1).cast("long"))
-    numbered = save_point(numbered.withColumnRenamed("rows_before", "no").drop("rows_total"))
+    counted = some.where(keyed).groupBy(*some.columns).agg(F.count("*").alias("copies"))
+    numbered = _copies(with_running_sum(counted, order, rows=F.col("copies")))
+    numbered = save_point(numbered)
     turns = numbered.select("no", F.col("turn").alias("named"))
     ordered = reply_order(numbered.select("conv_id", F.col("no").alias("turn"), "role", "text"))
     # First messages have no parent: keys that match nothing keep them apart.
@@ -160,8 +186,8 @@ def whole_reply_order(messages: DataFrame) -> DataFrame:
         ordered = ordered.join(named, column, "left").drop(column).withColumnRenamed("named", column)
 
     loose = save_point(some.where(~keyed).withColumn("no", F.monotonically_increasing_id()))
-    lines = quoted_lines(loose.select(F.lit(None).cast(some.schema["conv_id"].dataType).alias("conv_id"), F.col("no").alias("turn"), "text"))
-    own = own_text(lines).select(F.col("turn").alias("no"), "text", "n_quoted")
+    unkeyed = loose.select(F.lit(None).cast(some.schema["conv_id"].dataType).alias("conv_id"), F.col("no").alias("turn"), "text")
+    own = own_text(unkeyed).select(F.col("turn").alias("no"), "text", "n_quoted")
     loose = loose.drop("text").join(own, "no").withColumns(
         {"parent_turn": F.lit(None).cast("long"), "quotes": F.lit(False), "root_turn": F.lit(None).cast("long"), "position": F.lit(None).cast("long")}
     )

@@ -1,5 +1,10 @@
+import collections
+import itertools
+import random
+import re
+
 from tablewake.llm.queries import QUERIES
-from tablewake.llm.quotes import quoted_lines, reply_order
+from tablewake.llm.quotes import ATTRIBUTION, quoted_lines, reply_order
 
 SCHEMA = "conv_id long, turn long, role string, text string, level string, position string"
 A, B, C = "I think the first plan\nis the best of all.", "No, take the second.", "Both are fine with me."
@@ -30,6 +35,55 @@ def test_quotations_are_linked_and_left_out(spark):
     assert [rows[t].position for t in range(8)] == [0, 3, 7, 1, 2, 4, 5, 6]
 
 
+def plain_links(talk):
+    """By definition, from the whole texts: quoted lines and runs of them against what each earlier message says itself."""
+    def parts(text):
+        lines, out = [], []
+        raw = re.split("\r?\n", text or "")
+        for i, line in enumerate(raw):
+            marks = re.match(r"(?:\s*>)*", line).group()
+            level = marks.count(">")
+            named = not level and re.search(ATTRIBUTION, line) and i + 1 < len(raw) and re.match(r"\s*>", raw[i + 1])
+            norm = " ".join(re.sub(r"^(?:\s*>)+ ?", "", line).lower().split())
+            if norm and not named:
+                lines.append((level, norm))
+        for level, run in itertools.groupby(lines, lambda x: x[0]):
+            run = [n for _, n in run]
+            out += [(level, n) for n in run] + ([(level, " ".join(run))] if len(run) > 1 else [])
+        return set(out)
+
+    said = {t: parts(text) for t, text in talk}
+    links = {}
+    for t, _ in talk:
+        sums = collections.Counter()
+        for level, norm in said[t]:
+            sources = [u for u in said if u < t and (0, norm) in said[u]]
+            if level and sources:
+                sums[level, max(sources)] += len(norm)
+        if sums:
+            links[t] = max(sums, key=lambda k: (-k[0], sums[k], k[1]))[1]
+    return links
+
+
+def test_links_are_those_of_all_pairs(spark):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for conv in range(25):
+        talk, vocabulary = [], [f"line {i} of {conv}" for i in range(8)]
+        for t in range(12):
+            lines = []
+            for _ in range(rng.randrange(6)):
+                lines.append(rng.choice(["", "", "> ", ">", "> > ", ">> "]) + rng.choice(vocabulary).replace(" ", rng.choice([" ", "  "])))
+            if rng.random() < 0.3:
+                lines.insert(0, "Bob wrote:")
+            talk.append((t, rng.choice(["\n", "\r\n"]).join(lines)))
+        rows += [(conv, t, x) for t, x in talk]
+        want |= {(conv, t): p for t, p in plain_links(talk).items()}
+    rows.append((99, 0, "> " * 3 + "deep\n" + "very long own line " * 40_000))
+    got = {(r.conv_id, r.turn): r.parent_turn for r in found(spark, rows) if r.quotes}
+    assert got == want and len(want) > 50
+
+
 def walk(parents, turn):
     """Branches of a message before the message that follows it, by turn within each."""
     children = sorted(t for t, p in parents.items() if p == turn)
@@ -77,7 +131,7 @@ def test_the_query_keeps_every_message(spark, tmp_path):
     second = sorted(got.where("conv_id = 2").collect(), key=lambda r: r.position)
     assert [(r.turn, r.role, r.text, r.parent_turn, r.quotes, r.root_turn, r.position) for r in second] == [
         (0, "assistant", "It is this.", None, False, 0, 0), (1, "user", "Why?", 0, True, 1, 1),
-        (0, "user", "What is it?", 0, False, 0, 2), (1, None, "", 0, False, 0, 3),
+        (0, "user", "What is it?", 0, False, 0, 2), (0, "user", "What is it?", 0, False, 0, 3), (1, None, "", 0, False, 0, 4),
     ]
     loose = got.where("conv_id is null or turn is null").collect()
     assert sorted(((r.conv_id, r.turn, r.role, r.text, r.n_quoted) for r in loose), key=str) == sorted(
