@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablewake.llm import decontaminate, language, packing, simhash_dedup, toxicity
 from tablewake.llm.queries import byte_bpe, byte_bpe_added, language_may_learn, toxicity_may_learn
-from tablewake.session import counted_save_point, shared_folder
+from tablewake.session import counted_save_point, save_folder
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -67,7 +67,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    # Below the save points, so that `clear_save_points` removes the stages' tables, too, once the result is written.
+    folder = f"{save_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")

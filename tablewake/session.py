@@ -48,14 +48,15 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
-def _save_folder(spark: SparkSession) -> str:
+def save_folder(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
     return f"{shared_folder(spark)}/tablewake-{spark.sparkContext.applicationId}"
 
 
 @contextmanager
 def job_save_points(spark: SparkSession) -> Iterator[None]:
     """Intermediate tables written inside go when the block ends, also if it fails."""
-    _job_folders.append(f"{_save_folder(spark)}/job-{uuid.uuid4().hex}")
+    _job_folders.append(f"{save_folder(spark)}/job-{uuid.uuid4().hex}")
     try:
         yield
     finally:
@@ -64,7 +65,7 @@ def job_save_points(spark: SparkSession) -> Iterator[None]:
 
 def clear_save_points(spark: SparkSession) -> None:
     """Remove the intermediate tables of this application, once its results are written."""
-    remove_folder(spark, _save_folder(spark))
+    remove_folder(spark, save_folder(spark))
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:
@@ -84,7 +85,7 @@ def counted_save_point(
     df: DataFrame, partition_by: Sequence[str] = (), **counts: Column
 ) -> tuple[DataFrame, dict[str, int]]:
     """`save_point`, with the number of ``rows`` and of rows that meet each condition, taken on the way."""
-    path = f"{_job_folders[-1] if _job_folders else _save_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{_job_folders[-1] if _job_folders else save_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     seen = Observation()
     counted = df.observe(
         seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(n) for n, c in counts.items()]

@@ -284,7 +284,7 @@ def test_empty_input(spark, tmp_path):
 
 def test_jobs_leave_no_intermediate_tables(spark, folder):
     def saved():
-        return {p for p in Path(session._save_folder(spark)).rglob("*") if p.is_dir()}
+        return {p for p in Path(session.save_folder(spark)).rglob("*") if p.is_dir()}
 
     before = saved()
     out = str(folder / "out")
