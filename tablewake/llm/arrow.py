@@ -23,7 +23,10 @@ def add_columns(
     """
     names = [f.name for f in added]
     kept = [f for f in df.schema.fields if f.name not in names]
-    hidden = [f"__in{i}" for i in range(len(inputs))]
+    mark = "__in"
+    while any(f.name.startswith(mark) for f in kept):
+        mark += "_"
+    hidden = [f"{mark}{i}" for i in range(len(inputs))]
     source = df.select(*[quoted(f.name) for f in kept], *[quoted(c).alias(h) for c, h in zip(inputs, hidden)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

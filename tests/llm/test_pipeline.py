@@ -51,6 +51,40 @@ def test_stages_on_all_their_predecessors_kept(spark, small, tmp_path):
             seen = kept
 
 
+def written(spark, folder, docs, small):
+    """A folder of the tables that the pipeline reads, with other documents."""
+    docs.write.parquet(f"{folder}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{small}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_odd_rows_pass_through_all_stages(spark, small, tmp_path):
+    """Null ids and texts, empty and very long texts, repeated rows, and columns named like those that stages add."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(60)
+    text = docs.first().text
+    odd = [(None, text + " so without an id", "en"), (None, None, None), (800001, None, "en"), (800002, "", None), (800003, text[:300] * 400, "en")]
+    odd += [(800004, text[::-1], "en")] * 2
+    extra = spark.createDataFrame([(i, t, lang, "s", 1) for i, t, lang in odd], docs.schema)
+    clash = ("score", "predicted", "toxic", "lang_pred", "name", "component_id", "start", "sequence_id", "__in0")
+    mixed = docs.unionByName(extra).withColumns({c: F.lit("clash") for c in clash})
+    folder = written(spark, tmp_path, mixed, small)
+    kept = mixed
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, folder)
+        assert kept.columns == mixed.columns
+    rows = corpus_pipeline.run(spark, folder).collect()
+    ids = {r.doc_id for r in rows}
+    # A text without a letter has no language; repeated rows are one document; rows without an id are packed.
+    assert not ids & {800001, 800002} and {None, 800003} <= ids
+    assert sum(r.length for r in rows if r.doc_id == 800003) > 40_000
+
+
+def test_no_documents(spark, small, tmp_path):
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("false")
+    assert corpus_pipeline.run(spark, written(spark, tmp_path, docs, small)).count() == 0
+
+
 def test_documents_in_no_known_language_go(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     plain = docs.where("text rlike '[a-z]{3}'")
