@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import trim_strings
-from ..session import counted_save_point, gathered, save_point, short_tables_together
+from ..session import counted_save_point, save_point, short_tables_together
 
 RELATION_COLUMNS = (
     "script_file",
@@ -187,39 +185,52 @@ def cycle_components(links: DataFrame) -> DataFrame:
     return members
 
 
-def _one_further(states: DataFrame, hops: DataFrame, depth: int) -> DataFrame:
-    """The states, and those one link further than the ones of ``depth``. Names passed are kept as long as the component they lie
-    in is not left. Each name has a hop to itself that keeps its states, so that many steps make one chain of joins."""
-    again = F.coalesce(F.array_contains("passed", F.col("next")) | F.array_contains("faced", F.col("next")), F.lit(False))
+def _union(one: str, other: str) -> Column:
+    return F.array_sort(F.array_union(one, other))
+
+
+def _composed(ways: DataFrame, further: DataFrame) -> DataFrame:
+    """Ways (``table`` to ``next``) lengthened by further ones. Of equal ones the longest counts, which only a limit of depth sees."""
+    on = further.select(F.col("table").alias("next"), *[F.col(c).alias(f"_{c}") for c in ("next", "trail", "faced", "steps")])
+    longer = ways.join(on, "next").select(
+        "table", F.col("_next").alias("next"), _union("trail", "_trail").alias("trail"), _union("faced", "_faced").alias("faced"),
+        (F.col("steps") + F.col("_steps")).alias("steps"),
+    )
+    return longer.groupBy("table", "next", "trail", "faced").agg(F.max("steps").alias("steps"))
+
+
+def _ways_inside(inside: DataFrame, faced_name: Column) -> DataFrame:
+    """Ways of one link or more along names of one strongly connected component, none of which comes twice."""
+    links, size = counted_save_point(inside.withColumn("faced", faced_name))
     nothing = F.array().cast("array<string>")
-    own = F.when(F.col("component").isNotNull(), F.array("next")).otherwise(nothing)
-    passed = F.when(F.col("stays"), F.array_sort(F.array_union("passed", own))).otherwise(own)
-    faced = F.when(F.col("two_faced"), F.array_sort(F.array_union("faced", F.array("next")))).otherwise(F.col("faced"))
-    kept = lambda name, new: F.when(F.col("kept"), F.col(name)).otherwise(new).alias(name)
-    return (
-        states.join(hops, "table")
-        .where(F.col("kept") | ((F.col("depth") == depth) & ~again))
-        .select(
-            "start",
-            F.col("next").alias("table"),
-            kept("passed", passed),
-            kept("faced", faced),
-            kept("trail", F.array_sort(F.array_union("trail", F.array("script")))),
-            kept("depth", F.lit(depth + 1)),
-        )
-        .distinct()
-    )
+    level = links.select(F.col("table").alias("start"), "table").distinct()
+    level = level.select("start", "table", F.array("start").alias("passed"), nothing.alias("trail"), nothing.alias("faced"), F.lit(0).alias("steps"))
+    level, found = counted_save_point(level)
+    states, steps = level.where("false"), 0
+    hops = links.select("table", "next", "script", F.col("faced").alias("_faced"))
+    while found["rows"]:
+        together = _together(max(found["rows"], size["rows"]))
+        level = together(level).join(together(hops), "table").where(~F.array_contains("passed", F.col("next")))
+        steps += 1
+        level = level.select(
+            "start", F.col("next").alias("table"), F.array_sort(F.concat("passed", F.array("next"))).alias("passed"),
+            _union("trail", F.array("script")).alias("trail"), _union("faced", "_faced").alias("faced"), F.lit(steps).alias("steps"),
+        ).distinct()
+        level, found = counted_save_point(level)
+        states = states.unionByName(level)
+    ways = states.groupBy(F.col("start").alias("table"), F.col("table").alias("next"), "trail", "faced")
+    return ways.agg(F.max("steps").alias("steps"))
 
 
 def volatile_closure(definitions: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Non-volatile ancestors of the volatile tables in ``starts``, over all simple paths.
 
     Returns ``start, parent_table_name, parent_table_type, trail`` (sorted array of the scripts on the
-    way), distinct. Each start is walked once however many edges lead to it. A step joins the
-    states with the volatile-to-volatile links only; the exits to other tables are joined once, at the
-    end. Of the names passed, a state keeps those that could come again, as a sorted set: the ones in the
-    strongly connected component it is in, until it leaves that. So paths that differ in nothing else
-    merge, and without cycles no path is kept at all.
+    way), distinct. Names can come again only within a strongly connected component, so the ways through each component are
+    walked first, link by link, with the names passed. A way along a component followed by a link out of it is then one step
+    of a graph without cycles, where no name need be remembered. Ways of 1, 2, 4, ... steps are made by joining the last with
+    itself, so rounds grow with the logarithm of the depth; starts are lengthened by each in turn. Ways that differ in
+    nothing but the tables passed merge, and each start is walked once however many edges lead to it.
     """
     table = F.col("volatile_table")
     to_volatile = is_volatile("parent_table_type")
@@ -234,57 +245,43 @@ def volatile_closure(definitions: DataFrame, starts: DataFrame, max_depth: int |
     two_faced = two_faced.withColumn("two_faced", F.lit(True))
     components, found = counted_save_point(cycle_components(links))
     components = _together(found["rows"])(components)
-    stay = defined.select("next", F.col("next").alias("table"), F.lit(None).cast("string").alias("script"), F.lit(True).alias("kept"))
     ends = lambda of, c: components.select(F.col("name").alias(of), F.col("component").alias(c))
-    steps, size = counted_save_point(links.withColumn("kept", F.lit(False)).unionByName(stay))
+    links, size = counted_save_point(links)
     together = _together(size["rows"])
-    steps = together(together(together(steps).join(ends("table", "before"), "table", "left")).join(ends("next", "component"), "next", "left"))
-    hops, size = counted_save_point(
-        steps.join(two_faced, "next", "left").select(
-            "table", "next", "script", "kept", "component",
-            F.coalesce(F.col("before") == F.col("component"), F.lit(False)).alias("stays"),
-            F.coalesce("two_faced", F.lit(False)).alias("two_faced"),
-        )
-    )
-    starts, count = counted_save_point(starts.distinct())
-    hops = gathered(hops, size["rows"])
-    together = _together(max(size["rows"], count["rows"]))
-    starts = together(starts)
     nothing = F.array().cast("array<string>")
-    level = (
-        together(together(starts.join(defined.withColumnRenamed("next", "start"), "start")).join(ends("start", "component"), "start", "left"))
-        .join(two_faced.withColumnRenamed("next", "start"), "start", "left")
-        .select(
-            "start",
-            F.col("start").alias("table"),
-            F.when(F.col("component").isNotNull(), F.array("start")).otherwise(nothing).alias("passed"),
-            F.when(F.col("two_faced"), F.array("start")).otherwise(nothing).alias("faced"),
-            nothing.alias("trail"),
-        )
+    faced = lambda name: F.when(F.col("two_faced"), F.array(name)).otherwise(nothing)
+    placed = together(together(together(links).join(ends("table", "before"), "table", "left")).join(ends("next", "behind"), "next", "left"))
+    stays = F.coalesce(F.col("before") == F.col("behind"), F.lit(False)).alias("stays")
+    placed, size = counted_save_point(
+        placed.join(two_faced, "next", "left").select("table", "next", "script", faced("next").alias("faced"), stays), inside=F.col("stays")
     )
-    level, found = counted_save_point(level.withColumn("depth", F.lit(0)))
-    states, depth, levels = None, 0, FIRST_BATCH
-    while True:
-        level = gathered(level, found["rows"])
-        for _ in range(levels):
-            level = _one_further(level, hops, depth)
-            depth += 1
-        batch, found = counted_save_point(
-            level, deepest=F.col("depth") == depth, too_deep=F.col("depth") > (depth if max_depth is None else max_depth)
-        )
-        if found["too_deep"]:
-            raise RuntimeError(f"volatile tables nest deeper than {max_depth}")
-        states = batch if states is None else states.unionByName(batch)
-        if not found["deepest"]:
-            break
-        level = batch.where(F.col("depth") == depth)
-        # States may grow at each step; a batch that begins with many takes few.
-        levels = min(2 * levels, LAST_BATCH) if found["rows"] < TOGETHER else FIRST_BATCH
+    inside = placed.where("stays").select("table", "next", "script", "faced")
+    inner = save_point(_ways_inside(inside, F.col("faced"))) if size["inside"] else None
+
+    identity = defined.select(F.col("next").alias("table"), "next", nothing.alias("trail"), nothing.alias("faced"), F.lit(0).alias("steps"))
+    across = placed.where("NOT stays").select("table", "next", F.array("script").alias("trail"), "faced", F.lit(1).alias("steps"))
+    step = across if inner is None else _composed(inner, across).unionByName(across)
+    starts, count = counted_save_point(starts.distinct())
+    begun = _together(count["rows"])(starts).join(defined.withColumnRenamed("next", "start"), "start")
+    begun = begun.join(two_faced.withColumnRenamed("next", "start"), "start", "left")
+    reached = begun.select(F.col("start").alias("table"), F.col("start").alias("next"), nothing.alias("trail"), faced("start").alias("faced"), F.lit(0).alias("steps"))
+    reached, count = counted_save_point(reached)
+    step, found = counted_save_point(step)
+    while found["rows"]:
+        together = _together(max(found["rows"], count["rows"]))
+        step = together(step)
+        reached, count = counted_save_point(_composed(together(reached), together(step.unionByName(identity))))
+        step, found = counted_save_point(_composed(step, step))
+    if inner is not None:
+        together = _together(max(size["rows"], count["rows"]))
+        reached = _composed(together(reached), together(inner.unionByName(identity)))
+    reached, found = counted_save_point(reached, too_deep=F.col("steps") > (F.col("steps") if max_depth is None else max_depth))
+    if found["too_deep"]:
+        raise RuntimeError(f"volatile tables nest deeper than {max_depth}")
     passed = F.coalesce(F.array_contains("faced", F.col("parent_table_name")), F.lit(False))
     return (
-        states.drop("depth")
-        .distinct()
-        .join(exits.withColumnRenamed("volatile_table", "table"), "table")
+        reached.select(F.col("table").alias("start"), F.col("next").alias("volatile_table"), "trail", "faced")
+        .join(exits, "volatile_table")
         .where(~passed)
         .select(
             "start",
