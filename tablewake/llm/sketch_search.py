@@ -71,7 +71,6 @@ class Searcher:
             weights = self.weight[some] * np.fromiter(counts.values(), np.int64, len(counts))
             self.queries.append((some, weights))
             np.add.at(lookup[:, q], at[some], weights)
-        # Whole numbers below 2**53, so the products below are exact.
         self.lookup = lookup
         self.found: list[list[tuple]] = [[] for _ in items.counts]
         self.reach = np.zeros(len(items.counts))
@@ -94,7 +93,8 @@ class Searcher:
         at = np.fromiter((crc32(t) % self.width for c in counts for t in c), np.int64, len(doc))
         sketch = np.zeros((len(counts), self.width))
         np.maximum.at(sketch, (doc, at), impact)
-        bounds = sketch @ self.lookup
+        # A trace more than the sums, which are rounded for queries of very many terms.
+        bounds = (sketch @ self.lookup) * (1 + 1e-9)
         known = np.fromiter((self.number.get(t, -1) for c in counts for t in c), np.int64, len(doc))
         asked = known >= 0
         known, impact = known[asked], impact[asked]
