@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+#: Rows of a batch that are worked on at a time.
+ROWS = 1_000
+
 
 def add_columns(
     df: DataFrame,
@@ -16,7 +19,7 @@ def add_columns(
     added: list[StructField],
     work: Callable[..., list[pa.Array]],
 ) -> DataFrame:
-    """``df`` with columns computed from ``inputs`` by ``work``, batch by batch, in the tasks that hold the rows.
+    """``df`` with columns computed from ``inputs`` by ``work``, some rows at a time, in the tasks that hold the rows.
 
     ``work`` gets one Arrow array for each input and gives one for each added column. A column of
     ``df`` with the name of an added one is replaced.
@@ -30,11 +33,16 @@ def add_columns(
     source = df.select(*[quoted(f.name) for f in kept], *[quoted(c).alias(h) for c, h in zip(inputs, hidden)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_columns - len(hidden)
-            made = work(*[batch.column(n + i) for i in range(len(hidden))])
-            names_out = batch.schema.names[:n] + names
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n)] + made, names=names_out)
+        for whole in batches:
+            for low in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(low, ROWS)
+                n = batch.num_columns - len(hidden)
+                made = work(*[batch.column(n + i) for i in range(len(hidden))])
+                names_out = batch.schema.names[:n] + names
+                yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n)] + made, names=names_out)
+        # The next task of this worker may need little.
+        whole = batch = None
+        pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, StructType(kept + added))
 

@@ -30,6 +30,8 @@ MEMO_TOKENS = 150_000
 CHARS_AT_ONCE = 1_000_000
 #: Characters of tokens that are cut into subwords at a time.
 SUBWORD_CHARS = 200_000
+#: Subwords whose sums are taken at a time.
+SUBWORDS_AT_ONCE = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _EDGE = " \t\r\n.,;:!?…\"'()[]{}<>«»„“”‘’%&$#*+-=/\\|~^`_"
 
@@ -148,6 +150,15 @@ class Model:
         return _probability(windows.pool(logits, self.sharp)[0])
 
 
+def _summed(at: np.ndarray, values, size: int) -> np.ndarray:
+    """Sums of ``values`` (of a slice) by place, some at a time, since counting copies all that it counts."""
+    out = np.zeros(size)
+    for low in range(0, len(at), SUBWORDS_AT_ONCE):
+        some = slice(low, low + SUBWORDS_AT_ONCE)
+        out += np.bincount(at[some], values(some), size)
+    return out
+
+
 def train(texts: list[str], labels: list[int], steps: int = STEPS, window: int = WINDOW, seed: int = 7) -> Model:
     """Subword vectors and the softmax over them, trained jointly by full-batch Adam.
 
@@ -179,15 +190,16 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS, window: int =
     for step in range(steps):
         softmax, vectors, bias = state
         sharp = SHARP[0] + (SHARP[1] - SHARP[0]) * min(1.0, step / (0.7 * steps))
-        value = np.bincount(token_of, (vectors @ softmax)[flat], len(per_token))
+        pulled = vectors @ softmax
+        value = _summed(token_of, lambda some: pulled[flat[some]], len(per_token))
         logits = windows.sum(value[at]) / sizes + bias[0]
         pooled, pull = windows.pool(logits, sharp)
         error = (_probability(pooled) - truth) * share
         each = error[windows.of_text] * pull / sizes
         # A token's part is the sum over the windows that hold it.
         ends = np.bincount(windows.low, each, len(at) + 1) - np.bincount(windows.high, each, len(at) + 1)
-        part = np.bincount(at, np.cumsum(ends)[:-1], len(per_token))[token_of]
-        part = np.bincount(flat, part, BUCKETS).astype(np.float32)
+        of_token = np.bincount(at, np.cumsum(ends)[:-1], len(per_token))
+        part = _summed(flat, lambda some: of_token[token_of[some]], BUCKETS).astype(np.float32)
         slopes = [vectors.T @ part, part[:, None] * softmax[None, :], np.array([error.sum()], np.float32)]
         for k, (p, g, (m, v)) in enumerate(zip(state, slopes, moments)):
             m += 0.1 * (g - m)
