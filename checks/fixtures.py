@@ -9,9 +9,11 @@ import string
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewake.session import spread
+from tablewake.session import spread, spread_evenly
 
-LONG_TABLES = ("documents", "events", "lineitem", "orders")
+LONG_TABLES = ("documents", "events", "lineitem")
+#: Each row becomes a statement to parse.
+STATEMENT_TABLES = ("orders",)
 
 FIXTURES = {
     # Statements of every kind, with clauses to remove, literals, comments and empty ones.
@@ -196,8 +198,10 @@ def tables_of(sql: str) -> list[str]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; the long ones are shared out if they come as few splits."""
+    """A driver table; the long ones are shared out if they come as few splits, those that become statements always."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in STATEMENT_TABLES:
+        return spread_evenly(df)
     return spread(df) if name in LONG_TABLES else df
 
 

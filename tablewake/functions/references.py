@@ -55,26 +55,29 @@ def _any(*words: str) -> str:
 
 
 _IS_NAME = "(?!" + _any("from", "join", "using", "select", "sel", "with", *ENDS_LIST, *NO_NAME) + ")"
-_ALIAS = rf"(?:\s+as{ENDS})?\s*{_IS_NAME}{NAME}(?!\s*\.)(?!\s+with\s+(?:no\s+)?data{ENDS})"
+_ALIAS = rf"(?:\s+as{ENDS})?\s*({_IS_NAME}{NAME})(?!\s*\.)(?!\s+with\s+(?:no\s+)?data{ENDS})"
+_LATERAL = rf"(?:\s*lateral{ENDS})?"
 _CREATED = (
     rf"(?:\s+or\s+replace)?(?:\s+(?:multiset|set|volatile|global|temporary|trace|recursive){ENDS})*+"
     rf"\s+(?:table|view|join\s+index){ENDS}(?:\s+if\s+not\s+exists{ENDS})?"
 )
 #: A key word, any open parentheses behind it, a name with its alias, and the parenthesis of a function's call. Quoted
-#: names elsewhere, and the FROM of IS [NOT] DISTINCT FROM, are passed over.
+#: names elsewhere, and the FROM of IS [NOT] DISTINCT FROM, are passed over. Where no word, comma or parenthesis begins, one look
+#: ahead and one behind say so, in place of one for each kind of word.
 UNIT = (
-    rf'(?i)"[^"]*"|{BEGINS}is\s+(?:not\s+)?distinct\s+from{ENDS}'
-    rf"|(?:((?:{BEGINS}(?:from|join){ENDS}|,)(?=\s*(?:lateral{ENDS})?))(?:\s*lateral{ENDS})?"
-    rf"|{BEGINS}({_any('using', 'select', 'sel', 'drop', *ENDS_LIST)})"
-    rf"|{BEGINS}({_any('insert', 'ins', 'update', 'upd', 'merge', 'delete', 'del', 'with')})(?!(?<=with)\s+(?:no\s+)?data{ENDS})(?:\s+(?:into|recursive){ENDS})?"
-    rf"|{BEGINS}({_any('create', 'replace')}){_CREATED}"
-    rf"|{BEGINS}(as{ENDS})(?=\s+{TABLE}\s+with\s+(?:no\s+)?data{ENDS})"
+    rf'"[^"]*"|(?>(?=[(),])|(?=[a-zA-Z]){BEGINS})(?i:'
+    rf"(?:(,){_LATERAL}"
+    rf"|({_any('from', 'join')}){_LATERAL}"
+    rf"|({_any('using', 'select', 'sel', 'drop', *ENDS_LIST)})"
+    rf"|({_any('insert', 'ins', 'update', 'upd', 'merge', 'delete', 'del', 'with')})(?!(?<=with)\s+(?:no\s+)?data{ENDS})(?:\s+(?:into|recursive){ENDS})?"
+    rf"|({_any('create', 'replace')}){_CREATED}"
+    rf"|(as{ENDS})(?=\s+{TABLE}\s+with\s+(?:no\s+)?data{ENDS})"
     r")((?:\s*\()*+)"
-    rf"(?:\s*({_IS_NAME}{TABLE}(?:{_ALIAS}|(?=\s*(\())|)))?"
-    rf"|{BEGINS}({_any('create', 'replace')})|([()])"
+    rf"(?:\s*({_IS_NAME}{TABLE})(?:{_ALIAS}|(?=\s*(\())|))?"
+    rf"|is\s+(?:not\s+)?distinct\s+from{ENDS}|({_any('create', 'replace')})|([()]))"
 )
-#: What a unit becomes: its word, its parentheses, its name and alias, and a mark if these are a function's.
-MARKED = "\x01$1$2$3$4$5$9$10\x02$6\x02$7\x02$8\x02"
+#: What a unit becomes: its word, its parentheses, its name, alias, and a mark if these are a function's.
+MARKED = "\x01$1$2$3$4$5$6$11$12\x02$7\x02$8\x02$9\x02$10\x02"
 
 
 def readable(sql: Column) -> Column:
@@ -94,35 +97,39 @@ def _look_up(names: dict[str, str], key: Column) -> Column:
 
 def plain_name(name: Column) -> Column:
     """Parts joined by dots; quotes stay only around a part that holds a dot itself."""
-    return F.regexp_replace(F.regexp_replace(name, r'\s*\.\s*(["\p{L}_])', ".$1"), r'"([^".]*)"', "$1")
+    whole = F.regexp_replace(F.regexp_replace(name, r'\s*\.\s*(["\p{L}_])', ".$1"), r'"([^".]*)"', "$1")
+    # Most names hold neither blanks nor quotes and are as they should be.
+    return F.when(F.translate(name, '" \t\n\x0b\f\r', "") == name, name).otherwise(whole)
 
 
 def units(text: Column) -> Column:
-    """``part``, ``parentheses`` (as many open ones as follow), ``name`` (with alias) and ``called`` of each key word."""
+    """``part``, ``parentheses`` (as many open ones as follow), ``name``, ``alias`` and ``called`` of each key word."""
     marked = F.regexp_replace(text, UNIT, MARKED)
 
-    def of(unit: Column) -> Column:
-        fields = F.split(unit, "\x02")
+    def of(fields: Column) -> Column:
         return F.struct(
             _look_up(PARTS, F.lower(fields[0])).alias("part"),
-            F.regexp_replace(fields[1], r"\s", "").alias("parentheses"),
+            F.translate(fields[1], " \t\n\x0b\f\r", "").alias("parentheses"),
             fields[2].alias("name"),
-            (fields[3] != "").alias("called"),
+            fields[3].alias("alias"),
+            (fields[4] != "").alias("called"),
         )
 
-    return F.filter(F.transform(F.slice(F.split(marked, "\x01"), 2, 1 << 30), of), lambda u: u["part"].isNotNull())
+    fields = F.transform(F.slice(F.split(marked, "\x01"), 2, 1 << 30), lambda unit: F.split(unit, "\x02"))
+    return F.filter(F.transform(fields, of), lambda u: u["part"].isNotNull())
 
 
 def _step(state: Column, unit: Column) -> Column:
     """One unit further.
 
-    ``open`` has a sign for each open parenthesis and the statement itself: s no verb so far, d a delete without a target yet, c what is created, w common table expressions, 0 no query, 1 a query, 2 a query's table
-    list. ``found`` gets a line for each name: what it is, and the name with its alias.
+    ``top`` is a sign for the innermost open parenthesis, ``rest`` has one for each of those around it and the statement itself: s no verb
+    so far, d a delete without a target yet, c what is created, w common table expressions, 0 no query, 1 a query, 2 a query's table
+    list. ``found`` gets a line for each name: what it is, the name and its alias. An aggregate's expressions are evaluated
+    wherever they stand, so the innermost sign is a field of its own.
     """
     part, name, inner = unit["part"], unit["name"], unit["parentheses"]
-    opened = state["open"]
-    top = F.right(opened, F.lit(1))
-    below = F.left(opened, F.length(opened) - 1)
+    top, rest = state["top"], state["rest"]
+    named = F.concat(name, F.lit("\x02"), unit["alias"])
     verb = (top == "s") & part.isin(*_VERBS)
     lists = part.isin("from", "join") & ~top.isin("0", "s")
     in_list = (part == ",") & (top == "2")
@@ -139,41 +146,42 @@ def _step(state: Column, unit: Column) -> Column:
     table = (
         ((lists & ~deletes) | in_list | ((part == "using") & (inner == "") & ~top.isin("0", "s"))) & ~unit["called"]
     ) | ((part == "copy") & top.isin("c", "w"))
-    selects = part.isin("select", "with") & F.startswith(opened, F.lit("s"))
+    selects = part.isin("select", "with") & F.startswith(F.concat(rest, top), F.lit("s"))
     found = (
-        F.when(verb, F.concat(F.lit("\x01"), part, F.lit("\x02"), F.when((inner == "") & (part != "Drop"), name).otherwise("")))
-        .when(selects & (part == "select"), "\x01Select\x02")
-        .when(selects, F.concat(F.lit("\x01Select\x02\x01local\x02"), name))
+        F.when(verb, F.concat(F.lit("\x01"), part, F.lit("\x02"), F.when((inner == "") & (part != "Drop"), named).otherwise("\x02")))
+        .when(selects & (part == "select"), "\x01Select\x02\x02")
+        .when(selects, F.concat(F.lit("\x01Select\x02\x02\x01local\x02"), named))
         .when(name == "", "")
-        .when(deletes, F.concat(F.lit("\x01Delete\x02"), name))
-        .when(table, F.concat(F.lit("\x01table\x02"), name))
-        .when((part == "with") | ((part == ",") & (top == "w")), F.concat(F.lit("\x01local\x02"), name))
+        .when(deletes, F.concat(F.lit("\x01Delete\x02"), named))
+        .when(table, F.concat(F.lit("\x01table\x02"), named))
+        .when((part == "with") | ((part == ",") & (top == "w")), F.concat(F.lit("\x01local\x02"), named))
         .otherwise("")
     )
+    sign = F.when(lists | in_list, "2").otherwise("0")
+    closes, opens = (part == ")") & (rest != ""), part == "("
     return F.struct(
-        F.when(part == ")", F.when(F.length(opened) > 1, below).otherwise(opened))
-        .when(part == "(", F.concat(opened, F.lit("0")))
-        .otherwise(F.concat(below, own, F.replace(inner, F.lit("("), F.when(lists | in_list, "2").otherwise("0"))))
-        .alias("open"),
-        F.concat(state["found"], found).alias("found"),
+        F.when(closes, F.substring(rest, -1, 1))
+        .when(part == ")", top)
+        .when(opens, "0")
+        .when(inner == "", own)
+        .otherwise(sign)
+        .alias("top"),
+        F.when(closes, F.left(rest, F.length(rest) - 1))
+        .when(opens, F.concat(rest, top))
+        .when((part == ")") | (inner == ""), rest)
+        .otherwise(F.concat(rest, own, F.replace(F.substring(inner, 2, 1 << 30), F.lit("("), sign)))
+        .alias("rest"),
+        F.when(part.isin("(", ")", "end"), state["found"]).otherwise(F.concat(state["found"], found)).alias("found"),
     )
 
 
 def names_found(kind: Column, units: Column) -> Column:
     """``what`` (a verb's kind with its target, ``table`` read, ``local`` to the statement), ``name`` and ``alias``, in order."""
     waits = kind.isin("Delete", "Insert", "Update", "Merge", "Create", MODIFIED)
-    start = F.struct(F.when(waits, "s").otherwise("1").alias("open"), F.lit("").alias("found"))
+    start = F.struct(F.when(waits, "s").otherwise("1").alias("top"), F.lit("").alias("rest"), F.lit("").alias("found"))
     found = F.aggregate(units, start, _step, lambda state: state["found"])
-
-    def of(line: Column) -> Column:
-        what, name = F.substring_index(line, "\x02", 1), F.substring_index(line, "\x02", -1)
-        return F.struct(
-            what.alias("what"),
-            F.regexp_extract(name, f"^{TABLE}", 0).alias("name"),
-            F.regexp_extract(name, rf"(?i)^{TABLE}(?:\s+as{ENDS})?\s*({NAME})$", 1).alias("alias"),
-        )
-
-    return F.transform(F.slice(F.split(found, "\x01"), 2, 1 << 30), of)
+    lines = F.transform(F.slice(F.split(found, "\x01"), 2, 1 << 30), lambda line: F.split(line, "\x02"))
+    return F.transform(lines, lambda f: F.struct(f[0].alias("what"), f[1].alias("name"), f[2].alias("alias")))
 
 
 def verb_found(found: Column) -> Column:

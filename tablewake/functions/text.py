@@ -81,7 +81,10 @@ def ends_statement(line: Column) -> Column:
 
 def clean_statement(sql: Column) -> Column:
     """Remove carriage-return codes and the first locking and time clauses of a statement."""
-    sql = F.regexp_replace(sql, CARRIAGE_RETURN_CODE, " ")
+    changed = F.regexp_replace(sql, CARRIAGE_RETURN_CODE, " ")
     for clause in (LOCKING, NONSEQUENCED, SEQUENCED):
-        sql = F.regexp_replace(sql, clause, "$1 ")
-    return sql
+        changed = F.regexp_replace(changed, clause, "$1 ")
+    # The patterns run only over statements that hold one of their words.
+    lower = F.lower(sql)
+    holds = lower.contains("_x000d_") | lower.contains("locking") | lower.contains("sequenced")
+    return F.when(holds, changed).otherwise(sql)

@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from checks.fixtures import fixture
+from tablewake.functions.text import clean_statement
 from tablewake.operators.extract import extract_edges, parse_statements, statement_errors
 from tablewake.operators.reports import error_histogram, run_statistics
 
@@ -146,3 +148,24 @@ def test_parsing_is_not_repeated(spark):
     assert plan.count("locking.*?access") == 1
     assert plan.count("multiset") == 1
     assert plan.count("aggregate(") == 1
+
+
+def test_statements_of_one_row_group_are_dealt_out(spark, tmp_path):
+    """Splits of a file without a row group of their own are empty, so their number does not share out the rows."""
+    orders = spark.range(40_000).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey")
+    orders.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    key = "spark.sql.files.maxPartitionBytes"
+    spark.conf.set(key, "4096")
+    try:
+        stated = fixture(spark, str(tmp_path), "fx_hard_statements")
+        sizes = [r[0] for r in stated.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*")).select("count(1)").collect()]
+    finally:
+        spark.conf.unset(key)
+    assert sum(sizes) == 40_000 and max(sizes) < 2 * 40_000 / spark.sparkContext.defaultParallelism
+
+
+def test_clauses_go_only_where_they_stand(spark):
+    texts = ["a_x000D_b", "Locking t for Access sel 1", "NONSEQUENCED x TransactionTime sel 1", "sequenced y transactiontime s", "locking sequenced", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(clean_statement(F.col("t"))).collect()]
+    assert got == ["a b", "  sel 1", "  sel 1", "  s", "locking sequenced", "", None]
