@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tablewake.functions import text as T
 from tablewake.functions.names import normalise_case
 from tablewake.operators import catalog, extract, hierarchy, lines, reports, resolve, statements
-from tablewake.operators.scans import assemble_text, scan_before
+from tablewake.operators.scans import assemble_text, block_of, scan_before, text_digest
 from tablewake.plans import jobs
 from tablewake.plans.jobs import lineage_edges
 from tablewake.session import save_point, shared_folder
@@ -291,9 +291,14 @@ def _folder(spark, name):
 
 
 def _files(lines, folder, suffix):
-    """Numbered lines as one text file for each script, named after it."""
+    """Numbered lines as one text file for each script, named after it.
+
+    One task writes a file in its order; it sorts stretches of some hundred lines, which takes far less memory than the lines.
+    """
     spark = lines.sparkSession
-    placed = lines.repartition("script_file").sortWithinPartitions("script_file", "pos", "line")
+    stretch = F.coalesce(block_of("pos", 4096), F.lit(-(1 << 63)))
+    stretches = assemble_text(lines.withColumns({"stretch": stretch, "block": stretch}), ["script_file", "stretch"], "line", ("pos", "line"))
+    placed = stretches.repartition("script_file").sortWithinPartitions("script_file", "stretch")
     placed.select("script_file", F.col("line").alias("value")).write.partitionBy("script_file").text(f"{folder}/parts")
     path = spark._jvm.org.apache.hadoop.fs.Path
     system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -308,8 +313,9 @@ def _files(lines, folder, suffix):
 def scan_scripts(spark, sf):
     """Scripts as files, scanned line by line and put together again."""
     folder = _files(fixture(spark, sf, "fx_sql_lines"), _folder(spark, "scripts"), ".sql")
-    whole = assemble_text(read_script_lines(spark, folder), ["script_file"], "line")
-    return whole.select("script_file", F.length("line").alias("n_chars"), F.sha2("line", 256).alias("sha"))
+    placed = read_script_lines(spark, folder).withColumns({"split": F.col("block"), "stretch": block_of("pos", 64)})
+    # The pieces of a file one behind the other: a whole script may not fit a row.
+    return text_digest(assemble_text(placed, ["script_file", "split", "stretch"], "line"), ["script_file"], "line", ["split", "pos"])
 
 
 @query

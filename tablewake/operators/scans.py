@@ -8,10 +8,13 @@ has to know of the earlier ones is one small row, computed from one aggregate ro
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
 BLOCK_ROWS = 100_000
 
@@ -169,3 +172,41 @@ def assemble_text(
 def _join_in_order(piece: Column, text: str, sep: str) -> Column:
     """The texts of a group, joined in the order of the fields before them."""
     return F.array_join(F.sort_array(F.collect_list(piece)).getField(text), sep)
+
+
+def text_digest(df: DataFrame, keys: Sequence[str], text: str, order: Sequence[str], sep: str = "\n") -> DataFrame:
+    """``n_chars`` and ``sha`` (SHA-256 of the UTF-8) of the pieces of each group joined in order, without building that text.
+
+    A digest takes its text from first to last, so a group's pieces pass through one task, a batch at a time; they should be
+    texts of some lines (see `assemble_text`), which are sorted with less memory than the lines.
+    """
+    schema = StructType([df.schema[k] for k in keys]).add("n_chars", LongType()).add("sha", StringType())
+    places = range(len(keys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, n, sha = None, 0, None
+
+        def row() -> pa.RecordBatch:
+            values = [*group, n, sha.hexdigest()]
+            arrays = [pa.array([v], t) for v, t in zip(values, [*kinds, pa.int64(), pa.string()])]
+            return pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+        for batch in batches:
+            kinds = [batch.schema.field(i).type for i in places]
+            named = zip(*[batch.column(i).to_pylist() for i in places])
+            for key, length, piece in zip(named, batch.column(len(keys)), batch.column(len(keys) + 1)):
+                if key != group:
+                    if group is not None:
+                        yield row()
+                    group, n, sha = key, 0, hashlib.sha256()
+                else:
+                    sha.update(sep.encode())
+                    n += len(sep)
+                sha.update(piece.as_buffer())
+                n += length.as_py()
+        if group is not None:
+            yield row()
+
+    piece = F.coalesce(F.col(text), F.lit(""))
+    placed = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return placed.select(*keys, F.length(piece).alias("_n"), piece.cast("binary").alias("_piece")).mapInArrow(run, schema)

@@ -1,14 +1,16 @@
 """Lines, comments, sessions and statements against plain restatements."""
 
+import hashlib
 import random
 import re
 
 from pyspark.sql import functions as F
 
+from checks.registry import QUERIES, _files
 from tablewake.functions import text as T
 from tablewake.operators import lines as L
 from tablewake.operators import statements as S
-from tablewake.operators.scans import scan_before, scan_two_states
+from tablewake.operators.scans import scan_before, scan_two_states, text_digest
 from tablewake.session import save_point
 
 from .conftest import rows
@@ -187,3 +189,34 @@ def test_clauses_removed_once(spark):
         for word, end in (("locking", "access"), ("nonsequenced", "transactiontime"), ("sequenced", "transactiontime")):
             expected = cut(expected, word, end)
         assert cleaned == expected, values[script]
+
+
+def test_whole_scripts_are_digested_piece_by_piece(spark):
+    """Equals the digest of the text in one row; pieces of any length, empty and null ones, and groups without a name."""
+    rng = random.Random(5)
+    texts = [(rng.choice(["a", "b", None]), i, rng.choice(["", None, "x", "é\n\U0001f600", "line " * 50])) for i in range(700)]
+    df = spark.createDataFrame(texts, "k string, pos long, line string").repartition(7)
+    got = {r["k"]: (r["n_chars"], r["sha"]) for r in text_digest(df, ["k"], "line", ["pos"]).collect()}
+    want = {}
+    for k in ("a", "b", None):
+        whole = "\n".join(t or "" for name, _, t in texts if name == k)
+        want[k] = (len(whole), hashlib.sha256(whole.encode()).hexdigest())
+    assert got == want
+
+
+def test_script_files_are_written_from_stretches(spark, tmp_path):
+    """The file of a script has its lines by number and text; no task sorts them line by line."""
+    rng = random.Random(6)
+    placed = [(f"s{rng.randrange(3)}", rng.choice([None, rng.randrange(-9000, 30_000)]), rng.choice([None, "", "a", "b;"])) for _ in range(3_000)]
+    df = spark.createDataFrame(placed, "script_file string, pos long, line string").repartition(5)
+    folder = _files(df, str(tmp_path), ".sql")
+    first = lambda v: (v is not None, v or 0)
+    for name in ("s0", "s1", "s2"):
+        lines = sorted((first(p), t is not None, t or "") for s, p, t in placed if s == name)
+        with open(f"{folder}/{name}.sql") as file:
+            assert file.read() == "".join(f"{t}\n" for _, _, t in lines)
+
+
+def test_scan_of_scripts_builds_no_whole_script(spark, small):
+    plan = QUERIES["scan_scripts"](spark, small)._jdf.queryExecution().toString()
+    assert "sha2" not in plan
