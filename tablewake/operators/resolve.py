@@ -75,7 +75,8 @@ def _trimmed(links: DataFrame, rows: int, back: bool) -> tuple[DataFrame, int]:
     A round keeps the names one link further along the walks, so a batch of rounds is a chain of joins with one written table.
     """
     one, other = ("table", "next") if back else ("next", "table")
-    rounds, before = FIRST_BATCH, None
+    # Of many links one round tells whether any go.
+    rounds, before = FIRST_BATCH if rows < TOGETHER else 1, None
     while rows and rows != before:
         kept = _together(rows)
         links = kept(links)
@@ -93,7 +94,8 @@ def _greatest(links: DataFrame, rows: int, labels: DataFrame) -> DataFrame:
     ways, count = counted_save_point(links.select("table", "next").unionByName(own))
     together = _together(count["rows"])
     ways, labels = together(ways), together(labels)
-    moved, rounds = 1, FIRST_BATCH
+    # Pairs need one round and one that finds nothing moved.
+    moved, rounds = 1, FIRST_BATCH if count["rows"] < TOGETHER else 2
     while moved:
         labels = labels.select("name", "label", F.col("label").alias("before"))
         for _ in range(rounds):
@@ -265,7 +267,8 @@ def volatile_closure(definitions: DataFrame, starts: DataFrame, max_depth: int |
     level, found = counted_save_point(level.withColumn("depth", F.lit(0)))
     states, depth, levels = None, 0, FIRST_BATCH
     while True:
-        level = gathered(level, found["rows"])
+        # Few states go to one task only where the hops are few as well: they would follow the states there.
+        level = gathered(level, max(found["rows"], size["rows"]))
         for _ in range(levels):
             level = _one_further(level, hops, depth)
             depth += 1

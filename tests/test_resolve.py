@@ -173,3 +173,18 @@ def test_statistics(spark):
         ("net_change", None, -2), ("output_relationships", None, 1), ("output_type", "VIEW", 1),
         ("relationships_removed", None, 2), ("volatile_tables", None, 1),
     ]
+
+
+def test_random_graphs_as_long_tables(spark, monkeypatch):
+    """Over tables too long for one task rounds are told in other numbers."""
+    monkeypatch.setattr(R, "TOGETHER", 5)
+    data = [row for seed in range(20, 23) for row in random_graph(seed)]
+    assert rows(R.resolve_volatile(relations(spark, data)), *R.RELATION_COLUMNS) == walked(data)
+
+
+def test_few_states_do_not_gather_many_hops(spark, monkeypatch):
+    asked, gathered = [], R.gathered
+    monkeypatch.setattr(R, "gathered", lambda df, rows: asked.append(rows) or gathered(df, rows))
+    data = [edge("s", f"v{i}", f"v{i + 1}") for i in range(40)] + [edge("s", "v3", "t", parent_type="TABLE"), edge("r", "rpt", "v0", "TABLE")]
+    assert rows(R.resolve_volatile(relations(spark, data)), *R.RELATION_COLUMNS) == walked(data)
+    assert len(asked) > 1 and min(asked) >= 40
