@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import json
 import re
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 
@@ -34,20 +35,11 @@ class Memo:
         if not missing:
             return self.kept
         made = dict(zip(missing, self.encode(missing)))
+        # A plain table of what is wanted: texts repeat their pieces, and looking one up must cost no call.
+        known = {p: self.kept[p] for p in wanted if p in self.kept} | made
         if len(self.kept) + len(made) <= self.room:
             self.kept.update((p, ids) for p, ids in made.items() if len(p) <= LONG_PIECE)
-        return _Both(made, self.kept)
-
-
-class _Both(dict):
-    """What was just encoded, then what was known."""
-
-    def __init__(self, made: dict, kept: dict) -> None:
-        super().__init__(made)
-        self.kept = kept
-
-    def __missing__(self, piece: str) -> bytes:
-        return self.kept[piece]
+        return known
 
 
 def added_tokens(path: str) -> dict[str, int]:
@@ -88,10 +80,15 @@ class SpanEncoder:
 
         def packed(some: list[str]) -> list[bytes]:
             found = tokenizer.encode_batch(some, add_special_tokens=False)
-            return [
-                np.column_stack([np.array(e.ids, "<u4"), np.array(e.offsets, "<u4").reshape(-1, 2)]).astype("<u4").tobytes()
-                for e in found
-            ]
+            # One array for all pieces, cut as bytes: an array for each costs more than its tokens.
+            ids = [e.ids for e in found]
+            flat = np.empty((sum(map(len, ids)), 3), "<u4")
+            flat[:, 0] = np.fromiter(chain.from_iterable(ids), "<u4", len(flat))
+            offsets = chain.from_iterable(chain.from_iterable(e.offsets for e in found))
+            flat[:, 1:] = np.fromiter(offsets, "<u4", 2 * len(flat)).reshape(-1, 2)
+            whole = flat.tobytes()
+            ends = [0, *accumulate(flat.itemsize * 3 * len(i) for i in ids)]
+            return [whole[low:high] for low, high in pairwise(ends)]
 
         self.memo = Memo(packed, MEMO_PIECES // 2)
 

@@ -61,6 +61,12 @@ def test_memo_beyond_its_room():
     assert len(memo.kept) <= 3
 
 
+def test_looking_up_a_known_piece_is_no_call():
+    memo = Memo(lambda some: [p.upper() for p in some])
+    memo.look_up({"a"})
+    assert type(memo.look_up({"a", "b"})) is dict
+
+
 def plain_best(levels, size, window):
     """The level that leaves the least sum of squares, by trying each."""
     best = None
